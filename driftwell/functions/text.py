@@ -45,6 +45,6 @@ def strip_breaks(html: Column) -> Column:
     return F.regexp_replace(html, r"<br ?/>", " ")
 
 
-def non_null(value: Column) -> Column:
-    """NaN counts as missing, as it does in the data frames users bring."""
-    return F.when(~F.isnan(value), value)
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed-point text, rounded half-even on the exact binary value (as `%.nf` does in C and Python)."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwell import config
+from driftwell.functions.text import fixed
 from driftwell.operators.ordered import column_percentiles
 
 ISSUE = "`column` string, severity string, issue_type string, message string, value double"
@@ -107,7 +108,7 @@ def check_nulls(df: DataFrame, max_null_percent: float = config.MAX_NULL_PERCENT
         F.when(high, F.lit("error")).otherwise(F.lit("warning")).alias("severity"),
         F.when(high, F.lit("high_null_rate")).otherwise(F.lit("has_nulls")).alias("issue_type"),
         F.concat(
-            F.col("column"), F.format_string(" has %.1f%% null values", F.col("null_pct")),
+            F.col("column"), F.lit(" has "), fixed(F.col("null_pct"), 1), F.lit("% null values"),
             F.when(high, F.lit(f" (threshold: {max_null_percent}%)")).otherwise(F.lit("")),
         ).alias("message"),
         F.round("null_pct", 2).alias("value"),
@@ -130,8 +131,9 @@ def check_duplicates(df: DataFrame, max_percent: float = config.MAX_DUPLICATE_PE
     return duplicate_counts(df).filter(F.col("duplicate_pct") > max_percent).select(
         F.lit("*").alias("column"), F.lit("warning").alias("severity"),
         F.lit("high_duplicates").alias("issue_type"),
-        F.format_string(
-            "Dataset has %d duplicate rows (%.1f%%)", F.col("duplicate_count"), F.col("duplicate_pct")
+        F.concat(
+            F.format_string("Dataset has %d duplicate rows (", F.col("duplicate_count")),
+            fixed(F.col("duplicate_pct"), 1), F.lit("%)"),
         ).alias("message"),
         F.round("duplicate_pct", 2).alias("value"),
     )

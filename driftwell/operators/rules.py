@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell import config
+from driftwell.functions.text import fixed
 from driftwell.operators.ordered import percentiles
 from driftwell.operators.spacing import spaced
 from driftwell.schemas import ALERT_RULES
@@ -18,7 +19,7 @@ def _anomaly(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
 
 
 def percent_text(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f%%", value * 100)
+    return F.concat(fixed(value * 100, digits), F.lit("%"))
 
 
 def confidence_anomaly(logs: DataFrame, keys: list[str], baseline: DataFrame | None = None,
@@ -48,9 +49,8 @@ def confidence_anomaly(logs: DataFrame, keys: list[str], baseline: DataFrame | N
                 "detail": F.when(flat, F.lit("Zero variance in confidence scores")).otherwise(
                     F.concat(
                         percent_text(F.col("ratio"), 1),
-                        F.format_string(
-                            " of predictions exceed z-score threshold (%.2f max)", F.col("max_z")
-                        ),
+                        F.lit(" of predictions exceed z-score threshold ("),
+                        fixed(F.col("max_z"), 2), F.lit(" max)"),
                     )
                 ),
             }
@@ -73,8 +73,9 @@ def latency_anomaly(logs: DataFrame, keys: list[str], baseline: DataFrame,
                 "is_anomalous": F.col("p99") > limit,
                 "score": F.col("p99"),
                 "threshold": limit,
-                "detail": F.format_string(
-                    "p99=%.1fms (%.1fx baseline %.1fms)", F.col("p99"), ratio, F.col("baseline_p99")
+                "detail": F.concat(
+                    F.lit("p99="), fixed(F.col("p99"), 1), F.lit("ms ("), fixed(ratio, 1), F.lit("x baseline "),
+                    fixed(F.col("baseline_p99"), 1), F.lit("ms)"),
                 ),
             }
         ),
@@ -124,7 +125,7 @@ def breaches(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 def alert_message() -> Column:
     return F.concat(
         F.lit("["), F.upper("severity"), F.lit("] "), F.col("rule_name"), F.lit(": "), F.col("metric"),
-        F.format_string("=%.4f breached threshold ", F.col("value")), F.col("threshold").cast("string"),
+        F.lit("="), fixed(F.col("value"), 4), F.lit(" breached threshold "), F.col("threshold").cast("string"),
         F.lit(" ("), F.col("comparison"), F.lit("). "), F.col("description"),
     )
 
@@ -168,8 +169,9 @@ def rollback_decision(health: DataFrame, keys: list[str], max_error_rate: float
         )
         .when(
             slow,
-            F.format_string(
-                f"Avg latency %.1fms exceeds threshold {max_latency_ms:.1f}ms", F.col("avg_latency_ms")
+            F.concat(
+                F.lit("Avg latency "), fixed(F.col("avg_latency_ms"), 1),
+                F.lit(f"ms exceeds threshold {max_latency_ms:.1f}ms"),
             ),
         )
         .otherwise(F.lit("Challenger is healthy"))
@@ -235,7 +237,7 @@ def metric_gate(runs: DataFrame, minimums: dict[str, float], keys: list[str]) ->
         fails.append(
             F.when(
                 value < least,
-                F.format_string(f"Validation failed: {name}=%.4f < threshold={least}", value),
+                F.concat(F.lit(f"Validation failed: {name}="), fixed(value, 4), F.lit(f" < threshold={least}")),
             )
         )
     message = F.coalesce(*fails)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from driftwell import config
 from driftwell.operators.spacing import spaced
@@ -49,7 +50,9 @@ def score_external(requests: DataFrame, load: Callable[[], Callable[[pd.Series],
 
     `load()` returns a function from a series of vectors to (results, confidences).
     """
-    schema = requests.schema.add("result", "double").add("confidence", "double")
+    schema = StructType(
+        [*requests.schema.fields, StructField("result", DoubleType()), StructField("confidence", DoubleType())]
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = load()
@@ -161,10 +164,14 @@ def explain_perturbation(requests: DataFrame, scorer: Scorer, names: list[str],
     Works inside each row's array, so nothing is exploded or shuffled.
     """
     x = F.col(features)
+
+    def without(i: int) -> Column:
+        return F.transform(x, lambda v, j: F.when(j == i, F.lit(0.0)).otherwise(v))
+
     moves = F.array(
         *[
             F.struct(
-                F.abs(scorer(x) - scorer(F.transform(x, lambda v, j, i=i: F.when(j == i, F.lit(0.0)).otherwise(v)))).alias("move"),
+                F.abs(scorer(x) - scorer(without(i))).alias("move"),
                 F.lit(-i).alias("place"),
                 F.lit(n).alias("name"),
             )

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from driftwell.operators.ordered import CHUNK, chunked, planned_chunks
 
@@ -104,7 +105,7 @@ def spaced(
         joined = part.join(state, [KEY, CHUNK], "left").repartition(F.col(KEY), F.col(CHUNK))
         ready = joined.withColumn("_entry", F.coalesce("_entry", "_start"))
     flagged = ready.sortWithinPartitions(KEY, CHUNK, AT, *tie)
-    schema = ready.schema.add("_kept", "boolean")
+    schema = StructType([*ready.schema.fields, StructField("_kept", BooleanType())])
     return flagged.mapInPandas(_replay(gap, strict), schema).select(
         *columns, F.col("_kept").alias(out)
     )

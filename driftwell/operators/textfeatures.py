@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.text import strip_accents, tokens, uni_and_bigrams
@@ -49,7 +49,9 @@ def weights(docs: DataFrame, vocab: DataFrame, id_column: str) -> DataFrame:
     The vocabulary has at most a few thousand rows and is broadcast, so only its
     terms are shuffled to their document.
     """
-    hits = docs.select(id_column, F.explode("terms").alias("term")).join(F.broadcast(vocab), "term")
+    # An inner explode would make the planner test the array first and so tokenise twice;
+    # the null row of an empty document finds no partner in the join.
+    hits = docs.select(id_column, F.explode_outer("terms").alias("term")).join(F.broadcast(vocab), "term")
     tf = hits.groupBy(id_column, "term", "idx", "idf").agg(F.count("*").alias("tf"))
     raw = tf.withColumn("w", (F.log("tf") + 1.0) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_column)))
@@ -57,13 +59,23 @@ def weights(docs: DataFrame, vocab: DataFrame, id_column: str) -> DataFrame:
 
 
 def sparse_vectors(weighted: DataFrame, id_column: str, size: int) -> DataFrame:
-    """One sparse vector per document; a document holds at most `size` entries."""
-
-    @F.pandas_udf(VectorUDT())
-    def build(indices: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([SparseVector(size, list(i), list(v)) for i, v in zip(indices, values)])
+    """One vector per document, kept sparse; a document has at most `size` entries.
 
+    The entries are laid out as an array with zeros in the gaps; the assembler then
+    stores whichever form is smaller. All of it runs inside one projection.
+    """
     packed = weighted.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_e"))
-    return packed.select(
-        id_column, build(F.col("_e")["idx"].cast("array<int>"), F.col("_e")["weight"]).alias("features")
+    place = F.transform("_e", lambda e: e["idx"])
+
+    def zeros(count: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), count.cast("int"))
+
+    cells = F.transform(
+        "_e",
+        lambda e, i: F.concat(
+            zeros(e["idx"] - F.when(i == 0, F.lit(-1)).otherwise(F.get(place, i - 1)) - 1), F.array(e["weight"])
+        ),
     )
+    tail = zeros(F.lit(size - 1) - F.array_max(place))
+    dense = packed.select(id_column, array_to_vector(F.concat(F.flatten(cells), tail)).alias("_dense"))
+    return VectorAssembler(inputCols=["_dense"], outputCol="features").transform(dense).drop("_dense")

@@ -83,14 +83,14 @@ def job_events(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.lit("cancelled"))
     )
     # Lines of an order are spread over years; a job's clock runs on the line number instead.
-    at = F.timestamp_micros((F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 600
+    at = F.timestamp_micros((F.col("l_orderkey") * 100000 + F.col("l_linenumber").cast("bigint") * 600
                              + F.col("l_quantity").cast("bigint")) * 1000000)
     return li.select(
         F.concat(F.lit("job-"), F.col("l_orderkey").cast("string")).alias("job_id"),
         F.concat(F.lit("m"), F.pmod("l_orderkey", F.lit(3)).cast("string")).alias("model_id"),
         status.alias("status"),
         at.cast("timestamp_ntz").alias("at"),
-        (F.col("l_linenumber") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("bigint").alias("seq"),
+        (F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq"),
     )
 
 

@@ -14,9 +14,10 @@ from driftwell.session import scratch_path
 Handler = Callable[[DataFrame, int], None]
 
 
-def file_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
-    """Parquet files as a stream; `max_files` bounds a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def file_stream(spark: SparkSession, folder: str, schema, files: str = "*.parquet", max_files: int = 100) -> DataFrame:
+    """Parquet files of a folder as a stream; `max_files` bounds a micro-batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return reader.option("pathGlobFilter", files).parquet(folder)
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str = "inference-events") -> DataFrame:

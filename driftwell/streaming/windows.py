@@ -36,30 +36,21 @@ def error_rate(logs: DataFrame, keys: list[str], window: str = "1 hour", at: str
     return stats.select(_starts(), *keys, "total", "failed", (F.col("failed") / F.col("total")).alias("error_rate"))
 
 
-def bucket_quantile(counts: Column, bounds: list[float], q: float) -> Column:
+def bucket_quantile(counts: list[Column], bounds: list[float], q: float) -> Column:
     """Quantile from cumulative bucket counts (the last entry is the total).
 
     Linear inside the first bucket that reaches the rank; the lowest bucket starts at
     0, and a rank beyond the last bound gives that bound.
     """
-    last = len(bounds)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(0.0 if i == 0 else bounds[i - 1]).alias("lo"),
-                F.lit(bounds[i] if i < last else bounds[-1]).alias("hi"),
-                (F.lit(0) if i == 0 else counts[i - 1]).cast("double").alias("before"),
-                counts[i].cast("double").alias("upto"),
-                F.lit(i == last).alias("open"),
-            )
-            for i in range(last + 1)
-        ]
-    )
-    rank = F.lit(q) * counts[last]
-    hit = F.get(F.filter(cells, lambda c: c["upto"] >= rank), F.lit(0))
-    share = F.try_divide(rank - hit["before"], hit["upto"] - hit["before"])
-    inside = F.coalesce(hit["lo"] + (hit["hi"] - hit["lo"]) * share, hit["hi"])
-    return F.when(counts[last] > 0, F.when(hit["open"], hit["hi"]).otherwise(inside))
+    total = counts[-1]
+    rank = F.lit(q) * total
+    found = F.when(total == 0, F.lit(None).cast("double"))
+    low, before = 0.0, F.lit(0).cast("bigint")
+    for high, upto in zip(bounds, counts):
+        share = F.try_divide(rank - before, (upto - before).cast("double"))
+        found = found.when(upto >= rank, F.coalesce(F.lit(low) + F.lit(high - low) * share, F.lit(high)))
+        low, before = high, upto
+    return found.otherwise(F.lit(bounds[-1]))
 
 
 def bucket_quantiles(logs: DataFrame, value: Column, bounds: list[float], quantiles: dict[str, float],
@@ -70,11 +61,10 @@ def bucket_quantiles(logs: DataFrame, value: Column, bounds: list[float], quanti
     grouped = logs.groupBy(F.window(at, window, slide).alias("w"), *keys).agg(
         *counters, F.count(value).alias(f"b{len(bounds)}")
     )
-    counts = F.array(*[f"b{i}" for i in range(len(bounds) + 1)])
-    packed = grouped.withColumn("_c", counts)
-    return packed.select(
-        _starts(), *keys, F.col(f"b{len(bounds)}").alias("requests"),
-        *[bucket_quantile(F.col("_c"), bounds, q).alias(name) for name, q in quantiles.items()],
+    counts = [F.col(f"b{i}") for i in range(len(bounds) + 1)]
+    return grouped.select(
+        _starts(), *keys, counts[-1].alias("requests"),
+        *[bucket_quantile(counts, bounds, q).alias(name) for name, q in quantiles.items()],
     )
 
 
