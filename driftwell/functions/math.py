@@ -14,7 +14,7 @@ _KOLMOGOROV_TERMS = 100
 
 def _polynomial(x: Column, coefficients: list[float]) -> Column:
     """Horner evaluation; coefficients are ordered from the constant term up."""
-    terms = F.array(*[F.lit(float(c)) for c in reversed(coefficients)])
+    terms = F.expr("array(" + ", ".join(f"{float(c)!r}D" for c in reversed(coefficients)) + ")")
     return F.aggregate(terms, F.lit(0.0), lambda acc, c: acc * x + c)
 
 

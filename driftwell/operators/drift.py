@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from driftwell import config
 from driftwell.functions.exact_ks import EXACT_LIMIT, exact_ks_p_udf
 from driftwell.functions.math import chi2_sf, ks_asymptotic_p
-from driftwell.operators.ordered import ecdf, percentile_from_ecdf
+from driftwell.operators.ordered import ecdf, ecdf_percentiles
 
 KEYS = ["model_id", "feature_name"]
 REPORT = ["feature_name", "drift_detected", "p_value", "statistic", "threshold", "method",
@@ -30,10 +30,14 @@ def pair_samples(reference: DataFrame, current: DataFrame, keys: list[str] = KEY
 
 
 def feature_samples(logs: DataFrame, is_reference: Column, features: str = "features") -> DataFrame:
-    """Explode the feature vector of every log row; empty vectors give no rows."""
+    """Explode the feature vector of every log row; empty vectors give no rows.
+
+    The outer form spares the emptiness test that the planner would put in front,
+    which builds the vector a second time.
+    """
     return logs.select(
-        "model_id", is_reference.alias("is_reference"), F.posexplode(features).alias("position", "value")
-    ).select(
+        "model_id", is_reference.alias("is_reference"), F.posexplode_outer(features).alias("position", "value")
+    ).filter("position IS NOT NULL").select(
         "model_id",
         F.concat(F.lit("feature_"), F.col("position")).alias("feature_name"),
         "value",
@@ -161,53 +165,63 @@ def wasserstein(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0
 
 def decile_edges(samples: DataFrame, keys: list[str] = KEYS, bins: int = config.HISTOGRAM_BINS,
                  chunks: int | None = None) -> DataFrame:
-    """Interior bin edges per key: distinct percentiles of the reference without the outer two."""
+    """Interior bin edges e1..e9 per key: percentiles of the reference.
+
+    The outer bins are open, so a percentile equal to the smallest or largest value is
+    no edge (null). Equal edges leave an empty bin between them, which adds nothing.
+    """
     reference = _present(samples).filter("is_reference").withColumn("_n", F.lit(1).cast("bigint"))
     frame = ecdf(reference, keys, "value", ["_n"], chunks)
-    cuts = frame.groupBy(*keys).agg(
-        *[percentile_from_ecdf("value", "_n", i / bins).alias(f"_p{i}") for i in range(bins + 1)]
-    )
-    distinct = F.array_distinct(F.array(*[f"_p{i}" for i in range(bins + 1)]))
-    # Fewer than three distinct percentiles leave one bin without interior edges.
-    interior = F.when(F.size("_edges") > 2, F.slice("_edges", F.lit(2), F.size("_edges") - 2)).otherwise(
-        F.array().cast("array<double>")
+    cuts = ecdf_percentiles(frame, keys, "value", "_n", {f"e{i}": i / bins for i in range(bins + 1)})
+    low, high = F.col("e0"), F.col(f"e{bins}")
+    return cuts.select(
+        *keys, *[F.when((F.col(f"e{i}") > low) & (F.col(f"e{i}") < high), F.col(f"e{i}")).alias(f"e{i}") for i in range(1, bins)]
     )
-    return cuts.withColumn("_edges", distinct).select(*keys, interior.alias("edges"))
 
 
-def _bin_counts(samples: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts per (key, bin) with zero rows for empty bins; the shuffle carries bins, not rows.
+def _cells(binned: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Counts per bin as columns r0.. and c0.., one row per key.
 
-    The edge table has one short row per key; the planner broadcasts it when its
-    measured size allows and otherwise joins by key with skew splitting.
+    The first aggregate is combined per task, so the shuffle carries at most one row
+    per (key, bin) and task, whatever the number of samples behind a key.
     """
-    bin_no = F.size(F.filter("edges", lambda e: e <= F.col("value")))
-    counts = (
-        _counted(_present(samples)).join(edges, keys)
-        .groupBy(*keys, "edges", bin_no.alias("bin"))
-        .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
-    )
-    grid = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
-    return grid.join(counts.drop("edges"), [*keys, "bin"], "left").fillna(0, ["n_ref", "n_cur"])
+    counts = binned.groupBy(*keys, "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+
+    def cell(side: str, i: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("bin") == i, F.col(side))), F.lit(0))
+
+    return counts.groupBy(*keys).agg(
+        *[cell("n_ref", i).alias(f"r{i}") for i in range(bins)],
+        *[cell("n_cur", i).alias(f"c{i}") for i in range(bins)],
+        F.sum("n_ref").alias("n_ref"),
+        F.sum("n_cur").alias("n_cur"),
+    ).filter("n_ref > 0 AND n_cur > 0")
+
+
+def _total(terms: list[Column]) -> Column:
+    return sum(terms[1:], terms[0])
 
 
 def psi(samples: DataFrame, keys: list[str] = KEYS, threshold: float = config.PSI_DRIFT,
         chunks: int | None = None) -> DataFrame:
-    """Population stability index over reference deciles; the cut is fixed."""
-    counts = _bin_counts(samples, decile_edges(samples, keys, chunks=chunks), keys)
-    whole = Window.partitionBy(*keys)
-    shares = counts.withColumns(
-        {"t_ref": F.sum("n_ref").over(whole), "t_cur": F.sum("n_cur").over(whole)}
-    ).filter("t_ref > 0 AND t_cur > 0")
-    def share(n: str, t: str) -> Column:
-        return F.least(F.lit(1.0), F.greatest(F.lit(config.PSI_EPSILON), F.col(n) / F.col(t)))
-
-    ref, cur = share("n_ref", "t_ref"), share("n_cur", "t_cur")
-    stats = shares.groupBy(*keys).agg(
-        F.sum((cur - ref) * F.log(cur / ref)).alias("statistic"),
-        F.max("t_cur").alias("n_cur"),
-    )
-    done = stats.withColumns(
+    """Population stability index over reference deciles; the cut is fixed.
+
+    The edge table has one row per key; the planner broadcasts it when its measured
+    size allows and otherwise joins by key, splitting hot keys.
+    """
+    bins = config.HISTOGRAM_BINS
+    edges = decile_edges(samples, keys, chunks=chunks)
+    bin_no = _total([F.coalesce((F.col(f"e{i}") <= F.col("value")).cast("int"), F.lit(0)) for i in range(1, bins)])
+    binned = _counted(_present(samples)).join(edges, keys).withColumn("bin", bin_no)
+
+    def share(count: str, total: str) -> Column:
+        return F.least(F.lit(1.0), F.greatest(F.lit(config.PSI_EPSILON), F.col(count) / F.col(total)))
+
+    parts = []
+    for i in range(bins):
+        ref, cur = share(f"r{i}", "n_ref"), share(f"c{i}", "n_cur")
+        parts.append((cur - ref) * F.log(cur / ref))
+    done = _cells(binned, keys, bins).withColumn("statistic", _total(parts)).withColumns(
         {
             "drift_detected": F.col("statistic") > config.PSI_DRIFT,
             "threshold": F.lit(config.PSI_DRIFT),
@@ -219,41 +233,41 @@ def psi(samples: DataFrame, keys: list[str] = KEYS, threshold: float = config.PS
     return _report(done, keys, "psi")
 
 
-def equal_width_edges(samples: DataFrame, keys: list[str] = KEYS, bins: int = config.HISTOGRAM_BINS) -> DataFrame:
-    """Interior edges of equal-width bins over both samples; a constant is widened by 0.5 each way."""
+def equal_width_bins(samples: DataFrame, keys: list[str] = KEYS, bins: int = config.HISTOGRAM_BINS) -> DataFrame:
+    """Low end and width of equal bins over both samples; a constant is widened by 0.5 each way."""
     spans = _present(samples).groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     flat = F.col("lo") == F.col("hi")
-    widened = spans.withColumns(
-        {
-            "lo": F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")),
-            "hi": F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")),
-        }
-    )
-    edges = F.transform(
-        F.sequence(F.lit(1), F.lit(bins - 1)),
-        lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / bins),
-    )
-    return widened.select(*keys, edges.alias("edges"))
+    low = F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))
+    high = F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))
+    return spans.select(*keys, low.alias("lo"), ((high - low) / bins).alias("width"))
 
 
 def chi2(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0.05,
          chunks: int | None = None) -> DataFrame:
-    """Chi-square of smoothed counts over ten equal-width bins."""
-    counts = _bin_counts(samples, equal_width_edges(samples, keys), keys)
-    whole = Window.partitionBy(*keys)
-    smoothed = counts.withColumns({"o": F.col("n_cur") + 1.0, "r": F.col("n_ref") + 1.0}).withColumns(
-        {
-            "expected": F.col("r") / F.sum("r").over(whole) * F.sum("o").over(whole),
-            "t_ref": F.sum("n_ref").over(whole),
-            "t_cur": F.sum("n_cur").over(whole),
-        }
-    ).filter("t_ref > 0 AND t_cur > 0")
-    stats = smoothed.groupBy(*keys).agg(
-        F.sum((F.col("o") - F.col("expected")) ** 2 / F.col("expected")).alias("statistic"),
-        F.max("t_cur").alias("n_cur"),
+    """Chi-square of smoothed counts over ten equal-width bins.
+
+    Edge i is lo + i * width. The quotient gives the bin up to rounding, and comparing
+    with the edges themselves settles it; the last bin includes its upper edge.
+    """
+    bins = config.HISTOGRAM_BINS
+    value, low, width = F.col("value"), F.col("lo"), F.col("width")
+    guess = F.floor((value - low) / width)
+    settled = (
+        F.when(value < low + guess * width, guess - 1)
+        .when(value >= low + (guess + 1) * width, guess + 1)
+        .otherwise(guess)
     )
-    p_value = chi2_sf(F.col("statistic"), config.HISTOGRAM_BINS - 1)
-    done = stats.withColumn("p_value", p_value).withColumns(
+    bin_no = F.greatest(F.lit(0), F.least(F.lit(bins - 1), settled)).cast("int")
+    binned = _counted(_present(samples)).join(equal_width_bins(samples, keys), keys).withColumn("bin", bin_no)
+    cells = _cells(binned, keys, bins)
+    ref_total, cur_total = F.col("n_ref") + bins, F.col("n_cur") + bins
+    parts = []
+    for i in range(bins):
+        observed = F.col(f"c{i}") + 1.0
+        expected = (F.col(f"r{i}") + 1.0) / ref_total * cur_total
+        parts.append((observed - expected) ** 2 / expected)
+    p_value = chi2_sf(F.col("statistic"), bins - 1)
+    done = cells.withColumn("statistic", _total(parts)).withColumn("p_value", p_value).withColumns(
         {"threshold": F.lit(threshold), "drift_detected": F.col("p_value") < threshold}
     )
     return _report(done, keys, "chi2")

@@ -46,6 +46,18 @@ def planned_chunks(df: DataFrame) -> int:
     return max(2, min(MAX_CHUNKS, math.ceil(size / CHUNK_BYTES)))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a small input that arrives as one piece.
+
+    For work that is heavy per row. Inputs of more than one chunk per core are left as
+    they were read: shuffling them would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if scanned_bytes(df) > cores * CHUNK_BYTES:
+        return df
+    return df.repartition(cores, F.col(key))
+
+
 def chunked(df: DataFrame, keys: list[str], order: list[str], chunks: int) -> DataFrame:
     """Add a chunk number that rises with (keys, order) and cannot change on recomputation."""
     ensure_checkpoints(df.sparkSession)
@@ -144,19 +156,26 @@ def ecdf(
     )
 
 
-def _pick(value: str, count: str, rank: Column) -> Column:
-    """The value at a zero-based rank, as an aggregate over an ecdf frame."""
-    hit = (F.col(f"cum_{count}") > rank) & (F.col(f"cum_{count}") - F.col(count) <= rank)
-    return F.max(F.when(hit, F.col(value)))
+def ecdf_percentiles(frame: DataFrame, keys: list[str], value: str, count: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolation percentiles from an ecdf frame, one column per `{name: probability}`.
 
-
-def percentile_from_ecdf(value: str, count: str, prob: float) -> Column:
-    """Linear-interpolation percentile as an aggregate expression over an ecdf frame."""
-    position = F.lit(float(prob)) * (F.col(f"tot_{count}") - 1)
-    low = _pick(value, count, F.floor(position))
-    high = _pick(value, count, F.ceil(position))
-    share = F.max(position - F.floor(position))
-    return low + (high - low) * share
+    Two ranks surround each percentile. Rows that hold none of them are filtered out
+    first, which leaves at most two rows per percentile and key to aggregate.
+    """
+    position = {name: f"({float(p)!r}D * (tot_{count} - 1))" for name, p in probs.items()}
+
+    def holds(rank: str) -> str:
+        return f"(cum_{count} > {rank} AND cum_{count} - {count} <= {rank})"
+
+    low = {name: holds(f"floor({x})") for name, x in position.items()}
+    high = {name: holds(f"ceil({x})") for name, x in position.items()}
+    rows = frame.filter(" OR ".join([*low.values(), *high.values()]))
+    picks = rows.groupBy(*keys).agg(
+        *[F.expr(f"max(CASE WHEN {hit} THEN `{value}` END) AS _lo_{n}") for n, hit in low.items()],
+        *[F.expr(f"max(CASE WHEN {hit} THEN `{value}` END) AS _hi_{n}") for n, hit in high.items()],
+        *[F.expr(f"max({x} - floor({x})) AS _at_{n}") for n, x in position.items()],
+    )
+    return picks.select(*keys, *[F.expr(f"_lo_{n} + (_hi_{n} - _lo_{n}) * _at_{n} AS `{n}`") for n in probs])
 
 
 def percentiles(
@@ -171,10 +190,7 @@ def percentiles(
     if n == 1:
         return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()])
     frame = ecdf(df.select(*keys, value, F.lit(1).cast("bigint").alias("_n")), keys, value, ["_n"], n)
-    picked = frame.groupBy(*keys).agg(
-        *[percentile_from_ecdf(value, "_n", p).alias(name) for name, p in probs.items()]
-    )
-    return picked
+    return ecdf_percentiles(frame, keys, value, "_n", probs)
 
 
 def column_percentiles(

@@ -6,6 +6,8 @@ with a job each.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,6 @@ from driftwell import config
 from driftwell.functions.text import fixed
 from driftwell.operators.ordered import column_percentiles
 
-ISSUE = "`column` string, severity string, issue_type string, message string, value double"
-
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -92,29 +92,114 @@ def overall_null_gate(df: DataFrame, min_rows: int = config.GATE_MIN_ROWS,
     )
 
 
-def check_empty(df: DataFrame) -> DataFrame:
-    """One ERROR row when the dataset has no rows."""
-    return df.agg(F.count("*").alias("n")).filter("n = 0").select(
-        F.lit("*").alias("column"), F.lit("error").alias("severity"), F.lit("empty_dataset").alias("issue_type"),
-        F.lit("Dataset has 0 rows").alias("message"), F.lit(0.0).alias("value"),
+@dataclass
+class Check:
+    """A check that needs one scan: aggregates over the rows, and issues read off their result.
+
+    Checks that are run together share the scan.
+    """
+
+    measures: list[Column]
+    issues: list[Column]
+
+
+def _issue(hit: Column, column: str, severity: Column | str, kind: Column | str, message: Column, value: Column,
+           order: int) -> Column:
+    severity, kind = (F.lit(x) if isinstance(x, str) else x for x in (severity, kind))
+    return F.when(
+        F.coalesce(hit, F.lit(False)),
+        F.struct(
+            F.lit(column).alias("column"), severity.alias("severity"), kind.alias("issue_type"),
+            message.alias("message"), value.cast("double").alias("value"), F.lit(order).alias("check_order"),
+        ),
     )
 
 
-def check_nulls(df: DataFrame, max_null_percent: float = config.MAX_NULL_PERCENT) -> DataFrame:
+def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """One aggregate for all checks; a row per issue that holds."""
+    measures = [m for check in checks for m in check.measures]
+    issues = [i for check in checks for i in check.issues]
+    return df.agg(*measures).select(F.explode(F.array(*issues)).alias("_i")).filter("_i IS NOT NULL").select("_i.*")
+
+
+def empty_check() -> Check:
+    """An ERROR when the dataset has no rows."""
+    return Check(
+        [F.count("*").alias("_rows")],
+        [_issue(F.col("_rows") == 0, "*", "error", "empty_dataset", F.lit("Dataset has 0 rows"), F.lit(0.0), 0)],
+    )
+
+
+def null_check(df: DataFrame, max_null_percent: float = config.MAX_NULL_PERCENT) -> Check:
     """Any nulls warn; more than the limit is an error."""
-    high = F.col("null_pct") > max_null_percent
-    return null_rates(df).filter("null_pct > 0").select(
-        "column",
-        F.when(high, F.lit("error")).otherwise(F.lit("warning")).alias("severity"),
-        F.when(high, F.lit("high_null_rate")).otherwise(F.lit("has_nulls")).alias("issue_type"),
-        F.concat(
-            F.col("column"), F.lit(" has "), fixed(F.col("null_pct"), 1), F.lit("% null values"),
+    measures, issues = [], []
+    for i, c in enumerate(df.columns):
+        measures.append((F.avg(is_missing(df, c).cast("double")) * 100).alias(f"_null{i}"))
+        percent = F.col(f"_null{i}")
+        high = percent > max_null_percent
+        message = F.concat(
+            F.lit(f"{c} has "), fixed(percent, 1), F.lit("% null values"),
             F.when(high, F.lit(f" (threshold: {max_null_percent}%)")).otherwise(F.lit("")),
-        ).alias("message"),
-        F.round("null_pct", 2).alias("value"),
+        )
+        issues.append(
+            _issue(
+                percent > 0, c, F.when(high, F.lit("error")).otherwise(F.lit("warning")),
+                F.when(high, F.lit("high_null_rate")).otherwise(F.lit("has_nulls")), message, F.round(percent, 2), 1,
+            )
+        )
+    return Check(measures, issues)
+
+
+def range_check(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> Check:
+    """Values outside [lo, hi]; columns the table lacks are skipped."""
+    measures, issues = [], []
+    for i, (c, (lo, hi)) in enumerate((c, b) for c, b in ranges.items() if c in df.columns):
+        measures.append(F.count_if(~is_missing(df, c) & ((F.col(c) < lo) | (F.col(c) > hi))).alias(f"_range{i}"))
+        count = F.col(f"_range{i}")
+        message = F.format_string(f"{c}: %d values outside [{lo}, {hi}]", count)
+        issues.append(_issue(count > 0, c, "warning", "out_of_range", message, count, 4))
+    return Check(measures, issues)
+
+
+def target_check(df: DataFrame, target: str) -> Check:
+    """Null targets are an error; so is a target with exactly one value.
+
+    One value means smallest equals largest, which needs no distinct count.
+    """
+    present = F.when(~is_missing(df, target), F.col(target))
+    nulls = F.col("_target_nulls")
+    return Check(
+        [
+            F.count_if(is_missing(df, target)).alias("_target_nulls"),
+            F.min(present).alias("_target_min"),
+            F.max(present).alias("_target_max"),
+        ],
+        [
+            _issue(nulls > 0, target, "error", "target_has_nulls", F.lit("Target column has null values"), nulls, 5),
+            _issue(
+                F.col("_target_min") == F.col("_target_max"), target, "error", "constant_target",
+                F.lit("Target has only 1 unique value"), F.lit(1.0), 5,
+            ),
+        ],
     )
 
 
+def check_empty(df: DataFrame) -> DataFrame:
+    return run_checks(df, [empty_check()])
+
+
+def check_nulls(df: DataFrame, max_null_percent: float = config.MAX_NULL_PERCENT) -> DataFrame:
+    return run_checks(df, [null_check(df, max_null_percent)])
+
+
+def check_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    return run_checks(df, [empty_check(), range_check(df, ranges)])
+
+
+def check_target(df: DataFrame, target: str) -> DataFrame:
+    return run_checks(df, [target_check(df, target)])
+
+
 def duplicate_counts(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each identical group; nulls equal nulls, as grouping has it."""
     groups = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
@@ -135,7 +220,7 @@ def check_duplicates(df: DataFrame, max_percent: float = config.MAX_DUPLICATE_PE
             F.format_string("Dataset has %d duplicate rows (", F.col("duplicate_count")),
             fixed(F.col("duplicate_pct"), 1), F.lit("%)"),
         ).alias("message"),
-        F.round("duplicate_pct", 2).alias("value"),
+        F.round("duplicate_pct", 2).alias("value"), F.lit(2).alias("check_order"),
     )
 
 
@@ -176,67 +261,27 @@ def check_outliers(df: DataFrame, columns: list[str] | None = None, factor: floa
             F.col("column"), F.format_string(" has %d outlier(s)", F.col("outlier_count")),
             F.lit(f" beyond {factor}×IQR"),
         ).alias("message"),
-        F.col("outlier_count").cast("double").alias("value"),
-    )
-
-
-def check_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """Values outside [lo, hi]; columns the table lacks are skipped."""
-    known = {c: b for c, b in ranges.items() if c in df.columns}
-    if not known:
-        return df.sparkSession.createDataFrame([], ISSUE)
-    wide = df.agg(
-        *[F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"r_{i}") for i, (c, (lo, hi)) in enumerate(known.items())]
-    )
-    rows = [
-        [F.lit(c), F.col(f"r_{i}"), F.lit(f"[{lo}, {hi}]")] for i, (c, (lo, hi)) in enumerate(known.items())
-    ]
-    return _stack(wide, rows, ["column", "n", "span"]).filter("n > 0").select(
-        "column", F.lit("warning").alias("severity"), F.lit("out_of_range").alias("issue_type"),
-        F.concat(F.col("column"), F.format_string(": %d values outside ", F.col("n")), F.col("span")).alias("message"),
-        F.col("n").cast("double").alias("value"),
-    )
-
-
-def check_target(df: DataFrame, target: str) -> DataFrame:
-    """Null targets are an error; so is a target with exactly one value."""
-    wide = df.agg(
-        F.count_if(is_missing(df, target)).alias("nulls"),
-        F.countDistinct(F.when(~is_missing(df, target), F.col(target))).alias("kinds"),
-    )
-    issues = wide.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("target_has_nulls").alias("issue_type"),
-                    F.lit("Target column has null values").alias("message"),
-                    F.col("nulls").cast("double").alias("value"), (F.col("nulls") > 0).alias("hit"),
-                ),
-                F.struct(
-                    F.lit("constant_target").alias("issue_type"),
-                    F.lit("Target has only 1 unique value").alias("message"),
-                    F.col("kinds").cast("double").alias("value"), (F.col("kinds") == 1).alias("hit"),
-                ),
-            )
-        )
-    )
-    return issues.filter("hit").select(
-        F.lit(target).alias("column"), F.lit("error").alias("severity"), "issue_type", "message", "value"
+        F.col("outlier_count").cast("double").alias("value"), F.lit(3).alias("check_order"),
     )
 
 
 def quality_issues(df: DataFrame, target: str | None = None,
                    ranges: dict[str, tuple[float, float]] | None = None, chunks: int | None = None) -> DataFrame:
-    """All issues of a dataset. An empty dataset yields that single error."""
-    checks = [check_nulls(df), check_duplicates(df), check_outliers(df, chunks=chunks)]
+    """All issues of a dataset. An empty dataset yields that single error.
+
+    Emptiness, nulls, ranges and the target share one scan; duplicates need a
+    grouping and outliers the quartiles first, so those scan for themselves.
+    """
+    checks = [empty_check(), null_check(df)]
     if ranges:
-        checks.append(check_ranges(df, ranges))
+        checks.append(range_check(df, ranges))
     if target and target in df.columns:
-        checks.append(check_target(df, target))
-    found = check_empty(df).withColumn("check_order", F.lit(0))
-    for order, check in enumerate(checks, start=1):
-        found = found.unionByName(check.withColumn("check_order", F.lit(order)))
-    return found
+        checks.append(target_check(df, target))
+    return (
+        run_checks(df, checks)
+        .unionByName(check_duplicates(df))
+        .unionByName(check_outliers(df, chunks=chunks))
+    )
 
 
 def quality_summary(df: DataFrame, issues: DataFrame) -> DataFrame:

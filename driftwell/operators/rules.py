@@ -134,16 +134,12 @@ def evaluate_alerts(metrics: DataFrame, rules: list[tuple], per_model: bool = Fa
                     chunks: int | None = None, last_fired: DataFrame | None = None) -> DataFrame:
     """Alerts that fire. A rule stays silent for its cooldown, counted over all models
     (or per model when `per_model`). `last_fired` (keys, last_kept) continues earlier runs."""
-    spark = metrics.sparkSession
-    fired: DataFrame | None = None
+    table = metrics.sparkSession.createDataFrame(rules, ALERT_RULES)
     keys = ["rule_name", "model_id"] if per_model else ["rule_name"]
-    # Rules that share a cooldown are scanned together.
-    for cooldown in sorted({r[5] for r in rules}):
-        table = spark.createDataFrame([r for r in rules if r[5] == cooldown], ALERT_RULES)
-        hits = breaches(metrics, table)
-        part = spaced(hits, keys, "at", ["model_id", "id"], cooldown, "fires", chunks=chunks, entries=last_fired).filter("fires")
-        fired = part if fired is None else fired.unionByName(part)
-    assert fired is not None, "no rules given"
+    hits = breaches(metrics, table)
+    fired = spaced(
+        hits, keys, "at", ["model_id", "id"], F.col("cooldown_seconds"), "fires", chunks=chunks, entries=last_fired
+    ).filter("fires")
     return fired.select(
         "rule_name", "severity", F.lit("firing").alias("status"), F.col("value").alias("metric_value"),
         "threshold", alert_message().alias("message"), "model_id", "at", "id",

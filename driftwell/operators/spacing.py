@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -21,6 +21,7 @@ from driftwell.operators.ordered import CHUNK, chunked, planned_chunks
 
 KEY = "_key"
 AT = "_at"
+GAP = "_gap"
 NEVER = np.iinfo(np.int64).min
 
 
@@ -52,15 +53,15 @@ def follow(entry: int, bounds: np.ndarray, exits: np.ndarray, gap: int, strict:
     return int(exits[at]) if at < len(exits) else entry
 
 
-def _replay(gap: int, strict: bool):
+def _replay(strict: bool):
     """Walk sorted rows once, carrying one number across batches and resetting at each scan."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan, last = None, NEVER
         for batch in batches:
             kept = np.zeros(len(batch), dtype=bool)
-            rows = zip(batch[KEY], batch[CHUNK], batch[AT], batch["_entry"])
-            for i, (key, chunk, at, entry) in enumerate(rows):
+            rows = zip(batch[KEY], batch[CHUNK], batch[AT], batch[GAP], batch["_entry"])
+            for i, (key, chunk, at, gap, entry) in enumerate(rows):
                 if (key, chunk) != scan:
                     scan, last = (key, chunk), entry
                 waited = last == NEVER or (at - last > gap if strict else at - last >= gap)
@@ -76,7 +77,7 @@ def spaced(
     keys: list[str],
     at: str,
     tie: list[str],
-    gap_seconds: float,
+    gap_seconds: float | Column,
     out: str = "kept",
     strict: bool = False,
     chunks: int | None = None,
@@ -84,14 +85,21 @@ def spaced(
 ) -> DataFrame:
     """Flag the events kept by the greedy rule, per `keys` in order of (`at`, `tie`).
 
-    `entries` (keys, last_kept) continues from an earlier run: one row per key.
+    The gap may be a column that is constant per key. `entries` (keys, last_kept)
+    continues from an earlier run: one row per key.
     """
-    gap = int(round(gap_seconds * 1_000_000))
+    seconds = gap_seconds if isinstance(gap_seconds, Column) else F.lit(float(gap_seconds))
     n = chunks or planned_chunks(df)
     columns = df.columns
     key = F.to_json(F.struct(*keys))
     never = F.lit(int(NEVER))
-    base = df.withColumns({KEY: key, AT: F.unix_micros(F.col(at).cast("timestamp"))})
+    base = df.withColumns(
+        {
+            KEY: key,
+            AT: F.unix_micros(F.col(at).cast("timestamp")),
+            GAP: F.round(seconds * 1_000_000).cast("bigint"),
+        }
+    )
     if entries is None:
         base = base.withColumn("_start", never)
     else:
@@ -101,30 +109,32 @@ def spaced(
         ready = base.withColumns({CHUNK: F.lit(0), "_entry": F.col("_start")}).repartition(KEY)
     else:
         part = chunked(base, [KEY], [AT, *tie], n)
-        state = _entries(part, gap, strict)
+        state = _entries(part, strict)
         joined = part.join(state, [KEY, CHUNK], "left").repartition(F.col(KEY), F.col(CHUNK))
         ready = joined.withColumn("_entry", F.coalesce("_entry", "_start"))
     flagged = ready.sortWithinPartitions(KEY, CHUNK, AT, *tie)
     schema = StructType([*ready.schema.fields, StructField("_kept", BooleanType())])
-    return flagged.mapInPandas(_replay(gap, strict), schema).select(
+    return flagged.mapInPandas(_replay(strict), schema).select(
         *columns, F.col("_kept").alias(out)
     )
 
 
-def _entries(part: DataFrame, gap: int, strict: bool) -> DataFrame:
+def _entries(part: DataFrame, strict: bool) -> DataFrame:
     """Last kept event before each (key, chunk)."""
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        gap = int(pdf[GAP].iloc[0])
         bounds, exits = exit_table(np.sort(pdf[AT].to_numpy()), gap, strict)
         return pd.DataFrame(
             {
-                KEY: [pdf[KEY].iloc[0]], CHUNK: [pdf[CHUNK].iloc[0]], "_start": [pdf["_start"].iloc[0]],
+                KEY: [pdf[KEY].iloc[0]], CHUNK: [pdf[CHUNK].iloc[0]], "_start": [pdf["_start"].iloc[0]], GAP: [gap],
                 "bounds": [bounds], "exits": [exits],
             }
         )
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(CHUNK)
+        gap = int(pdf[GAP].iloc[0])
         entries, last = [], int(pdf["_start"].iloc[0])
         for bounds, exits in zip(pdf["bounds"], pdf["exits"]):
             entries.append(last)
@@ -134,8 +144,8 @@ def _entries(part: DataFrame, gap: int, strict: bool) -> DataFrame:
     # A key that lives in one chunk needs no entry state; the rest are few: a
     # chunk holds at most one key that began before it and one that ends after it.
     spans = part.groupBy(KEY).agg(F.countDistinct(CHUNK).alias("_spans")).filter("_spans > 1")
-    wide = part.select(KEY, CHUNK, AT, "_start").join(spans, KEY, "left_semi")
+    wide = part.select(KEY, CHUNK, AT, GAP, "_start").join(spans, KEY, "left_semi")
     summaries = wide.groupBy(KEY, CHUNK).applyInPandas(
-        summarise, f"{KEY} string, {CHUNK} int, _start bigint, bounds array<bigint>, exits array<bigint>"
+        summarise, f"{KEY} string, {CHUNK} int, _start bigint, {GAP} bigint, bounds array<bigint>, exits array<bigint>"
     )
     return summaries.groupBy(KEY).applyInPandas(chain, f"{KEY} string, {CHUNK} int, _entry bigint")

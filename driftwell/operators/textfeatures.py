@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.text import strip_accents, tokens, uni_and_bigrams
+from driftwell.operators.ordered import spread
 
 MAX_VOCABULARY = 5000
 
@@ -15,7 +16,7 @@ MAX_VOCABULARY = 5000
 def terms(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """One array of uni- and bigrams per document; null text counts as empty."""
     plain = strip_accents(F.coalesce(F.col(text), F.lit("")))
-    words = docs.select(id_column, tokens(plain).alias("_w"))
+    words = spread(docs.select(id_column, text), id_column).select(id_column, tokens(plain).alias("_w"))
     return words.select(id_column, uni_and_bigrams(F.col("_w")).alias("terms"))
 
 
@@ -47,12 +48,14 @@ def weights(docs: DataFrame, vocab: DataFrame, id_column: str) -> DataFrame:
     """Sublinear tf x idf with unit length per document: (id, term, idx, weight).
 
     The vocabulary has at most a few thousand rows and is broadcast, so only its
-    terms are shuffled to their document.
+    terms are shuffled: once, to their document, where they are counted and normalised.
     """
     # An inner explode would make the planner test the array first and so tokenise twice;
     # the null row of an empty document finds no partner in the join.
     hits = docs.select(id_column, F.explode_outer("terms").alias("term")).join(F.broadcast(vocab), "term")
-    tf = hits.groupBy(id_column, "term", "idx", "idf").agg(F.count("*").alias("tf"))
+    tf = hits.repartition(id_column).groupBy(id_column, "idx").agg(
+        F.count("*").alias("tf"), F.any_value("idf").alias("idf"), F.any_value("term").alias("term")
+    )
     raw = tf.withColumn("w", (F.log("tf") + 1.0) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_column)))
     return raw.select(id_column, "term", "idx", (F.col("w") / norm).alias("weight"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import metrics as M
 from driftwell.operators.splits import kfold, train_test_split
+from driftwell.session import ensure_checkpoints
 from driftwell.operators.textfeatures import MAX_VOCABULARY, sparse_vectors, terms, vocabulary, weights
 
 
@@ -29,6 +30,12 @@ class Trained:
     parameters: dict = field(default_factory=dict)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Materialise a frame that several fits read, so that a lost executor costs no refit."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def assemble(df: DataFrame, features: list[str], label: str, key: str) -> DataFrame:
     rows = df.select(key, F.col(label).cast("double").alias("label"), *features)
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
@@ -100,7 +107,8 @@ def train_sentiment(docs: DataFrame, key: str, text: str, label: str, max_featur
     train_keys = marks.filter(~F.col("is_test")).select(key)
     vocab = vocabulary(grams.join(train_keys, key, "left_semi"), max_features=max_features)
     vectors = sparse_vectors(weights(grams, vocab, key), key, max_features)
-    ready = marks.join(vectors, key)
+    # Written once: fit and test would each tokenise the corpus again.
+    ready = kept(marks.join(vectors, key))
     model = LogisticRegression(maxIter=iterations, regParam=1e-4).fit(ready.filter(~F.col("is_test")))
     scored = model.transform(ready.filter("is_test")).withColumns(
         {"one": F.lit(1), "score": vector_to_array("probability")[1]}
@@ -145,7 +153,7 @@ def cv_scores(df: DataFrame, key: str, estimator: Estimator, folds: int = 5, rep
     """Accuracy and F1 of each (repeat, fold); the loop is over fits, not over rows."""
     out: DataFrame | None = None
     for repeat in range(repeats):
-        marked = kfold(df, key, "label", folds, seed + repeat)
+        marked = kept(kfold(df, key, "label", folds, seed + repeat))
         for fold in range(folds):
             model = estimator.fit(marked.filter(F.col("fold") != fold))
             held = model.transform(marked.filter(F.col("fold") == fold)).withColumns(
@@ -192,7 +200,7 @@ def hpo_cv(df: DataFrame, key: str, estimator: Estimator, trials: list[dict], fo
 
     The folds are assigned once, so every trial sees the same ones.
     """
-    marked = kfold(df, key, "label", folds, seed)
+    marked = kept(kfold(df, key, "label", folds, seed))
     out: DataFrame | None = None
     for number, params in enumerate(trials):
         candidate = estimator.copy({estimator.getParam(k): v for k, v in params.items()})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,16 @@ ORACLES: dict[str, str] = {}
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     """Engines sum in different orders, so doubles are compared after rounding; -0 becomes 0."""
+    scale = 10.0**digits
+
+    def near(c: str) -> Column:
+        x = F.col(c)
+        rounded_up = F.floor(F.abs(x) * scale + 0.5) / scale
+        whole = F.when(F.abs(x) < 1e12, F.when(x < 0, -rounded_up).otherwise(rounded_up)).otherwise(x)
+        return whole + F.lit(0.0)
+
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in doubles}) if doubles else df
+    return df.withColumns({c: near(c) for c in doubles}) if doubles else df
 
 
 def query(name: str, sql: str | None = None, digits: int | None = 6) -> Callable[[Query], Query]:

@@ -196,12 +196,12 @@ c || ' has ' || printf('%.1f%%', p) || ' null values' || CASE WHEN p > 30 THEN '
 @query("dq_empty", f"""WITH {DIRTY} SELECT '*' AS column, 'error' AS severity, 'empty_dataset' AS issue_type, 'Dataset has 0 rows' AS message, 0.0e0 AS value
 WHERE (SELECT count(*) FROM dirty WHERE income < 0) = 0""")
 def dq_empty(spark, d):
-    return Q.check_empty(views.dirty_numbers(spark, d).filter("income < 0"))
+    return Q.check_empty(views.dirty_numbers(spark, d).filter("income < 0")).drop("check_order")
 
 
 @query("dq_nulls", f"WITH {DIRTY}, {NULLS_SQL} SELECT * FROM nulls")
 def dq_nulls(spark, d):
-    return Q.check_nulls(views.dirty_numbers(spark, d))
+    return Q.check_nulls(views.dirty_numbers(spark, d)).drop("check_order")
 
 
 @query("dq_duplicates", """WITH g AS (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL),
@@ -209,7 +209,7 @@ s AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n - 1) AS BIGINT) AS dup
 SELECT '*' AS column, 'warning' AS severity, 'high_duplicates' AS issue_type, 'Dataset has ' || dup || ' duplicate rows (' || printf('%.1f%%', dup * 100.0e0 / total) || ')' AS message,
 round(dup * 100.0e0 / total, 2) AS value FROM s WHERE dup * 100.0e0 / total > 10""")
 def dq_duplicates(spark, d):
-    return Q.check_duplicates(table(spark, d, "lineitem").select("l_suppkey", "l_quantity"))
+    return Q.check_duplicates(table(spark, d, "lineitem").select("l_suppkey", "l_quantity")).drop("check_order")
 
 
 def _outlier_sql(name: str, source: str) -> str:
@@ -228,7 +228,7 @@ c || ' has ' || n || ' outlier(s) beyond 3.0×IQR' AS message, CAST(n AS DOUBLE)
 
 @query("dq_outliers", f"WITH {DIRTY}, {OUTLIER_SQL} SELECT * FROM outl")
 def dq_outliers(spark, d):
-    return Q.check_outliers(views.dirty_numbers(spark, d))
+    return Q.check_outliers(views.dirty_numbers(spark, d)).drop("check_order")
 
 
 RANGES = {"income": (1.0, 200.0), "age": (0.0, 90.0), "missing": (0.0, 1.0)}
@@ -239,7 +239,7 @@ ranges_ AS (SELECT c AS column, 'warning' AS severity, 'out_of_range' AS issue_t
 
 @query("dq_ranges", f"WITH {DIRTY}, {RANGE_SQL} SELECT * FROM ranges_")
 def dq_ranges(spark, d):
-    return Q.check_ranges(views.dirty_numbers(spark, d), RANGES)
+    return Q.check_ranges(views.dirty_numbers(spark, d), RANGES).drop("check_order")
 
 
 def _target_sql(t: str) -> str:
@@ -250,7 +250,7 @@ tissue AS (SELECT '{t}' AS column, 'error' AS severity, 'target_has_nulls' AS is
 
 @query("dq_target", f"WITH {DIRTY}, {_target_sql('category')} SELECT * FROM tissue")
 def dq_target(spark, d):
-    return Q.check_target(views.dirty_numbers(spark, d), "category")
+    return Q.check_target(views.dirty_numbers(spark, d), "category").drop("check_order")
 
 
 REPORT = f"WITH {DIRTY}, {NULLS_SQL}, {OUTLIER_SQL}, {RANGE_SQL}, {_target_sql('target')}"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwell import config
 from driftwell.plans import views
-from driftwell.plans.catalog.base import LOGS, query
+from driftwell.plans.catalog.base import LOGS, ORACLES, query
 from driftwell.plans.catalog.rules import METRICS, RULES
 from driftwell.plans.checks import ModelConfig
 from driftwell.schemas import INFERENCE_EVENT
@@ -166,7 +166,7 @@ def sink_stream_events(spark, d):
     return out.select(back.alias("e")).select("e.event_id", "e.model_id")
 
 
-@query("stream_drift")
+@query("stream_drift", f"SELECT model_id, feature_name, statistic, method, drift_detected, sample_size FROM ({ORACLES['drift_check']}) c")
 def stream_drift(spark, d):
     from driftwell.plans.catalog.drifts import stored_reference
 

@@ -77,9 +77,7 @@ def drift_check(reference: DataFrame, logs: DataFrame, configs: list[ModelConfig
     reference or with fewer than five points yields no report.
     """
     recent = recent_logs(logs, limit)
-    current = recent.select("model_id", F.posexplode("features").alias("position", "value")).select(
-        "model_id", F.concat(F.lit("feature_"), F.col("position")).alias("feature_name"), "value"
-    )
+    current = D.feature_samples(recent, F.lit(False))
     return drift_all_models(D.pair_samples(reference, current), configs, chunks=chunks)
 
 

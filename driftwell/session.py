@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 # Runtime SQL settings the operators rely on. All can be set on a live session.
 RUNTIME_CONF = {
+    # Call-site capture for every column costs seconds on wide expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
