@@ -25,12 +25,13 @@ GAP = "_gap"
 NEVER = np.iinfo(np.int64).min
 
 
-def exit_table(at: np.ndarray, gap: int, strict: bool) -> tuple[list[int], list[int]]:
+def exit_table(at: np.ndarray, gap: int, strict: bool, start: int = NEVER) -> tuple[list[int], list[int]]:
     """Chunk summary as (upper bound of first kept event, last kept event) runs.
 
     Entering with last = x, the first kept event is the first one at or after
     x + gap (after it when strict). Only events within one gap of the chunk's first
-    event can be that, so the table covers those, merged where the exit is equal.
+    event can be that, so the table covers those, merged where the exit is equal. A
+    chunk that begins before `start` is always entered with last = start: one run.
     """
     side = "right" if strict else "left"
     following = np.searchsorted(at, at + gap, side=side)
@@ -39,6 +40,9 @@ def exit_table(at: np.ndarray, gap: int, strict: bool) -> tuple[list[int], list[
     for i in range(size - 1, -1, -1):
         if following[i] < size:
             last[i] = last[following[i]]
+    if start > at[0]:
+        first = int(np.searchsorted(at, start + gap, side=side))
+        return at[first : first + 1].tolist(), last[first : first + 1].tolist()
     reach = min(int(following[0]) + 1, size)
     bounds, exits = at[:reach], last[:reach]
     ends = np.append(np.flatnonzero(exits[1:] != exits[:-1]), reach - 1)
@@ -124,7 +128,7 @@ def _entries(part: DataFrame, strict: bool) -> DataFrame:
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         gap = int(pdf[GAP].iloc[0])
-        bounds, exits = exit_table(np.sort(pdf[AT].to_numpy()), gap, strict)
+        bounds, exits = exit_table(np.sort(pdf[AT].to_numpy()), gap, strict, int(pdf["_start"].iloc[0]))
         return pd.DataFrame(
             {
                 KEY: [pdf[KEY].iloc[0]], CHUNK: [pdf[CHUNK].iloc[0]], "_start": [pdf["_start"].iloc[0]], GAP: [gap],
