@@ -173,9 +173,8 @@ def decile_edges(samples: DataFrame, keys: list[str] = KEYS, bins: int = config.
     reference = _present(samples).filter("is_reference").withColumn("_n", F.lit(1).cast("bigint"))
     frame = ecdf(reference, keys, "value", ["_n"], chunks)
     cuts = ecdf_percentiles(frame, keys, "value", "_n", {f"e{i}": i / bins for i in range(bins + 1)})
-    low, high = F.col("e0"), F.col(f"e{bins}")
     return cuts.select(
-        *keys, *[F.when((F.col(f"e{i}") > low) & (F.col(f"e{i}") < high), F.col(f"e{i}")).alias(f"e{i}") for i in range(1, bins)]
+        *keys, *[F.expr(f"CASE WHEN e{i} > e0 AND e{i} < e{bins} THEN e{i} END AS e{i}") for i in range(1, bins)]
     )
 
 
@@ -187,21 +186,17 @@ def _cells(binned: DataFrame, keys: list[str], bins: int) -> DataFrame:
     """
     counts = binned.groupBy(*keys, "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
 
-    def cell(side: str, i: int) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("bin") == i, F.col(side))), F.lit(0))
-
     return counts.groupBy(*keys).agg(
-        *[cell("n_ref", i).alias(f"r{i}") for i in range(bins)],
-        *[cell("n_cur", i).alias(f"c{i}") for i in range(bins)],
+        *[
+            F.expr(f"coalesce(sum(CASE WHEN bin = {i} THEN {side} END), 0) AS {cell}{i}")
+            for side, cell in (("n_ref", "r"), ("n_cur", "c"))
+            for i in range(bins)
+        ],
         F.sum("n_ref").alias("n_ref"),
         F.sum("n_cur").alias("n_cur"),
     ).filter("n_ref > 0 AND n_cur > 0")
 
 
-def _total(terms: list[Column]) -> Column:
-    return sum(terms[1:], terms[0])
-
-
 def psi(samples: DataFrame, keys: list[str] = KEYS, threshold: float = config.PSI_DRIFT,
         chunks: int | None = None) -> DataFrame:
     """Population stability index over reference deciles; the cut is fixed.
@@ -211,17 +206,16 @@ def psi(samples: DataFrame, keys: list[str] = KEYS, threshold: float = config.PS
     """
     bins = config.HISTOGRAM_BINS
     edges = decile_edges(samples, keys, chunks=chunks)
-    bin_no = _total([F.coalesce((F.col(f"e{i}") <= F.col("value")).cast("int"), F.lit(0)) for i in range(1, bins)])
-    binned = _counted(_present(samples)).join(edges, keys).withColumn("bin", bin_no)
+    bin_no = " + ".join(f"CASE WHEN e{i} <= value THEN 1 ELSE 0 END" for i in range(1, bins))
+    binned = _counted(_present(samples)).join(edges, keys).withColumn("bin", F.expr(bin_no))
 
-    def share(count: str, total: str) -> Column:
-        return F.least(F.lit(1.0), F.greatest(F.lit(config.PSI_EPSILON), F.col(count) / F.col(total)))
+    def share(count: str, total: str) -> str:
+        return f"least(1D, greatest({config.PSI_EPSILON!r}D, {count} / {total}))"
 
-    parts = []
-    for i in range(bins):
-        ref, cur = share(f"r{i}", "n_ref"), share(f"c{i}", "n_cur")
-        parts.append((cur - ref) * F.log(cur / ref))
-    done = _cells(binned, keys, bins).withColumn("statistic", _total(parts)).withColumns(
+    # Bin by bin: (current share - reference share) * log of their ratio.
+    shares = [(share(f"r{i}", "n_ref"), share(f"c{i}", "n_cur")) for i in range(bins)]
+    statistic = " + ".join(f"({cur} - {ref}) * ln({cur} / {ref})" for ref, cur in shares)
+    done = _cells(binned, keys, bins).withColumn("statistic", F.expr(statistic)).withColumns(
         {
             "drift_detected": F.col("statistic") > config.PSI_DRIFT,
             "threshold": F.lit(config.PSI_DRIFT),
@@ -250,25 +244,19 @@ def chi2(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0.05,
     with the edges themselves settles it; the last bin includes its upper edge.
     """
     bins = config.HISTOGRAM_BINS
-    value, low, width = F.col("value"), F.col("lo"), F.col("width")
-    guess = F.floor((value - low) / width)
-    settled = (
-        F.when(value < low + guess * width, guess - 1)
-        .when(value >= low + (guess + 1) * width, guess + 1)
-        .otherwise(guess)
+    settled = """CASE WHEN value < lo + guess * width THEN guess - 1
+                      WHEN value >= lo + (guess + 1) * width THEN guess + 1 ELSE guess END"""
+    binned = (
+        _counted(_present(samples)).join(equal_width_bins(samples, keys), keys)
+        .withColumn("guess", F.expr("floor((value - lo) / width)"))
+        .withColumn("bin", F.expr(f"CAST(greatest(0, least({bins - 1}, {settled})) AS INT)"))
     )
-    bin_no = F.greatest(F.lit(0), F.least(F.lit(bins - 1), settled)).cast("int")
-    binned = _counted(_present(samples)).join(equal_width_bins(samples, keys), keys).withColumn("bin", bin_no)
-    cells = _cells(binned, keys, bins)
-    ref_total, cur_total = F.col("n_ref") + bins, F.col("n_cur") + bins
-    parts = []
-    for i in range(bins):
-        observed = F.col(f"c{i}") + 1.0
-        expected = (F.col(f"r{i}") + 1.0) / ref_total * cur_total
-        parts.append((observed - expected) ** 2 / expected)
+    expected = [f"((r{i} + 1D) / (n_ref + {bins}) * (n_cur + {bins}))" for i in range(bins)]
+    statistic = " + ".join(f"power(c{i} + 1D - {e}, 2) / {e}" for i, e in enumerate(expected))
     p_value = chi2_sf(F.col("statistic"), bins - 1)
-    done = cells.withColumn("statistic", _total(parts)).withColumn("p_value", p_value).withColumns(
-        {"threshold": F.lit(threshold), "drift_detected": F.col("p_value") < threshold}
+    done = (
+        _cells(binned, keys, bins).withColumn("statistic", F.expr(statistic)).withColumn("p_value", p_value)
+        .withColumns({"threshold": F.lit(threshold), "drift_detected": F.col("p_value") < threshold})
     )
     return _report(done, keys, "chi2")
 

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from driftwell import config
 from driftwell.operators.ordered import scanned_bytes
 
-_ALL = "_all"
-
 
 def hash_order(key: str, seed: int) -> Column:
     """60 bits of the md5 of key and seed, so other engines can reproduce the order."""
@@ -55,16 +53,19 @@ def lowest(df: DataFrame, key: str, classes: list[str], take: Column, seed: int,
            out: str = "selected") -> DataFrame:
     """Flag, per class, the `take` rows that come first in the hash order."""
     columns = df.columns
-    keys = classes or [_ALL]
-    base = df if classes else df.withColumn(_ALL, F.lit(0))
-    cells = _cells(base, key, seed, _cell_bits(df))
-    # One row per class. Classes are few where stratification applies; the planner
-    # checks the size before it broadcasts.
-    placed = cells.join(_cuts(cells, keys, take), keys, "left")
+    cells = _cells(df, key, seed, _cell_bits(df))
+    cuts = _cuts(cells, classes, take)
+    if classes:
+        # One row per class. Classes are few where stratification applies; the planner
+        # checks the size before it broadcasts.
+        placed = cells.join(cuts, classes, "left")
+    else:
+        cut = cuts.select(F.struct("_edge", "_rest")).scalar()
+        placed = cells.withColumn("_cut", cut).select(*cells.columns, "_cut._edge", "_cut._rest")
     before = F.coalesce(F.col("_cell") < F.col("_edge"), F.lit(False))
     in_edge = F.coalesce(F.col("_cell") == F.col("_edge"), F.lit(False))
     settled = placed.filter(~in_edge).select(*columns, before.alias(out))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key))
+    rank = F.row_number().over(Window.partitionBy(*classes, "_cell").orderBy("_h", key))
     ranked = placed.filter(in_edge).select(*columns, (rank <= F.col("_rest")).alias(out))
     return settled.unionByName(ranked)
 

@@ -36,21 +36,21 @@ def error_rate(logs: DataFrame, keys: list[str], window: str = "1 hour", at: str
     return stats.select(_starts(), *keys, "total", "failed", (F.col("failed") / F.col("total")).alias("error_rate"))
 
 
-def bucket_quantile(counts: list[Column], bounds: list[float], q: float) -> Column:
-    """Quantile from cumulative bucket counts (the last entry is the total).
+def bucket_quantile(counts: list[str], bounds: list[float], q: float) -> str:
+    """SQL of a quantile from cumulative bucket counts (the last entry is the total).
 
     Linear inside the first bucket that reaches the rank; the lowest bucket starts at
     0, and a rank beyond the last bound gives that bound.
     """
     total = counts[-1]
-    rank = F.lit(q) * total
-    found = F.when(total == 0, F.lit(None).cast("double"))
-    low, before = 0.0, F.lit(0).cast("bigint")
+    rank = f"({q!r}D * {total})"
+    arms = [f"WHEN {total} = 0 THEN NULL"]
+    low, before = 0.0, "0"
     for high, upto in zip(bounds, counts):
-        share = F.try_divide(rank - before, (upto - before).cast("double"))
-        found = found.when(upto >= rank, F.coalesce(F.lit(low) + F.lit(high - low) * share, F.lit(high)))
+        inside = f"{low!r}D + {high - low!r}D * try_divide({rank} - {before}, double({upto} - {before}))"
+        arms.append(f"WHEN {upto} >= {rank} THEN coalesce({inside}, {high!r}D)")
         low, before = high, upto
-    return found.otherwise(F.lit(bounds[-1]))
+    return f"CASE {' '.join(arms)} ELSE {bounds[-1]!r}D END"
 
 
 def bucket_quantiles(logs: DataFrame, value: Column, bounds: list[float], quantiles: dict[str, float],
@@ -61,10 +61,10 @@ def bucket_quantiles(logs: DataFrame, value: Column, bounds: list[float], quanti
     grouped = logs.groupBy(F.window(at, window, slide).alias("w"), *keys).agg(
         *counters, F.count(value).alias(f"b{len(bounds)}")
     )
-    counts = [F.col(f"b{i}") for i in range(len(bounds) + 1)]
+    counts = [f"b{i}" for i in range(len(bounds) + 1)]
     return grouped.select(
-        _starts(), *keys, counts[-1].alias("requests"),
-        *[bucket_quantile(counts, bounds, q).alias(name) for name, q in quantiles.items()],
+        _starts(), *keys, F.col(counts[-1]).alias("requests"),
+        *[F.expr(bucket_quantile(counts, bounds, q)).alias(name) for name, q in quantiles.items()],
     )
 
 
