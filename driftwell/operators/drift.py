@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell import config
 from driftwell.functions.exact_ks import EXACT_LIMIT, exact_ks_p_udf
 from driftwell.functions.math import chi2_sf, ks_asymptotic_p
-from driftwell.operators.ordered import ecdf, ecdf_percentiles
+from driftwell.operators.ordered import ecdf, ecdf_percentiles, top_per_key
 
 KEYS = ["model_id", "feature_name"]
 REPORT = ["feature_name", "drift_detected", "p_value", "statistic", "threshold", "method",
@@ -301,7 +301,5 @@ def latest_scores(reports: DataFrame) -> DataFrame:
 
 def history(reports: DataFrame, limit: int = 100) -> DataFrame:
     """Latest `limit` reports of every model, newest first."""
-    newest = Window.partitionBy("model_id").orderBy(
-        F.col("analyzed_at").desc(), F.col("feature_name"), F.col("method")
-    )
-    return reports.withColumn("position", F.row_number().over(newest)).filter(F.col("position") <= limit)
+    newest = [F.col("analyzed_at").desc(), F.col("feature_name"), F.col("method")]
+    return top_per_key(reports, ["model_id"], newest, limit, "analyzed_at", "position")

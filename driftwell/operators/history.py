@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.operators.ordered import top_per_key
+
 INACTIVE_STAGES = ["archived", "retired"]
 
 # Job status -> statuses it may follow (None is the start of a job).
@@ -76,11 +78,6 @@ def listed(state: DataFrame) -> DataFrame:
     return state.filter("is_active").orderBy("model_id", "version")
 
 
-def _newest(order: list[Column], keys: list[str], df: DataFrame, limit: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("position", rank).filter(F.col("position") <= limit)
-
-
 def jobs(events: DataFrame) -> DataFrame:
     """Current state of each job with its start, end and duration."""
     terminal = F.col("status").isin("completed", "failed", "cancelled")
@@ -98,7 +95,8 @@ def jobs(events: DataFrame) -> DataFrame:
 
 def job_history(events: DataFrame, limit: int = 50) -> DataFrame:
     """Newest `limit` jobs of every model."""
-    return _newest([F.col("created_at").desc(), F.col("job_id")], ["model_id"], jobs(events), limit)
+    newest = [F.col("created_at").desc(), F.col("job_id")]
+    return top_per_key(jobs(events), ["model_id"], newest, limit, "job_id", "position")
 
 
 def latest_completed(events: DataFrame) -> DataFrame:

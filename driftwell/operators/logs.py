@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell import config
+from driftwell.operators.ordered import top_per_key
 
 
 def newest_first() -> list[Column]:
@@ -15,13 +16,11 @@ def newest_first() -> list[Column]:
 def recent_logs(logs: DataFrame, limit: int = config.RECENT_LOGS, model_id: str | None = None) -> DataFrame:
     """Newest `limit` rows of one model, or of every model.
 
-    One model is a top-k. For all models the row-number filter becomes a group
-    limit: each map task sends at most `limit` rows per model.
+    One model is a top-k; all models are a top-k per key.
     """
     if model_id is not None:
         return logs.filter(F.col("model_id") == model_id).orderBy(*newest_first()).limit(limit)
-    rank = F.row_number().over(Window.partitionBy("model_id").orderBy(*newest_first()))
-    return logs.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+    return top_per_key(logs, ["model_id"], newest_first(), limit, "id")
 
 
 def labeled_logs(logs: DataFrame, limit: int = config.LABELED_LOGS, model_id: str | None = None) -> DataFrame:

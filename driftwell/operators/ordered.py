@@ -24,6 +24,7 @@ CHUNK = "_chunk"
 SMALL_BYTES = 64 << 20
 CHUNK_BYTES = 128 << 20
 MAX_CHUNKS = 50_000
+MAX_SALTS = 256
 _UNKNOWN_BYTES = 1 << 60
 
 
@@ -255,3 +256,24 @@ def carry_last(
         .withColumns({c: F.coalesce(F.col(c), F.col(f"_p_{c}")) for c in columns})
         .drop(CHUNK, *[f"_p_{c}" for c in columns])
     )
+
+
+def top_per_key(
+    df: DataFrame, keys: list[str], order: list[Column], limit: int, spread_by: str,
+    out: str | None = None, salts: int | None = None,
+) -> DataFrame:
+    """First `limit` rows of every key.
+
+    The rank filter lets each map task send at most `limit` rows per key. With many
+    map tasks that is still a lot for one hot key, so large inputs rank within salted
+    shares of the key first: the last step sees salts x limit rows of a key at most.
+    """
+    n = salts or min(MAX_SALTS, planned_chunks(df))
+    if n > 1:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(n)))
+        share = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+        df = salted.withColumn("_rank", share).filter(F.col("_rank") <= limit).drop("_rank", "_salt")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    name = out or "_rank"
+    top = df.withColumn(name, rank).filter(F.col(name) <= limit)
+    return top if out else top.drop("_rank")

@@ -77,10 +77,11 @@ def enrich_requests(requests: DataFrame, store: DataFrame, names: list[str]) ->
 
 
 def historical_features(labels: DataFrame, store: DataFrame, names: list[str],
-                        max_age_seconds: float | None = None, chunks: int | None = None) -> DataFrame:
+                        max_age_seconds: float | None = None, chunks: int | None = None,
+                        keep: list[str] | None = None) -> DataFrame:
     """Point-in-time lookup: for every label row the latest value at or before its time.
 
-    Labels carry entity_id, label_id and ts. Labels and feature rows are merged into
+    Labels carry entity_id, label_id and ts, and any columns to `keep`. Labels and feature rows are merged into
     one time line per entity and values are carried forward, so nothing is joined by
     range and no label row is copied per feature. Hot entities are cut into chunks.
     """
@@ -90,6 +91,7 @@ def historical_features(labels: DataFrame, store: DataFrame, names: list[str],
         F.col("event_ts").alias("ts"),
         F.lit(0).alias("_kind"),
         F.lit(None).cast("bigint").alias("label_id"),
+        *[F.lit(None).cast(labels.schema[c].dataType).alias(c) for c in keep or []],
         *[
             F.when(F.col("feature") == n, F.struct(F.col("value"), F.col("event_ts").alias("seen"))).alias(s)
             for n, s in zip(names, slots)
@@ -97,6 +99,7 @@ def historical_features(labels: DataFrame, store: DataFrame, names: list[str],
     )
     asked = labels.select(
         "entity_id", "ts", F.lit(1).alias("_kind"), F.col("label_id").cast("bigint").alias("label_id"),
+        *(keep or []),
         *[F.lit(None).cast(facts.schema[s].dataType).alias(s) for s in slots],
     )
     line = carry_last(
@@ -110,16 +113,14 @@ def historical_features(labels: DataFrame, store: DataFrame, names: list[str],
         age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col(slot)["seen"].cast("timestamp"))
         return F.when(age <= int(max_age_seconds * 1_000_000), found)
 
-    return line.select("entity_id", "label_id", "ts", *[value(s).alias(n) for n, s in zip(names, slots)])
+    return line.select("entity_id", "label_id", "ts", *(keep or []), *[value(s).alias(n) for n, s in zip(names, slots)])
 
 
 def training_dataset(labels: DataFrame, store: DataFrame, names: list[str], path: str | None = None,
                      max_age_seconds: float | None = None, chunks: int | None = None) -> DataFrame:
     """Labels with their point-in-time features (0.0 where none existed yet), optionally written."""
-    features = historical_features(labels, store, names, max_age_seconds, chunks)
-    rows = features.join(labels.select("label_id", "label"), "label_id").withColumns(
-        {n: F.coalesce(F.col(n), F.lit(0.0)) for n in names}
-    )
+    features = historical_features(labels, store, names, max_age_seconds, chunks, ["label"])
+    rows = features.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names})
     if path is None:
         return rows
     rows.write.parquet(path)

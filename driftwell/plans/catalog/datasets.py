@@ -130,6 +130,14 @@ def source_jsonl_audit(spark, d):
     return _audit(spark, d).groupBy("action").agg(F.count("*").alias("n"), F.count_if("success").alias("succeeded"))
 
 
+@query("sink_audit", """SELECT CASE WHEN event_type = 'error' THEN 'FAIL' ELSE 'OK' END AS outcome, 'user-' || user_id AS user, count(*) AS entries FROM events GROUP BY ALL""")
+def sink_audit(spark, d):
+    path = scratch_path(spark, "audit_sink")
+    I.append_audit(_audit_entries(spark, d), path)
+    outcome = F.when(F.col("success"), F.lit("OK")).otherwise(F.lit("FAIL"))
+    return I.read_audit(spark, path).groupBy(outcome.alias("outcome"), "user").agg(F.count("*").alias("entries"))
+
+
 @query("audit_query", """SELECT printf('%012d', event_id) AS correlation_id, 'user-' || user_id AS user, props AS details
 FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100""")
 def audit_query(spark, d):

@@ -60,6 +60,16 @@ def test_carry_last_crosses_chunks(spark, chunks):
     assert rows(O.carry_last(df, ["k"], ["t"], ["v"], 1)) == rows(O.carry_last(df, ["k"], ["t"], ["v"], chunks))
 
 
+@pytest.mark.parametrize("salts", [1, 4])
+def test_top_per_key(skewed, salts):
+    got = O.top_per_key(skewed, ["k"], [F.col("v").desc(), F.col("id")], 20, "id", "position", salts)
+    data = {}
+    for k, v, i in skewed.collect():
+        data.setdefault(k, []).append((-v, i))
+    want = {(k, i, p) for k, rows_ in data.items() for p, (_, i) in enumerate(sorted(rows_)[:20], start=1)}
+    assert {(r["k"], r["id"], r["position"]) for r in got.collect()} == want
+
+
 def test_small_files_need_no_chunks_and_unknown_sizes_do(spark, tiny):
     assert O.planned_chunks(spark.read.parquet(f"{tiny}/events.parquet")) == 1
     assert O.planned_chunks(spark.createDataFrame([(1,)], "a int")) > 1
