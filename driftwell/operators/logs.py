@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell import config
-from driftwell.operators.ordered import top_per_key
+from driftwell.operators.ordered import running_sums, top_per_key
 
 
 def newest_first() -> list[Column]:
@@ -178,22 +178,28 @@ def cast_features(df: DataFrame, columns: list[str], reject: bool = False) -> Da
 
 
 def rolling_request_flags(logs: DataFrame, key: str, limit: int = config.REQUESTS_PER_MINUTE,
-                          window_seconds: int = 60) -> DataFrame:
+                          window_seconds: int = 60, chunks: int | None = None) -> DataFrame:
     """Flag requests with more than `limit` requests of the key in the window ending at them.
 
-    Audits a log after the fact, so rejected requests count too. A long-lived or hot
-    key is cut into time cells of one window length: a request only needs its own
-    cell and the one before, so rows are copied once into the next cell and no task
-    ever holds more than two cells of a key.
+    Audits a log after the fact, so rejected requests count too. A request arrives at
+    its time and leaves one window later; the running sum of arrivals minus departures
+    is the count, so the cost does not depend on how many requests a window holds and
+    a hot key is cut into chunks.
     """
     at = F.unix_micros(F.col("created_at").cast("timestamp"))
     span = window_seconds * 1_000_000
-    base = logs.select(key, "id", at.alias("_at")).withColumn("_cell", F.floor(F.col("_at") / span))
-    spread = base.select(
-        key, "id", "_at", F.explode(F.array(F.col("_cell"), F.col("_cell") + 1)).alias("_in"), "_cell"
+    base = logs.select(key, "id", at.alias("_at"))
+    moves = base.select(
+        key,
+        F.inline(
+            F.array(
+                F.struct(F.col("_at"), F.lit(1).cast("bigint").alias("_move"), F.lit(1).alias("_arrived")),
+                F.struct((F.col("_at") + span).alias("_at"), F.lit(-1).cast("bigint").alias("_move"), F.lit(0).alias("_arrived")),
+            )
+        ),
     )
-    trailing = Window.partitionBy(key, "_in").orderBy("_at").rangeBetween(-span + 1, 0)
-    counted = spread.withColumn("requests_in_window", F.count("*").over(trailing))
-    return counted.filter("_in = _cell").select(
+    instants = moves.groupBy(key, "_at").agg(F.sum("_move").alias("_move"), F.max("_arrived").alias("_arrived"))
+    counted = running_sums(instants, [key], ["_at"], {"requests_in_window": "_move"}, chunks).filter("_arrived = 1")
+    return base.join(counted.select(key, "_at", "requests_in_window"), [key, "_at"]).select(
         "id", key, "requests_in_window", (F.col("requests_in_window") > limit).alias("limited")
     )

@@ -22,8 +22,8 @@ from driftwell.session import ensure_checkpoints
 
 CHUNK = "_chunk"
 SMALL_BYTES = 64 << 20
-CHUNK_BYTES = 128 << 20
-MAX_CHUNKS = 50_000
+CHUNK_BYTES = 32 << 20
+MAX_CHUNKS = 100_000
 MAX_SALTS = 256
 _UNKNOWN_BYTES = 1 << 60
 
@@ -42,9 +42,10 @@ def planned_chunks(df: DataFrame) -> int:
     size = scanned_bytes(df)
     if size <= SMALL_BYTES:
         return 1
+    parallel = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if size >= _UNKNOWN_BYTES:
-        return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(2, min(MAX_CHUNKS, math.ceil(size / CHUNK_BYTES)))
+        return parallel
+    return max(parallel, min(MAX_CHUNKS, math.ceil(size / CHUNK_BYTES)))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -57,20 +58,36 @@ def follow(entry: int, bounds: np.ndarray, exits: np.ndarray, gap: int, strict:
     return int(exits[at]) if at < len(exits) else entry
 
 
+def keep_spaced(at: np.ndarray, gap: int, strict: bool, last: int) -> tuple[list[int], int]:
+    """Positions kept of sorted times, jumping from one kept event to the next."""
+    side = "right" if strict else "left"
+    kept = []
+    i = 0 if last == NEVER else int(np.searchsorted(at, last + gap, side=side))
+    while i < len(at):
+        kept.append(i)
+        last = int(at[i])
+        i = max(i + 1, int(np.searchsorted(at, last + gap, side=side)))
+    return kept, last
+
+
 def _replay(strict: bool):
-    """Walk sorted rows once, carrying one number across batches and resetting at each scan."""
+    """Walk sorted rows scan by scan, carrying one number across the batches of a scan."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan, last = None, NEVER
         for batch in batches:
+            keys, chunks = batch[KEY].to_numpy(), batch[CHUNK].to_numpy()
+            at, gaps, entries = (batch[c].to_numpy() for c in (AT, GAP, "_entry"))
             kept = np.zeros(len(batch), dtype=bool)
-            rows = zip(batch[KEY], batch[CHUNK], batch[AT], batch[GAP], batch["_entry"])
-            for i, (key, chunk, at, gap, entry) in enumerate(rows):
-                if (key, chunk) != scan:
-                    scan, last = (key, chunk), entry
-                waited = last == NEVER or (at - last > gap if strict else at - last >= gap)
-                if waited:
-                    kept[i], last = True, at
+            changes = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+            edges = [0, *changes.tolist(), len(batch)]
+            for low, high in zip(edges, edges[1:]):
+                if low == high:
+                    continue
+                if (keys[low], chunks[low]) != scan:
+                    scan, last = (keys[low], chunks[low]), int(entries[low])
+                hits, last = keep_spaced(at[low:high], int(gaps[low]), strict, last)
+                kept[np.asarray(hits, dtype=np.int64) + low] = True
             yield batch.assign(_kept=kept)
 
     return walk
@@ -126,13 +143,14 @@ def spaced(
 def _entries(part: DataFrame, strict: bool) -> DataFrame:
     """Last kept event before each (key, chunk)."""
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        gap = int(pdf[GAP].iloc[0])
-        bounds, exits = exit_table(np.sort(pdf[AT].to_numpy()), gap, strict, int(pdf["_start"].iloc[0]))
-        return pd.DataFrame(
+    def summarise(rows: pa.Table) -> pa.Table:
+        gap, start = rows[GAP][0].as_py(), rows["_start"][0].as_py()
+        bounds, exits = exit_table(np.sort(rows[AT].to_numpy()), gap, strict, start)
+        return pa.table(
             {
-                KEY: [pdf[KEY].iloc[0]], CHUNK: [pdf[CHUNK].iloc[0]], "_start": [pdf["_start"].iloc[0]], GAP: [gap],
-                "bounds": [bounds], "exits": [exits],
+                KEY: [rows[KEY][0].as_py()], CHUNK: pa.array([rows[CHUNK][0].as_py()], pa.int32()),
+                "_start": [start], GAP: [gap],
+                "bounds": pa.array([bounds], pa.list_(pa.int64())), "exits": pa.array([exits], pa.list_(pa.int64())),
             }
         )
 
@@ -149,7 +167,7 @@ def _entries(part: DataFrame, strict: bool) -> DataFrame:
     # chunk holds at most one key that began before it and one that ends after it.
     spans = part.groupBy(KEY).agg(F.countDistinct(CHUNK).alias("_spans")).filter("_spans > 1")
     wide = part.select(KEY, CHUNK, AT, GAP, "_start").join(spans, KEY, "left_semi")
-    summaries = wide.groupBy(KEY, CHUNK).applyInPandas(
+    summaries = wide.groupBy(KEY, CHUNK).applyInArrow(
         summarise, f"{KEY} string, {CHUNK} int, _start bigint, {GAP} bigint, bounds array<bigint>, exits array<bigint>"
     )
     return summaries.groupBy(KEY).applyInPandas(chain, f"{KEY} string, {CHUNK} int, _entry bigint")

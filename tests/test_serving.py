@@ -97,12 +97,13 @@ def test_cache_hits_do_not_extend(spark, chunks):
     assert got == {0: False, 1: True, 2: True, 3: False, 4: True, 5: False}
 
 
-def test_rolling_flags_match_a_plain_count(spark):
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_rolling_flags_match_a_plain_count(spark, chunks):
     times = [0, 10, 59, 60, 61, 119, 120, 500]
     logs = spark.createDataFrame([(i, "k", t) for i, t in enumerate(times)], "id int, key string, t int").withColumn(
         "created_at", F.timestamp_seconds("t")
     )
-    got = {r["id"]: r["requests_in_window"] for r in L.rolling_request_flags(logs, "key", 2).collect()}
+    got = {r["id"]: r["requests_in_window"] for r in L.rolling_request_flags(logs, "key", 2, chunks=chunks).collect()}
     assert got == {i: sum(1 for u in times if t - 60 < u <= t) for i, t in enumerate(times)}
 
 
