@@ -370,9 +370,9 @@ def _cache_log(spark, d):
     )
 
 
-DEDUP = f"""WITH RECURSIVE {LOGS}, q AS (SELECT id, model_id, model_version, floor(f0 / 50) AS f, epoch_us(created_at) AS us,
+DEDUP = f"""WITH RECURSIVE {LOGS}, q AS MATERIALIZED (SELECT id, model_id, model_version, floor(f0 / 50) AS f, epoch_us(created_at) AS us,
  row_number() OVER (PARTITION BY model_id, model_version, floor(f0 / 50) ORDER BY created_at, id) AS n FROM logs),
-nx AS (SELECT a.model_id, a.model_version, a.f, a.n, min(b.n) AS next FROM q a JOIN q b ON a.model_id = b.model_id AND a.model_version = b.model_version AND a.f = b.f AND a.us + 14400000000 < b.us GROUP BY ALL),
+nx AS MATERIALIZED (SELECT a.model_id, a.model_version, a.f, a.n, min(b.n) AS next FROM q a JOIN q b ON a.model_id = b.model_id AND a.model_version = b.model_version AND a.f = b.f AND a.us + 14400000000 < b.us GROUP BY ALL),
 miss(model_id, model_version, f, n) AS (SELECT model_id, model_version, f, n FROM q WHERE n = 1
  UNION ALL SELECT m.model_id, m.model_version, m.f, x.next FROM miss m JOIN nx x ON m.model_id = x.model_id AND m.model_version = x.model_version AND m.f = x.f AND m.n = x.n)"""
 

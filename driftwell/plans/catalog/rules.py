@@ -85,10 +85,10 @@ rules(rule_name, metric, threshold, severity, comparison, cooldown, description)
   ('moderate_drift_score', 'drift_score', 0.1e0, 'warning', 'gt', 120, 'Data drift score exceeds warning threshold'),
   ('slow_request', 'latency_ms', 100.0e0, 'warning', 'gte', 3600, 'Request is slow'),
   ('fast_request', 'latency_ms', 0.5e0, 'info', 'lt', 7200, 'Request is suspiciously fast')),
-hits AS (SELECT p.*, r.* EXCLUDE (metric), epoch_us(moment) AS us, row_number() OVER (PARTITION BY rule_name ORDER BY moment, model_id, id) AS n
+hits AS MATERIALIZED (SELECT p.*, r.* EXCLUDE (metric), epoch_us(moment) AS us, row_number() OVER (PARTITION BY rule_name ORDER BY moment, model_id, id) AS n
   FROM points p JOIN rules r USING (metric) WHERE CASE comparison WHEN 'lt' THEN value < threshold WHEN 'gte' THEN value >= threshold
   WHEN 'lte' THEN value <= threshold ELSE value > threshold END),
-nexts AS (SELECT a.rule_name, a.n, min(b.n) AS next FROM hits a JOIN hits b
+nexts AS MATERIALIZED (SELECT a.rule_name, a.n, min(b.n) AS next FROM hits a JOIN hits b
   ON a.rule_name = b.rule_name AND a.us + a.cooldown * CAST(1000000 AS BIGINT) <= b.us GROUP BY ALL),
 fired(rule_name, n) AS (SELECT DISTINCT rule_name, CAST(1 AS BIGINT) FROM hits UNION ALL SELECT f.rule_name, x.next FROM fired f JOIN nexts x ON f.rule_name = x.rule_name AND f.n = x.n)"""
 
