@@ -5,16 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
-# Runtime SQL settings the operators rely on. All can be set on a live session.
-RUNTIME_CONF = {
+# Static keys: they can only be given before a session starts, so only build_session uses them.
+BUILD_CONF = {
     # Call-site capture for every column costs seconds on wide expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+# Settings the results or plans rely on, all modifiable on a live session.
+RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     # newest-N-per-model keeps N rows per map task before the shuffle; the
     # largest N used by the log readers is 10,000.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
@@ -30,7 +34,7 @@ def build_session(cores: int | str = "*", app: str = "driftwell", **conf: str) -
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
     )
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**BUILD_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,27 +42,35 @@ def build_session(cores: int | str = "*", app: str = "driftwell", **conf: str) -
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+    """Give a session somebody else created the settings above, as far as it lets itself be changed.
+
+    A time zone other than UTC is switched with a warning, as timestamps would mean other instants.
+    """
     for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+        current = spark.conf.get(key, None)
+        if current == value or not spark.conf.isModifiable(key):
+            continue
+        if key == "spark.sql.session.timeZone" and current not in ("Etc/UTC", "GMT", "Z"):
+            warnings.warn(f"session time zone {current} is switched to UTC", stacklevel=2)
+        spark.conf.set(key, value)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
-    Only where the cluster names none (tests, laptops) a local folder is used.
+    Only a local master, where driver and executors are one process, may fall back to a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
-        return known.rstrip("/")
-    fallback = os.path.join(tempfile.gettempdir(), "driftwell-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+        return known.rsplit("/", 1)[0]
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return os.path.join(tempfile.gettempdir(), "driftwell-checkpoints")
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
