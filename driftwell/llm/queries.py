@@ -1,11 +1,13 @@
 """The registered queries of this folder and the SQL that must agree with them."""
 
-from driftwell.llm import exact_dedup
+from driftwell.llm import exact_dedup, mixing
 
 QUERIES = {
+    "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES = {
+    "op7_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
