@@ -1,13 +1,16 @@
 """The registered queries of this folder and the SQL that must agree with them."""
 
-from driftwell.llm import exact_dedup, mixing
+from driftwell.llm import exact_dedup, language, mixing, url_filter
 
 QUERIES = {
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op9_language_id": language.op9_language_id,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES = {
+    "op6_url_filter": url_filter.SQL,
     "op7_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
