@@ -91,7 +91,7 @@ def test_predicts_held_out(spark):
 
 def test_odd_texts_and_tables(spark):
     trees = language.trained_on(frame(spark, corpus()))
-    odd = [(1, None), (2, ""), (3, "123 %%%"), (4, "é"), (5, "the " * 200000), (6, "日本語"), (None, "the house"), (6, "日本語")]
+    odd = [(1, None), (2, ""), (3, "123 %%%"), (4, "é"), (5, "the " * 200000), (6, "日本語", None, "s"), (None, "the house"), (6, "日本語", None, "s")]
     got = language.identified(frame(spark, odd).withColumns({c: F.lit("x") for c in ("lang_pred", "score", "found")}), trees).collect()
     by = {r.doc_id: r for r in got}
     assert [by[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and [by[i].score for i in (1, 2, 3)] == [0, 0, 0]
