@@ -1,10 +1,11 @@
 """The registered queries of this folder and the SQL that must agree with them."""
 
-from driftwell.llm import exact_dedup, language, mixing, url_filter
+from driftwell.llm import exact_dedup, language, mixing, toxicity, url_filter
 
 QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op9_language_id": language.op9_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
