@@ -1,8 +1,9 @@
 """The registered queries of this folder and the SQL that must agree with them."""
 
-from driftwell.llm import exact_dedup, language, mixing, toxicity, url_filter
+from driftwell.llm import exact_dedup, language, mixing, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op6_url_filter": url_filter.op6_url_filter,
     "op9_language_id": language.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
