@@ -1,8 +1,9 @@
 """The registered queries of this folder and the SQL that must agree with them."""
 
-from driftwell.llm import exact_dedup, language, mixing, simhash, token_files, toxicity, url_filter
+from driftwell.llm import exact_dedup, language, mixing, simhash, token_files, toxicity, url_filter, word_bpe
 
 QUERIES = {
+    "op5_word_bpe": word_bpe.op5_word_bpe,
     "op1_token_files": token_files.op1_token_files,
     "op3_simhash": simhash.op3_simhash,
     "op6_url_filter": url_filter.op6_url_filter,
