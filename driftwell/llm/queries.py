@@ -1,8 +1,9 @@
 """The registered queries of this folder and the SQL that must agree with them."""
 
-from driftwell.llm import exact_dedup, language, mixing, quality, simhash, token_files, toxicity, url_filter, word_bpe
+from driftwell.llm import exact_dedup, language, mixing, pseudonyms, quality, simhash, token_files, toxicity, url_filter, word_bpe
 
 QUERIES = {
+    "op2_pseudonyms": pseudonyms.op2_pseudonyms,
     "op4_quality": quality.op4_quality,
     "op5_word_bpe": word_bpe.op5_word_bpe,
     "op1_token_files": token_files.op1_token_files,
