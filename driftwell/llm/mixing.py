@@ -174,14 +174,13 @@ def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     Copies are found by doc_id; rows that share a doc_id and a size have the same chance, and each gets the copies of
     one of them.
     """
-    drawn = mixed(docs).select("doc_id", "source", "size", "copies")
+    drawn = kept_once(mixed(docs).select("doc_id", "source", "size", "copies"))
     order = "partition by doc_id, source, size"
     drawn = drawn.selectExpr("doc_id as __id", "source as __source", "size as __size", "copies as __copies",
                              f"row_number() over ({order} order by copies desc) as __nth")
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.withColumn("__words", size)
-    repeats = drawn.filter("__nth > 1").isEmpty()
-    if repeats:
+    if drawn.filter("__nth > 1").isEmpty():
         nth = F.lit(1)
     else:
         nth = F.expr("row_number() over (partition by doc_id, source, __words order by text)")
