@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,37 +96,96 @@ class EliasFano:
 
 # A blank before anything but white space always begins a token, so the pieces between such blanks are encoded alone.
 PIECES = re.compile(r" (?=\S)")
+# In a piece of letters, ASCII marks and single line ends these runs are the words that the tokenizer cuts first.
+RUNS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n")
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte: itself where printable, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
 
 class Encoder:
-    """The tokenizers library over whole texts, with a bounded memory of the pieces it has met."""
+    """The tokenizers library over whole texts, with a bounded memory of the pieces and words it has met.
+
+    A plain piece is cut into words here, and the library's model encodes each new word; any other piece goes through
+    the whole library.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.shown = byte_characters()
+        self.special = "<|"  # no piece that may hold a special token is plain
+        # Pieces after a blank and words; each has a present and a former generation.
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        found = array(self.code, ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.old_words.get(word)
+            if ids is None:
+                shown = word.encode().decode("latin-1").translate(self.shown)
+                ids = self._packed([t.id for t in self.model.tokenize(shown)])
+            self.words[word] = ids
+        return ids
+
+    def _resolve(self, missing: list[str]) -> None:
+        hard = []
+        for piece in missing:
+            if piece.isalpha():
+                self.pieces[piece] = self._word(" " + piece)
+                continue
+            runs = RUNS.findall(piece)
+            # Some numbers pass for letters in the pattern; they, and whatever it leaves out, need the library.
+            if sum(map(len, runs)) != len(piece) or "\n\n" in piece or self.special in piece or not all(
+                    r.isalpha() or r.isascii() for r in runs):
+                hard.append(piece)
+                continue
+            if runs[0] != "\n":
+                runs[0] = " " + runs[0]
+                self.pieces[piece] = b"".join(map(self._word, runs))
+            else:
+                hard.append(piece)
+        self.pieces.update(zip(hard, self._whole([" " + p for p in hard]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, packed."""
         split = [PIECES.split(t) for t in texts]
-        heads = self._packed([s[0] for s in split])
-        wanted = {p for s in split for p in s[1:]}
-        known = {p: self.new.get(p) or self.old.get(p) for p in wanted}
-        missing = [p for p, ids in known.items() if ids is None]
-        known |= dict(zip(missing, self._packed([" " + p for p in missing]), strict=True))
-        if len(self.new) + len(missing) > CACHED:
-            self.old, self.new = self.new, {}
-        if len(missing) <= CACHED:
-            self.new |= known
-        return [head + b"".join([known[p] for p in s[1:]]) for head, s in zip(heads, split, strict=True)]
+        heads = self._whole([s[0] for s in split])
+        missing = []
+        for piece in set().union(*(s[1:] for s in split)) - self.pieces.keys():
+            known = self.old_pieces.get(piece)
+            if known is None:
+                missing.append(piece)
+            else:
+                self.pieces[piece] = known
+        self._resolve(missing)
+        out = [head + b"".join(map(self.pieces.__getitem__, s[1:])) for head, s in zip(heads, split, strict=True)]
+        if len(self.pieces) > CACHED:
+            self.old_pieces, self.pieces = self.pieces, {}
+        if len(self.words) > CACHED:
+            self.old_words, self.words = self.words, {}
+        return out
 
 
 def write_task(shared, end_id: int):
