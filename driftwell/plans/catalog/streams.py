@@ -15,16 +15,13 @@ from driftwell.streaming import events as E
 from driftwell.streaming import monitor
 from driftwell.streaming import windows as W
 
-# A window of a stream shows up once the watermark (newest event - 10 minutes) has passed its end.
-CLOSED = "(SELECT epoch(max(created_at)) - 600 FROM logs)"
 
+def event_stream(spark, d, max_files=None):
+    return E.file_stream(spark, f"{d}/events.parquet", views.events(spark, d).schema, max_files)
 
-def event_stream(spark, d):
-    return E.file_stream(spark, d, views.events(spark, d).schema, "events.parquet*")
 
-
-def log_stream(spark, d):
-    return W.with_lateness(views.from_events(event_stream(spark, d)))
+def log_stream(spark, d, max_files=None):
+    return views.from_events(event_stream(spark, d, max_files))
 
 
 RATE = """SELECT CAST(floor(epoch(created_at) / 60) * 60 AS BIGINT) AS window_start, model_id, model_version, count(*) AS requests, round(count(*) / 60.0e0, 6) AS rate FROM logs GROUP BY ALL"""
@@ -35,9 +32,11 @@ def request_rate(spark, d):
     return W.request_rate(views.prediction_logs(spark, d), ["model_id", "model_version"])
 
 
-@query("stream_request_rate", f"WITH {LOGS}, r AS ({RATE}) SELECT * FROM r WHERE window_start + 60 <= {CLOSED}")
-def stream_request_rate(spark, d):
-    return E.run_to_table(W.request_rate(log_stream(spark, d), ["model_id", "model_version"]), "request_rate")
+@query("stream_request_rate", f"WITH {LOGS} {RATE}")
+def stream_request_rate(spark, d, max_files=None):
+    keys = ["model_id", "model_version"]
+    counts = E.stored_counts(log_stream(spark, d, max_files), lambda logs: W.rate_counts(logs, keys), "request_rate")
+    return W.rates(W.added(counts, keys))
 
 
 ERRORS = """SELECT CAST(floor(epoch(created_at) / 3600) * 3600 AS BIGINT) AS window_start, model_id, count(*) AS total, count(*) FILTER (WHERE status = 'error') AS failed,
@@ -49,9 +48,10 @@ def error_rate_gauge(spark, d):
     return W.error_rate(views.prediction_logs(spark, d), ["model_id"])
 
 
-@query("stream_error_rate", f"WITH {LOGS}, r AS ({ERRORS}) SELECT * FROM r WHERE window_start + 3600 <= {CLOSED}")
-def stream_error_rate(spark, d):
-    return E.run_to_table(W.error_rate(log_stream(spark, d), ["model_id"]), "error_rate")
+@query("stream_error_rate", f"WITH {LOGS} {ERRORS}")
+def stream_error_rate(spark, d, max_files=None):
+    counts = E.stored_counts(log_stream(spark, d, max_files), lambda logs: W.error_counts(logs, ["model_id"]), "error_rate")
+    return W.error_rates(W.added(counts, ["model_id"]))
 
 
 def buckets_sql(value: str, bounds: list[float], quantiles: dict[str, float], window: int = 300, slide: int = 60) -> str:
@@ -81,9 +81,10 @@ def latency_quantiles(spark, d):
     return W.latency_quantiles(views.prediction_logs(spark, d))
 
 
-@query("stream_latency_quantiles", f"WITH {LOGS}, {LATENCY} SELECT * FROM quant WHERE window_start + 300 <= {CLOSED}")
-def stream_latency_quantiles(spark, d):
-    return E.run_to_table(W.latency_quantiles(log_stream(spark, d)), "latency_quantiles")
+@query("stream_latency_quantiles", f"WITH {LOGS}, {LATENCY} SELECT * FROM quant")
+def stream_latency_quantiles(spark, d, max_files=None):
+    counts = E.stored_counts(log_stream(spark, d, max_files), W.latency_counts, "latency_quantiles")
+    return W.latency_quantiles_of(W.added(counts, ["model_id"]))
 
 
 @query("confidence_quantile", f"WITH {LOGS}, {CONFIDENCE} SELECT * FROM quant")

@@ -14,10 +14,16 @@ from driftwell.session import scratch_path
 Handler = Callable[[DataFrame, int], None]
 
 
-def file_stream(spark: SparkSession, folder: str, schema, files: str = "*.parquet", max_files: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream; `max_files` bounds a micro-batch."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    return reader.option("pathGlobFilter", files).parquet(folder)
+def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """The Parquet file or folder at a path as a stream. Without `max_files` a micro-batch takes all that is there.
+
+    The path is given as a pattern that only fits itself, as a stream takes a plain path for a folder.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str = "inference-events") -> DataFrame:
@@ -54,12 +60,19 @@ def dead_letters(parsed: DataFrame, topic: str = "inference-events", max_retries
 
 
 def route(batch: DataFrame, batch_id: int, handlers: dict[str, Handler], default: Handler | None = None) -> None:
-    """Give each event type to its handler; other types go to the default or are skipped."""
-    for kind, handler in handlers.items():
-        handler(batch.filter(F.col("event_type") == kind), batch_id)
-    if default is not None:
-        known = F.coalesce(F.col("event_type").isin(list(handlers)), F.lit(False))
-        default(batch.filter(~known), batch_id)
+    """Give each event type to its handler; other types go to the default or are skipped.
+
+    The batch is kept while its handlers run, so that its source is read once.
+    """
+    batch = batch.persist()
+    try:
+        for kind, handler in handlers.items():
+            handler(batch.filter(F.col("event_type") == kind), batch_id)
+        if default is not None:
+            known = F.coalesce(F.col("event_type").isin(list(handlers)), F.lit(False))
+            default(batch.filter(~known), batch_id)
+    finally:
+        batch.unpersist()
 
 
 def routed_stream(stream: DataFrame, handlers: dict[str, Handler], checkpoint: str,
@@ -111,3 +124,24 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def stored_counts(stream: DataFrame, count: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Drain a stream, count every micro-batch on its own, and read the counts back (with their `batch_id`).
+
+    A batch that runs again after a failure replaces its own counts.
+    """
+    spark = stream.sparkSession
+    path = scratch_path(spark, label)
+    seen: list = []
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        counts = count(batch)
+        seen[:] = [counts.schema]
+        counts.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
+
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(store)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    if not seen:  # nothing to read, so no batch ran
+        return count(spark.createDataFrame([], stream.schema)).withColumn("batch_id", F.lit(0))
+    return spark.read.parquet(f"{path}/data")

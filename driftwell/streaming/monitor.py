@@ -28,21 +28,25 @@ def stream_alerts(metrics: DataFrame, rules: list[tuple], path: str, checkpoint:
                   interval: str = "30 seconds", available_now: bool = False) -> StreamingQuery:
     """Alerts of a metric stream (metric, model_id, value, at, id).
 
-    The cooldown carries over micro-batches through the alert table itself: a batch
-    starts from the latest alert of each rule in earlier batches. Within a batch the
-    same chunked scan as for tables applies, so one noisy rule is not one task.
+    The cooldown carries over micro-batches through one row of state per rule, its latest alert, written per batch
+    next to the alerts (`<path>-state`): a batch reads the state of the batch before it and nothing older. Within a
+    batch the same chunked scan as for tables applies, so one noisy rule is not one task.
     """
     spark = metrics.sparkSession
+    shape = "rule_name string, last_kept timestamp"
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
         earlier = None
         if batch_id > 0:
-            earlier = (
-                spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-                .groupBy("rule_name").agg(F.max("at").alias("last_kept"))
-            )
+            earlier = spark.read.schema(shape).parquet(f"{path}-state/batch_id={batch_id - 1}")
         fired = evaluate_alerts(batch, rules, last_fired=earlier)
         fired.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        written = spark.read.schema(fired.schema).parquet(f"{path}/batch_id={batch_id}")
+        last = written.select("rule_name", F.col("at").alias("last_kept"))
+        if earlier is not None:
+            last = last.unionByName(earlier)
+        last = last.groupBy("rule_name").agg(F.max("last_kept").alias("last_kept"))
+        last.write.mode("overwrite").parquet(f"{path}-state/batch_id={batch_id}")
 
     writer = metrics.writeStream.option("checkpointLocation", checkpoint).foreachBatch(evaluate)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}

@@ -1,6 +1,11 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators.rules import evaluate_alerts
+from driftwell.plans.catalog import QUERIES, streams
+from driftwell.plans.catalog.base import rounded
 from driftwell.plans.catalog.rules import RULES
 from driftwell.session import scratch_path
 from driftwell.streaming import monitor
@@ -8,13 +13,42 @@ from driftwell.streaming import windows as W
 
 
 def split_files(spark, tiny, parts=4):
-    """The events in several files of rising time, so that a stream sees several batches."""
+    """The events in several files of rising time, written one after the other, so that a stream sees them in order."""
     path = scratch_path(spark, "parts")
     events = spark.read.parquet(f"{tiny}/events.parquet")
-    events.repartitionByRange(parts, "ts").write.parquet(path)
+    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    place = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * parts / (high - low + 1))
+    for i in range(parts):
+        events.filter(place == i).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
     return path, events
 
 
+def unsorted_folder(spark, tiny, parts=6):
+    """A table folder of several files, each with events of all times, and the same rows in one file."""
+    path = scratch_path(spark, "table")
+    events = spark.read.parquet(f"{tiny}/events.parquet")
+    events.repartition(parts, F.xxhash64("event_id")).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["request_rate", "error_rate", "latency_quantiles"])
+def test_streams_equal_their_batch_twins(spark, tiny, name):
+    twin = {"error_rate": "error_rate_gauge"}.get(name, name)
+    want = sorted(map(tuple, QUERIES[twin](spark, tiny).collect()))
+    folder = unsorted_folder(spark, tiny)
+    for max_files in (None, 1):
+        got = getattr(streams, f"stream_{name}")(spark, folder, max_files)
+        assert sorted(map(tuple, rounded(got, 6).collect())) == want
+    assert sorted(map(tuple, QUERIES[f"stream_{name}"](spark, tiny).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["source_stream_events", "stream_dead_letter", "stream_stats", "stream_route_events", "sink_stream_events"])
+def test_streams_read_table_folders(spark, tiny, name):
+    rows = lambda folder: sorted(map(str, QUERIES[name](spark, folder).collect()))
+    assert rows(unsorted_folder(spark, tiny)) == rows(tiny) != []
+
+
 def test_alert_cooldown_carries_over_batches(spark, tiny):
     path, events = split_files(spark, tiny)
     rules = [r for r in RULES if r[1] == "latency_ms"]
@@ -31,11 +65,10 @@ def test_alert_cooldown_carries_over_batches(spark, tiny):
     streamed = spark.read.parquet(f"{out}/alerts")
     assert streamed.select("batch_id").distinct().count() > 1
     batch = evaluate_alerts(points(events), rules)
-    # File order is not time order for every sink, so compare only when batches arrived in order.
     spans = streamed.groupBy("batch_id").agg(F.min("at").alias("a"), F.max("at").alias("b")).orderBy("batch_id").collect()
-    if all(x["b"] <= y["a"] for x, y in zip(spans, spans[1:])):
-        key = ["rule_name", "id"]
-        assert sorted(map(tuple, streamed.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
+    assert all(x["b"] <= y["a"] for x, y in zip(spans, spans[1:]))
+    key = ["rule_name", "id"]
+    assert sorted(map(tuple, streamed.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
 
 
 def test_bucket_quantile(spark):
