@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell import config
-from driftwell.functions.exact_ks import EXACT_LIMIT, exact_ks_p_udf
+from driftwell.functions.exact_ks import exact_ks_p_udf
 from driftwell.functions.math import chi2_sf, ks_asymptotic_p
+from driftwell.operators.smallside import join_small
 from driftwell.operators.ordered import ecdf, ecdf_percentiles, top_per_key
 
 KEYS = ["model_id", "feature_name"]
@@ -109,8 +110,12 @@ def _both_sides() -> Column:
 
 
 def ks(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0.05,
-       exact_limit: int = EXACT_LIMIT, chunks: int | None = None) -> DataFrame:
-    """Largest gap of the two empirical distributions."""
+       p_method: str = "asymptotic", chunks: int | None = None) -> DataFrame:
+    """Largest gap of the two empirical distributions.
+
+    The p-value is the corrected limiting law at every size. `p_method="exact"` counts paths instead, for samples
+    of at most EXACT_LIMIT rows a side (null beyond); such reports carry the method `ks_test_exact`.
+    """
     stats = (
         two_sample_ecdf(samples, keys, chunks)
         .filter(_both_sides())
@@ -121,19 +126,16 @@ def ks(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0.05,
             F.max("tot_n_cur").alias("n_cur"),
         )
     )
-    asymptotic = ks_asymptotic_p(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
-    if exact_limit > 0:
-        small = F.greatest("n_ref", "n_cur") <= exact_limit
-        exact = exact_ks_p_udf("statistic", "n_ref", "n_cur")
-        stats = stats.withColumn("_exact", exact).withColumn(
-            "p_value", F.when(small, F.col("_exact")).otherwise(asymptotic)
-        )
+    if p_method not in ("asymptotic", "exact"):
+        raise ValueError(f"unknown p_method {p_method}")
+    if p_method == "exact":
+        stats = stats.withColumn("p_value", exact_ks_p_udf("statistic", "n_ref", "n_cur"))
     else:
-        stats = stats.withColumn("p_value", asymptotic)
+        stats = stats.withColumn("p_value", ks_asymptotic_p(F.col("statistic"), F.col("n_ref"), F.col("n_cur")))
     done = stats.withColumns(
         {"threshold": F.lit(threshold), "drift_detected": F.col("p_value") < threshold}
     )
-    return _report(done, keys, "ks_test")
+    return _report(done, keys, "ks_test" if p_method == "asymptotic" else "ks_test_exact")
 
 
 def wasserstein(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0.05,
@@ -201,13 +203,13 @@ def psi(samples: DataFrame, keys: list[str] = KEYS, threshold: float = config.PS
         chunks: int | None = None) -> DataFrame:
     """Population stability index over reference deciles; the cut is fixed.
 
-    The edge table has one row per key; the planner broadcasts it when its measured
-    size allows and otherwise joins by key, splitting hot keys.
+    The edge table has one row per key. It is measured and broadcast, so that bin counts are
+    shuffled and not samples.
     """
     bins = config.HISTOGRAM_BINS
     edges = decile_edges(samples, keys, chunks=chunks)
     bin_no = " + ".join(f"CASE WHEN e{i} <= value THEN 1 ELSE 0 END" for i in range(1, bins))
-    binned = _counted(_present(samples)).join(edges, keys).withColumn("bin", F.expr(bin_no))
+    binned = join_small(_counted(_present(samples)), edges, keys, "inner").withColumn("bin", F.expr(bin_no))
 
     def share(count: str, total: str) -> str:
         return f"least(1D, greatest({config.PSI_EPSILON!r}D, {count} / {total}))"
@@ -247,7 +249,7 @@ def chi2(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0.05,
     settled = """CASE WHEN value < lo + guess * width THEN guess - 1
                       WHEN value >= lo + (guess + 1) * width THEN guess + 1 ELSE guess END"""
     binned = (
-        _counted(_present(samples)).join(equal_width_bins(samples, keys), keys)
+        join_small(_counted(_present(samples)), equal_width_bins(samples, keys), keys, "inner")
         .withColumn("guess", F.expr("floor((value - lo) / width)"))
         .withColumn("bin", F.expr(f"CAST(greatest(0, least({bins - 1}, {settled})) AS INT)"))
     )

@@ -23,9 +23,13 @@ def recent_logs(logs: DataFrame, limit: int = config.RECENT_LOGS, model_id: str
     return top_per_key(logs, ["model_id"], newest_first(), limit, "id")
 
 
-def labeled_logs(logs: DataFrame, limit: int = config.LABELED_LOGS, model_id: str | None = None) -> DataFrame:
-    """Newest labelled rows: target, prediction, confidence and an ISO time."""
-    rows = recent_logs(logs.filter(F.col("ground_truth").isNotNull()), limit, model_id)
+def labeled_logs(logs: DataFrame, limit: int | None = config.LABELED_LOGS, model_id: str | None = None) -> DataFrame:
+    """Newest labelled rows (all without a limit): target, prediction, confidence and an ISO time."""
+    rows = logs.filter(F.col("ground_truth").isNotNull())
+    if limit is not None:
+        rows = recent_logs(rows, limit, model_id)
+    elif model_id is not None:
+        rows = rows.filter(F.col("model_id") == model_id)
     return rows.select(
         "id", "model_id", "features",
         F.col("ground_truth").alias("target"),

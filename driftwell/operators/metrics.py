@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell import config
 from driftwell.operators.abtest import rank_sums
 from driftwell.operators.logs import recent_logs
 from driftwell.operators.ordered import ecdf, percentiles
 
 
 def model_performance(logs: DataFrame, models: DataFrame | None = None,
-                      limit: int = config.RECENT_LOGS) -> DataFrame:
-    """Count, mean latency (2 digits) and mean confidence (4) of the newest logs per model.
+                      limit: int | None = None) -> DataFrame:
+    """Count, mean latency (2 digits) and mean confidence (4) per model, of all logs or the newest `limit`.
 
     With `models`, a model without logs shows 0 and nulls.
     """
-    stats = recent_logs(logs, limit).groupBy("model_id").agg(
+    stats = (logs if limit is None else recent_logs(logs, limit)).groupBy("model_id").agg(
         F.count("*").alias("total_predictions"),
         F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
         F.round(F.avg("confidence"), 4).alias("avg_confidence"),

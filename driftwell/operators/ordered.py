@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.operators.smallside import join_small
 from driftwell.session import ensure_checkpoints
 
 CHUNK = "_chunk"
@@ -180,19 +181,29 @@ def ecdf_percentiles(frame: DataFrame, keys: list[str], value: str, count: str,
     return picks.select(*keys, *[F.expr(f"_lo_{n} + (_hi_{n} - _lo_{n}) * _at_{n} AS `{n}`") for n in probs])
 
 
+def _number(value) -> Column:
+    """The value, or null for NaN."""
+    column = F.col(value) if isinstance(value, str) else value
+    return F.when(~F.isnan(column.cast("double")), column)
+
+
 def percentiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], chunks: int | None = None
 ) -> DataFrame:
     """Exact percentiles per key: one row per key, one column per `{name: probability}`.
 
     Small inputs use the built-in exact aggregate. It holds a count per distinct
-    value of a group, so larger ones select by rank from the chunked ecdf.
+    value of a group, so larger ones select by rank from the chunked ecdf. Either way
+    null and NaN values are left out, and a key without others has a row of nulls.
     """
     n = chunks or planned_chunks(df)
     if n == 1:
-        return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()])
+        return df.groupBy(*keys).agg(*[F.percentile(_number(value), F.lit(p)).alias(name) for name, p in probs.items()])
     frame = ecdf(df.select(*keys, value, F.lit(1).cast("bigint").alias("_n")), keys, value, ["_n"], n)
-    return ecdf_percentiles(frame, keys, value, "_n", probs)
+    found = ecdf_percentiles(frame, keys, value, "_n", probs)
+    if not keys:
+        return found
+    return join_small(df.select(*keys).distinct(), found, keys)
 
 
 def column_percentiles(
@@ -203,7 +214,7 @@ def column_percentiles(
     if n == 1:
         wide = df.agg(
             *[
-                F.percentile(F.col(c).cast("double"), F.lit(p)).alias(f"{i}_{name}")
+                F.percentile(_number(F.col(c).cast("double")), F.lit(p)).alias(f"{i}_{name}")
                 for i, c in enumerate(columns)
                 for name, p in probs.items()
             ]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell import config
 from driftwell.functions.text import fixed
+from driftwell.operators.smallside import join_small
 from driftwell.operators.ordered import percentiles
 from driftwell.operators.spacing import spaced
 from driftwell.schemas import ALERT_RULES
@@ -26,12 +27,12 @@ def confidence_anomaly(logs: DataFrame, keys: list[str], baseline: DataFrame | N
                        value: str = "confidence", z_threshold: float = config.Z_THRESHOLD) -> DataFrame:
     """Share of z-scores over the threshold against a baseline (keys, mean, std) or the own moments.
 
-    The moments are one row per key, so the second pass joins a tiny table.
+    The moments are one row per key, so the second pass meets a measured, broadcast table.
     """
     moments = baseline if baseline is not None else logs.groupBy(*keys).agg(
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
     )
-    joined = logs.select(*keys, value).join(moments, keys)
+    joined = join_small(logs.select(*keys, value), moments, keys, "inner")
     z = F.abs(F.col(value) - F.col("mean")) / F.col("std")
     usable = F.col("std") >= config.MIN_STD
     stats = joined.withColumn("z", F.when(usable, z)).groupBy(*keys).agg(

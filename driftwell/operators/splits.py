@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell import config
+from driftwell.operators.smallside import join_small
 from driftwell.operators.ordered import scanned_bytes
 
 
@@ -56,9 +56,7 @@ def lowest(df: DataFrame, key: str, classes: list[str], take: Column, seed: int,
     cells = _cells(df, key, seed, _cell_bits(df))
     cuts = _cuts(cells, classes, take)
     if classes:
-        # One row per class. Classes are few where stratification applies; the planner
-        # checks the size before it broadcasts.
-        placed = cells.join(cuts, classes, "left")
+        placed = join_small(cells, cuts, classes)  # one row per class
     else:
         cut = cuts.select(F.struct("_edge", "_rest")).scalar()
         placed = cells.withColumn("_cut", cut).select(*cells.columns, "_cut._edge", "_cut._rest")
@@ -76,10 +74,12 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def train_test_split(df: DataFrame, key: str, label: str | None = None, test_size: float = 0.2,
-                     seed: int = 42, max_classes: int = config.MAX_CLASSES) -> DataFrame:
-    """Add `is_test`. Stratified by `label` when it has at most `max_classes` values."""
+                     seed: int = 42, max_classes: int | None = None) -> DataFrame:
+    """Add `is_test`, stratified by `label`. With `max_classes`, a label of more values does not stratify (counts them first)."""
     classes: list[str] = []
-    if label is not None:
+    if label is not None and max_classes is None:
+        classes = [label]
+    elif label is not None:
         kinds = df.select(label).distinct().limit(max_classes + 1).count()
         classes = [label] if kinds <= max_classes else []
     return lowest(df, key, classes, F.round(F.col("_size") * test_size), seed, "is_test")

@@ -61,13 +61,18 @@ def weights(docs: DataFrame, vocab: DataFrame, id_column: str) -> DataFrame:
     return raw.select(id_column, "term", "idx", (F.col("w") / norm).alias("weight"))
 
 
-def sparse_vectors(weighted: DataFrame, id_column: str, size: int) -> DataFrame:
+def sparse_vectors(weighted: DataFrame, id_column: str, size: int, documents: DataFrame | None = None) -> DataFrame:
     """One vector per document, kept sparse; a document has at most `size` entries.
 
+    With `documents`, those without a weighted term get a vector of zeros.
+
     The entries are laid out as an array with zeros in the gaps; the assembler then
     stores whichever form is smaller. All of it runs inside one projection.
     """
     packed = weighted.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_e"))
+    if documents is not None:
+        none = F.array().cast("array<struct<idx:int,weight:double>>")
+        packed = documents.select(id_column).join(packed, id_column, "left").withColumn("_e", F.coalesce("_e", none))
     place = F.transform("_e", lambda e: e["idx"])
 
     def zeros(count: Column) -> Column:
@@ -79,6 +84,6 @@ def sparse_vectors(weighted: DataFrame, id_column: str, size: int) -> DataFrame:
             zeros(e["idx"] - F.when(i == 0, F.lit(-1)).otherwise(F.get(place, i - 1)) - 1), F.array(e["weight"])
         ),
     )
-    tail = zeros(F.lit(size - 1) - F.array_max(place))
+    tail = zeros(F.lit(size - 1) - F.coalesce(F.array_max(place), F.lit(-1)))
     dense = packed.select(id_column, array_to_vector(F.concat(F.flatten(cells), tail)).alias("_dense"))
     return VectorAssembler(inputCols=["_dense"], outputCol="features").transform(dense).drop("_dense")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline
@@ -37,8 +38,15 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def assemble(df: DataFrame, features: list[str], label: str, key: str) -> DataFrame:
+    """Label and feature vector. Rows that cannot be learned from are not dropped: they stop the job, with their number."""
     rows = df.select(key, F.col(label).cast("double").alias("label"), *features)
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
+    unknown = F.col("label").isNull()
+    for f in features:
+        unknown = unknown | F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
+    bad = rows.filter(unknown).count()
+    if bad:
+        raise ValueError(f"{bad} rows have no label or a null feature; impute or drop them first")
+    return VectorAssembler(inputCols=features, outputCol="features").transform(rows)
 
 
 def _sides(df: DataFrame, key: str, stratify: bool, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +114,8 @@ def train_sentiment(docs: DataFrame, key: str, text: str, label: str, max_featur
     marks = split.select(key, "label", "is_test")
     train_keys = marks.filter(~F.col("is_test")).select(key)
     vocab = vocabulary(grams.join(train_keys, key, "left_semi"), max_features=max_features)
-    vectors = sparse_vectors(weights(grams, vocab, key), key, max_features)
+    # Every document has a vector; one without a known term is all zeros.
+    vectors = sparse_vectors(weights(grams, vocab, key), key, max_features, marks)
     # Written once: fit and test would each tokenise the corpus again.
     ready = kept(marks.join(vectors, key))
     model = LogisticRegression(maxIter=iterations, regParam=1e-4).fit(ready.filter(~F.col("is_test")))
@@ -175,10 +184,12 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 
 
 def grid_trials(space: dict[str, list], max_trials: int) -> list[dict]:
-    """Every combination in order, cut at max_trials."""
+    """Every combination in order; a warning tells how many `max_trials` leaves out."""
     names = list(space)
-    combos = itertools.product(*[space[n] for n in names])
-    return [dict(zip(names, c)) for c in itertools.islice(combos, max_trials)]
+    combos = list(itertools.product(*[space[n] for n in names]))
+    if len(combos) > max_trials:
+        warnings.warn(f"{len(combos) - max_trials} of {len(combos)} combinations are not tried", stacklevel=2)
+    return [dict(zip(names, c)) for c in combos[:max_trials]]
 
 
 def random_trials(space: dict[str, tuple], trials: int, seed: int = 42) -> list[dict]:

@@ -77,8 +77,7 @@ def sink_dataset(spark, d):
     )
 
 
-EXPORT = f"""WITH {LOGS}, fresh AS (SELECT f0, f1, f2, ground_truth AS target FROM logs WHERE ground_truth IS NOT NULL
- QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY created_at DESC, id DESC) <= 10000),
+EXPORT = f"""WITH {LOGS}, fresh AS (SELECT f0, f1, f2, ground_truth AS target FROM logs WHERE ground_truth IS NOT NULL),
 base AS (SELECT value AS f0, CAST(event_id AS DOUBLE) AS f1, CAST(user_id AS DOUBLE) AS f2, CASE WHEN event_type = 'error' THEN 1.0e0 ELSE 0 END AS target FROM events)"""
 
 

@@ -69,19 +69,17 @@ def chi2_sql(source: str, name: str) -> str:
 
 
 BASE = f"WITH {LOGS}, {SAMPLES}"
-KS_SELECT = f"""SELECT {K}, p < 0.05 AS drift_detected, round(statistic, 6) AS statistic, 0.05e0 AS threshold, 'ks_test' AS method,
+KS_SELECT = f"""SELECT {K}, p < 0.05 AS drift_detected, round(p, 6) AS p_value, round(statistic, 6) AS statistic, 0.05e0 AS threshold, 'ks_test' AS method,
 {advice_sql("p < 0.05", "statistic")} AS recommendation, sample_size FROM ks"""
-W_SELECT = f"""SELECT {K}, statistic > threshold AS drift_detected, round(statistic, 6) AS statistic, round(threshold, 6) AS threshold,
+W_SELECT = f"""SELECT {K}, statistic > threshold AS drift_detected, CAST(NULL AS DOUBLE) AS p_value, round(statistic, 6) AS statistic, round(threshold, 6) AS threshold,
 'wasserstein' AS method, {advice_sql("statistic > threshold", "statistic")} AS recommendation, sample_size FROM w JOIN w_t USING ({K})"""
-PSI_SELECT = f"""SELECT {K}, statistic > 0.25 AS drift_detected, round(statistic, 6) AS statistic, 0.25e0 AS threshold, 'psi' AS method,
+PSI_SELECT = f"""SELECT {K}, statistic > 0.25 AS drift_detected, CASE WHEN statistic > 0.25 THEN 0.01e0 WHEN statistic > 0.1 THEN 0.1e0 ELSE 0.5e0 END AS p_value, round(statistic, 6) AS statistic, 0.25e0 AS threshold, 'psi' AS method,
 {advice_sql("statistic > 0.25", "statistic")} AS recommendation, sample_size FROM psi"""
-CHI2_SELECT = f"""SELECT {K}, p < 0.05 AS drift_detected, round(statistic, 6) AS statistic, 0.05e0 AS threshold, 'chi2' AS method,
+CHI2_SELECT = f"""SELECT {K}, p < 0.05 AS drift_detected, round(p, 6) AS p_value, round(statistic, 6) AS statistic, 0.05e0 AS threshold, 'chi2' AS method,
 {advice_sql("p < 0.05", "statistic")} AS recommendation, sample_size FROM chi2"""
-COLUMNS = [*KEYS, "drift_detected", "statistic", "threshold", "method", "recommendation", "sample_size"]
+COLUMNS = [*KEYS, "drift_detected", "p_value", "statistic", "threshold", "method", "recommendation", "sample_size"]
 
 
-# The p-value of small samples is exact and has no SQL form, so this query leaves it
-# out; `drift_ks_asymptotic` checks the large-sample one.
 @query("drift_ks", f"{BASE}, {ks_sql('samples', KEYS, 'ks')} {KS_SELECT}")
 def drift_ks(spark, d):
     return D.ks(samples(spark, d)).select(*COLUMNS)
@@ -90,7 +88,7 @@ def drift_ks(spark, d):
 @query("drift_ks_asymptotic", f"""{BASE}, {ks_sql('samples', KEYS, 'ks')}
 SELECT {K}, round(statistic, 6) AS statistic, round(p, 6) AS p_value, sample_size FROM ks""")
 def drift_ks_asymptotic(spark, d):
-    return D.ks(samples(spark, d), exact_limit=0).select(*KEYS, "statistic", "p_value", "sample_size")
+    return D.ks(samples(spark, d)).select(*KEYS, "statistic", "p_value", "sample_size")
 
 
 @query("drift_psi", f"""{BASE}, {psi_sql('samples', 'psi')} SELECT {K}, statistic > 0.25 AS drift_detected,
@@ -127,8 +125,8 @@ def drift_all(spark, d):
     return drift_all_models(samples(spark, d), CONFIGS).select(*COLUMNS)
 
 
-# The stored reference is everything before the cut; the current side is the newest 1000 logs of each model.
-RECENT = f"""WITH {LOGS}, recent AS (SELECT * FROM logs QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY created_at DESC, id DESC) <= 1000),
+# The stored reference is everything before the cut; the current side is all logs.
+RECENT = f"""WITH {LOGS}, recent AS (SELECT * FROM logs),
 both_ AS (SELECT model_id, f0, f1, f2, true AS is_ref FROM logs WHERE is_ref UNION ALL SELECT model_id, f0, f1, f2, false FROM recent),
 samples AS (SELECT model_id, 'feature_0' AS feature_name, f0 AS value, is_ref FROM both_ UNION ALL SELECT model_id, 'feature_1', f1, is_ref FROM both_
   UNION ALL SELECT model_id, 'feature_2', f2, is_ref FROM both_)"""
@@ -173,7 +171,7 @@ def weekly_reports(spark, d):
             )
         ),
     )
-    reports = D.ks(long, ["model_id", "feature_name", "week"], threshold=0.05, exact_limit=0)
+    reports = D.ks(long, ["model_id", "feature_name", "week"], threshold=0.05)
     return reports.withColumn("analyzed_at", F.col("week") * 604800)
 
 

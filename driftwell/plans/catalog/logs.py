@@ -193,7 +193,7 @@ def sink_prediction_log(spark, d):
 
 # Aggregates ---------------------------------------------------------------
 
-@query("model_performance", f"""WITH {LOGS}, recent AS (SELECT * FROM logs QUALIFY {NEWEST} <= 1000)
+@query("model_performance", f"""WITH {LOGS}, recent AS (SELECT * FROM logs)
 SELECT model_id, count(*) AS total_predictions, round(avg(latency_ms), 2) AS avg_latency_ms,
 round(avg(confidence), 4) AS avg_confidence FROM recent GROUP BY model_id""")
 def model_performance(spark, d):

@@ -426,32 +426,32 @@ def train_fraud(spark, d):
 
 @query("train_sentiment")
 def train_sentiment(spark, d):
-    return T.train_sentiment(views.rated_documents(spark, d), "doc_id", "text", "quality", iterations=20).metrics
+    return T.train_sentiment(views.rated_documents(spark, d), "doc_id", "text", "quality").metrics
 
 
 @query("train_image")
 def train_image(spark, d):
     rows = table(spark, d, "embeddings")
     classes = rows.agg(F.max("label")).first()[0] + 1
-    return T.train_image(rows, "vec_id", "embedding", "label", int(classes), 64, iterations=10).metrics
+    return T.train_image(rows, "vec_id", "embedding", "label", int(classes), 64).metrics
 
 
 @query("train_challenger")
 def train_challenger(spark, d):
-    return T.train_challenger(_credit(spark, d), "row_key", CREDIT, "label", iterations=20).metrics
+    return T.train_challenger(_credit(spark, d), "row_key", CREDIT, "label").metrics
 
 
 @query("cv_scores")
 def cv_scores(spark, d):
     rows = T.assemble(_fraud(spark, d), ["value", "k", "hour"], "label", "event_id")
-    return T.cv_summary(T.cv_scores(rows, "event_id", LogisticRegression(maxIter=5), folds=3))
+    return T.cv_summary(T.cv_scores(rows, "event_id", LogisticRegression(), folds=5, repeats=3))
 
 
 @query("hpo_cv")
 def hpo_cv(spark, d):
     rows = T.assemble(_fraud(spark, d), ["value", "k", "hour"], "label", "event_id")
-    trials = T.grid_trials({"regParam": [0.0, 0.1], "elasticNetParam": [0.0]}, 2)
-    return T.hpo_cv(rows, "event_id", LogisticRegression(maxIter=5), trials, folds=2)
+    trials = T.grid_trials({"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, 20)
+    return T.hpo_cv(rows, "event_id", LogisticRegression(), trials)
 
 
 @query("self_healing_job")
@@ -462,7 +462,7 @@ def self_healing_job(spark, d):
 
     # The stored reference is moved, so that the recent logs have drifted from it.
     reference = stored_reference(spark, d).withColumn("value", F.col("value") * 3)
-    healed = self_heal(reference, views.prediction_logs(spark, d), ModelConfig("m1"), 3, iterations=10)
+    healed = self_heal(reference, views.prediction_logs(spark, d), ModelConfig("m1"), 3)
     rows = healed.trained.metrics.select(
         "n", *[F.col(c) for c in ("accuracy", "f1_score")]
     ).withColumns({k: F.lit(v).cast("bigint") for k, v in healed.sizes.items()})

@@ -70,13 +70,13 @@ def drift_all_models(samples: DataFrame, configs: list[ModelConfig], include_unm
 
 
 def drift_check(reference: DataFrame, logs: DataFrame, configs: list[ModelConfig],
-                limit: int = config.RECENT_LOGS, chunks: int | None = None) -> DataFrame:
-    """Newest `limit` logs of every model against the stored reference values.
+                limit: int | None = None, chunks: int | None = None) -> DataFrame:
+    """All logs given (or the newest `limit` of every model) against the stored reference values.
 
     `reference` is the long table (model_id, feature_name, value). A feature without
     reference or with fewer than five points yields no report.
     """
-    recent = recent_logs(logs, limit)
+    recent = logs if limit is None else recent_logs(logs, limit)
     current = D.feature_samples(recent, F.lit(False))
     return drift_all_models(D.pair_samples(reference, current), configs, chunks=chunks)
 

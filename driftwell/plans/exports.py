@@ -39,8 +39,8 @@ def ingest(source: DataFrame, target: str | None = None,
 
 
 def fresh_training_rows(logs: DataFrame, width: int, baseline_columns: list[str] | None = None,
-                        limit: int = config.LABELED_LOGS, model_id: str | None = None) -> DataFrame:
-    """Labelled logs as columns: baseline names when the width matches, else feature_i."""
+                        limit: int | None = None, model_id: str | None = None) -> DataFrame:
+    """Labelled logs as columns: baseline names when the width matches, else feature_i. All of them, or the newest `limit`."""
     named = [c for c in (baseline_columns or []) if c != "target"]
     names = named if len(named) == width else [f"feature_{i}" for i in range(width)]
     rows = labeled_logs(logs, limit, model_id)
@@ -50,8 +50,8 @@ def fresh_training_rows(logs: DataFrame, width: int, baseline_columns: list[str]
 
 
 def export_training(logs: DataFrame, width: int, baseline: DataFrame | None = None,
-                    limit: int = config.LABELED_LOGS, model_id: str | None = None) -> DataFrame:
-    """Baseline rows followed by the newest labelled logs; columns missing on one side are null."""
+                    limit: int | None = None, model_id: str | None = None) -> DataFrame:
+    """Baseline rows followed by the labelled logs (all, or the newest `limit`); columns missing on one side are null."""
     fresh = fresh_training_rows(logs, width, baseline.columns if baseline is not None else None, limit, model_id)
     if baseline is None:
         return fresh.withColumn("origin", F.lit("fresh"))
