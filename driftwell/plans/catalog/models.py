@@ -410,18 +410,18 @@ def _fraud(spark, d):
 
 @query("train_credit")
 def train_credit(spark, d):
-    return T.train_credit(_credit(spark, d), "row_key", CREDIT, "label", trees=5).metrics
+    return T.train_credit(_credit(spark, d), "row_key", CREDIT, "label").metrics
 
 
 @query("train_house")
 def train_house(spark, d):
     part = table(spark, d, "part").withColumn("key", F.col("p_partkey").cast("double"))
-    return T.train_house(part, "p_partkey", ["p_size", "key"], "p_retailprice", trees=5).metrics
+    return T.train_house(part, "p_partkey", ["p_size", "key"], "p_retailprice").metrics
 
 
 @query("train_fraud")
 def train_fraud(spark, d):
-    return T.train_fraud(_fraud(spark, d), "event_id", ["value", "k", "hour", "weekday"], "label", trees=3).metrics
+    return T.train_fraud(_fraud(spark, d), "event_id", ["value", "k", "hour", "weekday"], "label").metrics
 
 
 @query("train_sentiment")
