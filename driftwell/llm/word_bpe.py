@@ -29,10 +29,10 @@ from driftwell.llm.common import pick, worker_store
 
 CACHED = 200_000  # text pieces of a generation of the cache
 CHARS = 1 << 22  # characters of text whose pieces are resolved together
-NEVER = np.iinfo(np.int64).max
+NEVER = int(np.iinfo(np.int64).max)
 # The code points that count as white space.
 SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-END = "\0"  # stands for the end-of-word mark inside words
+END = 0x1000  # added to a word's last character: the form that carries the end-of-word mark
 
 
 def byte_characters() -> list[str]:
@@ -42,10 +42,15 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def ended(word: str) -> str:
+    return word[:-1] + chr(ord(word[-1]) + END)
+
+
 class WordBpe:
     """Encoder and decoder of a tokenizer definition with an end-of-word mark."""
 
     def __init__(self, definition: str):
+        import ahocorasick
         import regex
 
         spec = json.loads(definition)
@@ -59,10 +64,11 @@ class WordBpe:
         self.text = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in [*vocab.items(), *self.special.items()]:
             self.text[i] = token
-        inner = lambda t: t.removesuffix(suffix) + END if t.endswith(suffix) else t
+        inner = lambda t: ended(t.removesuffix(suffix)) if t.endswith(suffix) and t != suffix else t
         self.ids = {inner(t): i for t, i in vocab.items()}
         self.inner = {i: t for t, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.lengths = np.array([len(self.inner.get(i, "")) for i in range(len(self.text))])
+        self.number = [str(i) for i in range(len(self.text))]
         # born: the rank of the merge that makes a token, -1 for single characters; left and right: what it merges.
         size = len(self.text)
         self.born, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
@@ -76,7 +82,15 @@ class WordBpe:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.size = size
-        self.whole: dict[int, bool] = {}
+        self.ranks = {x * size + y: r for (x, y), (r, _) in self.merges.items()}
+        self.made = {x * size + y: m for (x, y), (_, m) in self.merges.items()}
+        # What may be proposed: tokens that merging their own characters gives. No token goes on after an ended
+        # character, so words can follow one another in one string.
+        self.proposed = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            if self.exact(token) == [i]:
+                self.proposed.add_word(token, i)
+        self.proposed.make_automaton()
         self.new: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
         self.tried = self.merged = 0
@@ -110,60 +124,55 @@ class WordBpe:
             open_ = open_[go]
         return good
 
-    def greedy(self, word: str) -> list[int] | None:
-        """The longest token that fits, again and again; the end mark belongs to the last character."""
-        out, at, last = [], 0, len(word)
-        while at < last:
-            for end in range(min(last, at + self.longest), at, -1):
-                if end != last - 1 and (token := self.ids.get(word[at:end])) is not None:
-                    break
-            else:
-                return None
-            out.append(token)
-            at = end
-        return out
-
-    def exact(self, word: str) -> list[int]:
-        """The word merged step by step."""
-        return self._merge([self.ids[c] for c in [*word[:-2], word[-2:]] if c in self.ids])
+    def greedy(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of all words one after the other: the longest token that fits, again and again."""
+        found = np.array(list(self.proposed.iter_long("".join(words))), np.int64).reshape(-1, 2)
+        return found[:, 1], found[:, 0] + 1
 
-    def own(self, token: int) -> bool:
-        """Does merging a token's characters give the token?"""
-        if token not in self.whole:
-            text = self.inner[token]
-            single = [*text[:-2], text[-2:]] if text.endswith(END) else list(text)
-            self.whole[token] = self._merge([self.ids[c] for c in single if c in self.ids]) == [token]
-        return self.whole[token]
-
-    def _merge(self, pieces: list[int]) -> list[int]:
+    def exact(self, text: str) -> list[int]:
         """Merging as defined: of all adjacent pairs the one of lowest rank, the leftmost first."""
-        while len(pieces) > 1:
-            found = [(self.merges[p][0], i) for i, p in enumerate(zip(pieces, pieces[1:], strict=False)) if p in self.merges]
-            if not found:
-                break
-            i = min(found)[1]
-            pieces[i:i + 2] = [self.merges[pieces[i], pieces[i + 1]][1]]
+        pieces = [self.ids[c] for c in text if c in self.ids]
+        size, rank, made = self.size, self.ranks.get, self.made
+        ranks = [rank(x * size + y, NEVER) for x, y in zip(pieces, pieces[1:], strict=False)]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            pieces[i:i + 2] = [made[pieces[i] * size + pieces[i + 1]]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(pieces[i - 1] * size + pieces[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(pieces[i] * size + pieces[i + 1], NEVER)
         return pieces
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words (bytes as characters, END at their end)."""
-        cuts = [self.greedy(w) for w in words]
-        sure = [c is not None and all(map(self.own, c)) for c in cuts]
-        lengths = np.array([len(c) if ok else 0 for c, ok in zip(cuts, sure, strict=True)], np.int64)
-        flat = np.array([t for c, ok in zip(cuts, sure, strict=True) if ok for t in c], np.int64)
-        if len(flat) > 1:
-            word_of = np.repeat(np.arange(len(words)), lengths)
-            inside = np.flatnonzero(word_of[1:] == word_of[:-1])
+        """Ids of ended words."""
+        if not words:
+            return []
+        flat, ends = self.greedy(words)
+        stops = np.cumsum([len(w) for w in words])
+        word_of = np.searchsorted(stops, ends)
+        first = np.searchsorted(word_of, np.arange(len(words) + 1))
+        # A cut is a proposal only if its tokens cover the word without a gap.
+        covered = np.bincount(word_of, np.diff(np.r_[0, ends]), len(words)) if len(ends) else np.zeros(len(words))
+        sure = (covered == np.diff(np.r_[0, stops])) & (np.diff(first) > 0)
+        sure[word_of[self._gaps(flat, ends)]] = False
+        inside = np.flatnonzero(word_of[1:] == word_of[:-1])
+        if len(inside):
             pairs, which = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
-            bad = ~self.compatible(pairs // self.size, pairs % self.size)[which]
-            for w in np.unique(word_of[inside[bad]]).tolist():
-                sure[w] = False
+            sure[word_of[inside[~self.compatible(pairs // self.size, pairs % self.size)[which]]]] = False
         self.tried += len(words)
-        self.merged += len(words) - sum(sure)
-        return [c if ok else self.exact(w) for w, c, ok in zip(words, cuts, sure, strict=True)]
+        self.merged += int((~sure).sum())
+        ids = flat.tolist()
+        return [ids[a:b] if ok else self.exact(w) for w, ok, a, b in zip(words, sure.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    def _gaps(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens that do not begin where the one before ended."""
+        return np.flatnonzero(ends - self.lengths[flat] != np.r_[0, ends[:-1]])
 
     def parts(self, piece: str) -> list[str | int]:
         """Words and special ids of a piece of raw text."""
+        if piece.isascii() and piece.isalpha():
+            return [ended(piece.lower())]
         if self.specials is None or "<" not in piece:
             sections = [piece]
         else:
@@ -175,7 +184,7 @@ class WordBpe:
                 continue
             # Lower case character by character: a sigma has one lower form wherever it stands.
             plain = unicodedata.normalize("NFC", section).replace("Σ", "σ").lower()
-            out += [w.encode().decode("latin-1").translate(self.shown) + END for w in self.words.findall(plain)]
+            out += [ended(w.encode().decode("latin-1").translate(self.shown)) for w in self.words.findall(plain)]
         return out
 
     def resolve(self, pieces: list[str]) -> dict[str, tuple[str, str, int]]:
@@ -186,7 +195,7 @@ class WordBpe:
         out = {}
         for piece, ps in zip(pieces, parts, strict=True):
             tokens = [t for p in ps for t in (ids[p] if isinstance(p, str) else (p,))]
-            out[piece] = (" ".join(map(str, tokens)), self.decode(tokens), len(tokens))
+            out[piece] = (" ".join([self.number[t] for t in tokens]), self.decode(tokens), len(tokens))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -195,19 +204,21 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """(ids joined by spaces, decoded text, number of tokens) of every whole text."""
-        split = [SPACES.split(t) for t in texts]
-        wanted = {p for s in split for p in s}
-        known = {p: self.new.get(p) or self.old.get(p) for p in wanted}
-        missing = [p for p, found in known.items() if found is None]
-        known |= self.resolve(missing)
-        if len(self.new) + len(missing) > CACHED:
-            self.old, self.new = self.new, {}
-        if len(missing) <= CACHED:
-            self.new |= known
+        split = [[p for p in SPACES.split(t) if p] for t in texts]
+        missing = []
+        for piece in set().union(*split) - self.new.keys():
+            known = self.old.get(piece)
+            if known is None:
+                missing.append(piece)
+            else:
+                self.new[piece] = known
+        self.new.update(self.resolve(missing))
         out = []
         for pieces in split:
-            found = [f for f in map(known.__getitem__, pieces) if f[2]]
+            found = list(map(self.new.__getitem__, pieces))
             out.append((" ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])))
+        if len(self.new) > CACHED:
+            self.old, self.new = self.new, {}
         return out
 
 

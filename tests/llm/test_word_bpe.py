@@ -58,8 +58,8 @@ def test_syllables_and_failing_words():
 
 def test_compatible_against_merging():
     rng = np.random.default_rng(2)
-    tokens = [i for i in rng.integers(0, BPE.size, 4000).tolist() if i in BPE.inner and not BPE.inner[i].endswith(word_bpe.END) and BPE.own(i)]
-    second = [i for i in rng.integers(0, BPE.size, 4000).tolist() if i in BPE.inner and BPE.inner[i].endswith(word_bpe.END) and BPE.own(i)]
+    tokens = [i for i in rng.integers(0, BPE.size, 4000).tolist() if i in BPE.inner and ord(BPE.inner[i][-1]) < word_bpe.END and BPE.inner[i] in BPE.proposed]
+    second = [i for i in rng.integers(0, BPE.size, 4000).tolist() if i in BPE.inner and ord(BPE.inner[i][-1]) >= word_bpe.END and BPE.inner[i] in BPE.proposed]
     n = min(len(tokens), len(second))
     a, b = np.array(tokens[:n]), np.array(second[:n])
     good = BPE.compatible(a, b)
