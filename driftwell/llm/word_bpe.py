@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.common import pick, worker_store
 
-CACHED = 200_000  # text pieces of a generation of the cache
-CHARS = 1 << 22  # characters of text whose pieces are resolved together
+CACHED = 100_000  # text pieces of a generation of the cache
+CHARS = 1 << 20  # characters of text whose pieces are resolved together
 NEVER = int(np.iinfo(np.int64).max)
 # The code points that count as white space.
 SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
