@@ -23,6 +23,8 @@ the like are not matches; a repeated row gives a repeated result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from driftwell.llm.common import pick
 KEY = "driftwell"
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73048  # 1900-01-01 to 2099-12-30: 184 x 397 days, an exact product
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
 IP = rf"{OCTET}(?:\.{OCTET}){{3}}"
@@ -40,10 +42,16 @@ IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 CARD = r"\d(?:[ -]?\d){12,18}"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}|\d{3}[.-]\d{3}[.-]\d{4}"
 EDGE, END = r"(?<![A-Za-z0-9.@+/-])", r"(?![A-Za-z0-9@]|[./-]\d)"
-FOUND = rf"{EMAIL}|{EDGE}(?:{IBAN}|{DATE}|{IP}|{SSN}|{PHONE}|{CARD}){END}"
+# A place is only looked at closely if a word begins there, or a number.
+FOUND = rf"{EMAIL}|(?=[0-9(+]|[A-Z]{{2}}[0-9]){EDGE}(?:{IBAN}|{DATE}|{IP}|{SSN}|{PHONE}|{CARD}){END}"
 KINDS = ("email", "date", "ip", "ssn", "iban", "card", "phone")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def keyed(value: Column, label: str, key: str) -> Column:
     """52 bits of a keyed digest, as a number."""
     digest = F.sha2(F.concat(F.lit(f"{key}|{label}|"), value.cast("string")), 256)
@@ -126,10 +134,10 @@ def day_of(text: Column) -> Column:
 
 def date_pseudonym(text: Column, key: str) -> Column:
     number = F.date_diff(day_of(text), F.lit(FIRST_DAY).cast("date"))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(number.cast("long"), 184, 397, "date", key).cast("int"))
     month_first = F.try_to_timestamp(text, F.lit("dd/MM/yyyy")).isNull()
-    return (F.when(text.rlike(r"^\d{4}-"), F.date_format(new, "yyyy-MM-dd")).when(text.contains("."), F.date_format(new, "dd.MM.yyyy"))
-            .when(month_first, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy")))
+    form = F.when(text.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(text.contains("."), "dd.MM.yyyy").when(month_first, "MM/dd/yyyy").otherwise("dd/MM/yyyy")
+    moved = feistel(number.cast("long"), 184, 397, "date", key).cast("int")
+    return F.call_function("date_format", F.date_add(F.lit(FIRST_DAY).cast("date"), moved).cast("timestamp"), form)
 
 
 def iban_check(country: Column, body: Column) -> Column:
@@ -142,9 +150,9 @@ def iban_check(country: Column, body: Column) -> Column:
 
 def iban_pseudonym(text: Column, key: str) -> Column:
     plain = F.replace(text, F.lit(" "), F.lit(""))
-    country, body = F.left(plain, F.lit(2)), F.substr(plain, F.lit(5))
-    new = refilled(body, permuted_digits(digits_of(body), "iban", key))
-    return refilled(text, F.concat(iban_check(country, new), digits_of(new)))
+    body = F.substr(plain, F.lit(5))
+    moved = let(body, lambda b: refilled(b, permuted_digits(digits_of(b), "iban", key)))
+    return let(moved, lambda new: refilled(text, F.concat(iban_check(F.left(plain, F.lit(2)), new), digits_of(new))))
 
 
 def kind_of(text: Column) -> Column:
@@ -167,9 +175,8 @@ def ip_pseudonym(text: Column, key: str) -> Column:
     """The address as one 32-bit number, permuted."""
     parts = F.split(text, r"\.")
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, c: a * 256 + c.cast("long"))
-    new = feistel(number, 1 << 16, 1 << 16, "ip", key)
-    octets = [(new / (1 << s)).cast("long") % 256 for s in (24, 16, 8, 0)]
-    return F.concat_ws(".", *(o.cast("string") for o in octets))
+    octets = lambda new: F.concat_ws(".", *((F.shiftright(new, s) % 256).cast("string") for s in (24, 16, 8, 0)))
+    return let(feistel(number, 1 << 16, 1 << 16, "ip", key), octets)
 
 
 def email_pseudonym(text: Column, key: str) -> Column:
@@ -189,25 +196,33 @@ def email_pseudonym(text: Column, key: str) -> Column:
     return F.concat(F.array_join(F.transform(marks, put), ""), rest)
 
 
-def number_pseudonym(text: Column, kind: Column, key: str) -> Column:
-    """Social security, phone and card numbers in their own shape."""
-    digits = digits_of(text)
+def card_digits(digits: Column, key: str) -> Column:
+    """A number whose Luhn check holds keeps that; the check digit follows from the others."""
     body = F.left(digits, F.length(digits) - 1)
-    valid = luhn_digit(body) == F.right(digits, F.lit(1))
-    new_body = permuted_digits(body, "card", key)
-    card = F.when(valid, F.concat(new_body, luhn_digit(new_body))).otherwise(permuted_digits(digits, "number", key))
-    code = F.length(F.regexp_extract(text, r"^\+(\d{1,3})(?=[ .(-])", 1))
-    phone = F.concat(F.left(digits, code), permuted_digits(F.substr(digits, code + 1), "phone", key))
-    # Social security numbers: area, group and serial stay within what is given out.
+    checked = let(permuted_digits(body, "card", key), lambda new: F.concat(new, luhn_digit(new)))
+    return F.when(luhn_digit(body) == F.right(digits, F.lit(1)), checked).otherwise(permuted_digits(digits, "number", key))
+
+
+def ssn_digits(digits: Column, key: str) -> Column:
+    """Area, group and serial stay within what is given out."""
     area = F.substr(digits, F.lit(1), F.lit(3)).cast("long")
     place = F.when(area > 666, area - 2).otherwise(area - 1)
     number = (place * 99 + F.substr(digits, F.lit(4), F.lit(2)).cast("long") - 1) * 9999 + F.substr(digits, F.lit(6)).cast("long") - 1
-    new = feistel(number, 898 * 99, 9999, "ssn", key)
-    serial, group = new % 9999 + 1, F.floor(new / 9999).cast("long") % 99 + 1
-    other = F.floor(new / (9999 * 99)).cast("long") + 1
-    other = F.when(other >= 666, other + 1).otherwise(other)
-    ssn = F.concat(F.lpad(other.cast("string"), 3, "0"), F.lpad(group.cast("string"), 2, "0"), F.lpad(serial.cast("string"), 4, "0"))
-    return refilled(text, F.when(kind == "ssn", ssn).when(kind == "phone", phone).otherwise(card))
+
+    def spelled(new: Column) -> Column:
+        other = F.floor(new / (9999 * 99)).cast("long") + 1
+        parts = ((other + F.when(other >= 666, 1).otherwise(0), 3), (F.floor(new / 9999).cast("long") % 99 + 1, 2), (new % 9999 + 1, 4))
+        return F.concat(*(F.lpad(x.cast("string"), n, "0") for x, n in parts))
+
+    return let(feistel(number, 898 * 99, 9999, "ssn", key), spelled)
+
+
+def number_pseudonym(text: Column, kind: Column, key: str) -> Column:
+    """Social security, phone and card numbers in their own shape."""
+    code = F.length(F.regexp_extract(text, r"^\+(\d{1,3})(?=[ .(-])", 1))
+    phone = lambda digits: let(code, lambda n: F.concat(F.left(digits, n), permuted_digits(F.substr(digits, n + 1), "phone", key)))
+    chosen = lambda digits: F.when(kind == "ssn", ssn_digits(digits, key)).when(kind == "phone", phone(digits)).otherwise(card_digits(digits, key))
+    return refilled(text, let(digits_of(text), chosen))
 
 
 def pseudonym(text: Column, kind: Column, key: str) -> Column:
@@ -218,7 +233,9 @@ def pseudonym(text: Column, kind: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """Per input row: doc_id, clean_text, n_found, and the number of each kind (n_email, n_date, ...)."""
     rows = pick(docs, "doc_id", "text")
-    rows = rows.select("doc_id", "text", F.regexp_extract_all("text", F.lit(f"({FOUND})"), F.lit(1)).alias("matches"))
+    # Most texts hold neither a digit nor an at sign.
+    matches = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(f"({FOUND})"), F.lit(1)))
+    rows = rows.select("doc_id", "text", matches.alias("matches"))
     # Match by match, in order; what the matches leave is the text between them.
     known = F.transform("matches", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     rows = rows.withColumn("known", F.when(F.size("matches") > 0, known)).drop("matches")
