@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftwell import config
 from driftwell.functions.text import strip_breaks
 from driftwell.operators import quality as Q
 from driftwell.operators import splits as S
@@ -434,7 +435,7 @@ def train_test_split(spark, d):
 @query("train_test_split_plain", f"""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY {hash_sql("p_partkey", 42)}, p_partkey) AS r, count(*) OVER () AS n FROM part)
 SELECT p_partkey, r <= round(n * 0.2e0) AS is_test FROM r""")
 def train_test_split_plain(spark, d):
-    return S.train_test_split(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_partkey", "p_retailprice").drop("p_retailprice")
+    return S.train_test_split(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_partkey", "p_retailprice", max_classes=config.MAX_CLASSES).drop("p_retailprice")
 
 
 @query("kfold_assign", " UNION ALL ".join(f"""SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {hash_sql("o_orderkey", 42 + r)}, o_orderkey) - 1) % 5 AS INTEGER) AS fold,

@@ -73,3 +73,13 @@ def test_top_per_key(skewed, salts):
 def test_small_files_need_no_chunks_and_unknown_sizes_do(spark, tiny):
     assert O.planned_chunks(spark.read.parquet(f"{tiny}/events.parquet")) == 1
     assert O.planned_chunks(spark.createDataFrame([(1,)], "a int")) > 1
+
+
+def test_percentiles_leave_out_null_and_nan_on_both_sides(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", float("nan")), ("a", None), ("b", None), ("b", float("nan")), (None, 3.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = [sorted(map(str, O.percentiles(df, ["k"], "v", {"m": 0.5}, chunks=n).collect())) for n in (1, 4)]
+    assert found[0] == found[1] == sorted(["Row(k='a', m=1.5)", "Row(k='b', m=None)", "Row(k=None, m=4.0)"])
+    wide = spark.createDataFrame([(1.0, None), (float("nan"), None), (3.0, None)], "x double, y double")
+    found = [sorted(map(str, O.column_percentiles(wide, ["x", "y"], {"m": 0.5}, chunks=n).collect())) for n in (1, 4)]
+    assert found[0] == found[1] == sorted(["Row(column='x', m=2.0)", "Row(column='y', m=None)"])
