@@ -22,7 +22,7 @@ def test_broadcast_within_the_limit_and_joined_beyond(spark):
 def test_psi_ships_counts_not_samples(spark):
     n = 4000
     samples = spark.range(n).select(
-        F.lit("m").alias("model_id"), F.lit("f").alias("feature_name"), (F.col("id") % 977).cast("double").alias("value"),
+        F.concat(F.lit("m"), F.col("id") % 3).alias("model_id"), F.concat(F.lit("f"), F.col("id") % 5).alias("feature_name"), (F.col("id") % 977).cast("double").alias("value"),
         (F.col("id") % 2 == 0).alias("is_reference"))
-    assert D.psi(samples).count() == 1
+    assert D.psi(samples).count() == 15
     assert "BroadcastHashJoin" in plan(D.psi(samples))
