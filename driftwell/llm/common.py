@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.operators.smallside import join_small  # noqa: F401  used by the operators of this folder
 from driftwell.session import ensure_checkpoints
 
 # Fixed value: a word is a run of anything but ASCII white space.
@@ -31,35 +31,6 @@ def kept_once(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    """The session's own limit for broadcasts in bytes; -1 forbids them."""
-    said = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower().removesuffix("b")
-    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(said[-1:], 1)
-    return int(said.rstrip("kmg")) * scale
-
-
-def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a table that is usually small (a row per group) to a large one, null keys meeting null keys.
-
-    The small side is written and measured first. Within the session's limit it is broadcast, so the large side
-    is not shuffled; beyond, both are shuffled, and adaptive execution splits hot keys of the large side.
-    """
-    small = kept_once(small)
-    held = small.select(
-        F.coalesce(F.sum(sum((F.octet_length(F.col(c).cast("string")) + 16 for c in small.columns), F.lit(16))), F.lit(0))
-    ).first()[0]
-    right = small.toDF(*(f"__{c}" for c in small.columns))
-    if 0 <= (held or 0) <= broadcast_limit(big.sparkSession):
-        right = F.broadcast(right)
-    met = None
-    for key in keys:
-        same = big[key].eqNullSafe(right[f"__{key}"])
-        met = same if met is None else met & same
-    joined = big.join(right, met, how)
-    rest = [c for c in small.columns if c not in keys]
-    return joined.select(*(big[c] for c in big.columns), *(F.col(f"__{c}").alias(c) for c in rest))
-
-
 def uniform(key: Column, seed: int) -> Column:
     """A number in (0, 1) from a hash of the key; 52 bits, the same in every engine that has md5."""
     digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))
