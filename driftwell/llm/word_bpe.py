@@ -248,12 +248,15 @@ def coded(spark: SparkSession, text: Column, definition: str, ids: bool = False)
                     first.append(digest(numbers))
                     second.append(digest(decoded))
                     if ids:
-                        lists.append([int(i) for i in numbers.split()])
+                        lists.append(np.array(numbers.split(), dtype=np.int32))
                 at = upto
             columns = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
+                # Flat numbers and offsets: a Python list of all ids of a batch would take ten times the space.
+                flat = np.concatenate([np.zeros(0, np.int32), *lists])
+                offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*names, "ids"]
             yield pa.StructArray.from_arrays(columns, names=names)
 
     return compute(F.coalesce(text, F.lit("")))
