@@ -5,8 +5,8 @@ numbers, and a Feistel network of keyed rounds permutes that range. Equal values
 documents, so they stay linked; different values never collide; and who holds the key can undo it.
 
 What is found, the first that fits at a place:
-    email     local part and first label of the domain: letters and digits permuted one by one by a keyed hash of the
-              whole address and their place, so an address is replaced as a whole
+    email     local part and first label of the domain: their letters and digits together are permuted by a Feistel
+              network, a permutation for each shape and rest of the domain; letters keep their case
     date      a calendar day between 1900 and 2099, as 2024-01-31, 31.01.2024, 31/01/2024 or 01/31/2024
     ip        four numbers up to 255, permuted as one 32-bit number
     ssn       three, two and four digits with hyphens, outside the ranges that are never given out
@@ -102,12 +102,12 @@ def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9]", "")
 
 
-def refilled(shape: Column, digits: Column) -> Column:
-    """The shape with its digits replaced in order."""
+def refilled(shape: Column, digits: Column, what: str = "^[0-9]$") -> Column:
+    """The shape with its digits (or what else is asked for) replaced in order."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
 
     def put(state: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
+        digit = c.rlike(what)
         n = state["n"] + F.when(digit, 1).otherwise(0)
         new = F.when(digit, F.substr(digits, n, F.lit(1))).otherwise(c)
         return F.struct(F.concat(state["out"], new).alias("out"), n.alias("n"))
@@ -179,21 +179,47 @@ def ip_pseudonym(text: Column, key: str) -> Column:
     return let(feistel(number, 1 << 16, 1 << 16, "ip", key), octets)
 
 
+def permuted_symbols(symbols: Column, tweak: Column, label: str, key: str) -> Column:
+    """Small letters and digits as others, each of its own sort: a permutation for each sequence of sorts and each tweak.
+
+    The two halves take turns: every symbol of one moves on within its alphabet by a keyed digest of the other half, so
+    a round is undone by moving back.
+    """
+    cut = (F.length(symbols) / 2).cast("int")
+    start = F.struct(F.substr(symbols, F.lit(1), cut).alias("a"), F.substr(symbols, cut + 1).alias("b"))
+
+    def moved(half: Column, other: Column, i: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.length(half) / 32).cast("int"))  # a digest serves 32 symbols
+        digests = F.transform(blocks, lambda n: F.sha2(F.concat(F.lit(f"{key}|{label}|"), F.concat_ws("|", tweak, i, n, other)), 512))
+
+        def shifted(stream: Column) -> Column:
+            def put(c: Column, at: Column) -> Column:
+                by = F.conv(F.substr(stream, at * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                return F.when(c.rlike("[0-9]"), ((c.cast("int") + by) % 10).cast("string")).otherwise(F.char((F.ascii(c) - ord("a") + by) % 26 + ord("a")))
+
+            return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), put), "")
+
+        return let(F.array_join(digests, ""), shifted)
+
+    def turn(half: Column, i: Column) -> Column:
+        even = F.struct(moved(half["a"], half["b"], i).alias("a"), half["b"].alias("b"))
+        odd = F.struct(half["a"].alias("a"), moved(half["b"], half["a"], i).alias("b"))
+        return F.when(i % 2 == 0, even).otherwise(odd)
+
+    return F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), start, turn, lambda h: F.concat(h["a"], h["b"]))
+
+
 def email_pseudonym(text: Column, key: str) -> Column:
-    """Every letter and digit of the local part and the first label becomes another of its sort, led by a keyed digest
-    of the whole address, which keeps equal addresses linked."""
+    """Letters and digits of the local part and the first label, permuted together without regard to case."""
     head = F.regexp_extract(text, r"^(.*?@[^.]*)", 1)
     rest = F.substr(text, F.length(head) + 1)
-    digest = F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(text)), 512)
-    marks = F.filter(F.split(head, ""), lambda c: c != "")
-
-    def put(c: Column, i: Column) -> Column:
-        n = F.conv(F.substr(digest, (i * 2) % 124 + 1, F.lit(4)), 16, 10).cast("int")
-        letter = lambda first: F.char((F.ascii(c) - ord(first) + n % 25 + 1) % 26 + ord(first))
-        return (F.when(c.rlike("[a-z]"), letter("a")).when(c.rlike("[A-Z]"), letter("A"))
-                .when(c.rlike("[0-9]"), ((c.cast("int") + n % 9 + 1) % 10).cast("string")).otherwise(c))
-
-    return F.concat(F.array_join(F.transform(marks, put), ""), rest)
+    shape = F.regexp_replace(F.regexp_replace(F.lower(head), "[a-z]", "a"), "[0-9]", "9")
+    symbols = F.regexp_replace(F.lower(head), "[^a-z0-9]", "")
+    new = let(symbols, lambda s: permuted_symbols(s, F.concat(shape, F.lower(rest)), "email", key))
+    filled = let(new, lambda n: refilled(head, n, "^[A-Za-z0-9]$"))
+    cased = F.transform(F.filter(F.split(filled, ""), lambda c: c != ""), lambda c, i: F.when(
+        F.substr(head, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c))
+    return F.concat(F.array_join(cased, ""), rest)
 
 
 def card_digits(digits: Column, key: str) -> Column:
