@@ -10,8 +10,10 @@ What is found, the first that fits at a place:
     date      a calendar day between 1900 and 2099, as 2024-01-31, 31.01.2024, 31/01/2024 or 01/31/2024
     ip        four numbers up to 255, permuted as one 32-bit number
     ssn       three, two and four digits with hyphens, outside the ranges that are never given out
-    iban      two letters and two check digits that agree; letters stay, digits move, check digits are made anew
-    card      13 to 19 digits, with blanks or hyphens; where the Luhn check holds it also holds afterwards
+    iban      two letters and two check digits that agree, as long as the country's are, or of any length for other
+              countries; letters stay, digits move, check digits are made anew
+    card      13 to 19 digits, with blanks or hyphens; where the Luhn check holds it also holds afterwards. Groups after
+              a blank are only part of it if the check holds with them or with no shorter end
     phone     ten to fifteen digits with a plus sign or a bracketed area code; the country code stays
 Digits that are part of a longer run of letters or digits are left alone.
 
@@ -38,12 +40,22 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
 IP = rf"{OCTET}(?:\.{OCTET}){{3}}"
 SSN = r"\d{3}-\d{2}-\d{4}"
-IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+OF_COUNTRY = "|".join(rf"(?:{codes.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+                      for n, codes in IBAN_LENGTHS.items())
+IBAN = rf"(?:{OF_COUNTRY}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)"
 CARD = r"\d(?:[ -]?\d){12,18}"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}|\d{3}[.-]\d{3}[.-]\d{4}"
 EDGE, END = r"(?<![A-Za-z0-9.@+/-])", r"(?![A-Za-z0-9@]|[./-]\d)"
 # A place is only looked at closely if a word begins there, or a number.
 FOUND = rf"{EMAIL}|(?=[0-9(+]|[A-Z]{{2}}[0-9]){EDGE}(?:{IBAN}|{DATE}|{IP}|{SSN}|{PHONE}|{CARD}){END}"
+# Where a card ends inside its match; a text that holds the first of these characters itself has it as OWN.
+MARK, OWN, FIRST = "\ufdd0\ufdd2", "\ufdd0\ufdd1", "\ufdd0"
 KINDS = ("email", "date", "ip", "ssn", "iban", "card", "phone")
 
 
@@ -256,12 +268,54 @@ def pseudonym(text: Column, kind: Column, key: str) -> Column:
             .when(kind == "iban", iban_pseudonym(text, key)).when(kind.isNotNull(), number_pseudonym(text, kind, key)).otherwise(text))
 
 
+def card_end(text: Column) -> Column:
+    """Characters of a match up to the end of its card; all of them if it is none or no end before a blank checks.
+
+    Where several ends check, the issuer's own length goes first, then the longest.
+    """
+    groups = F.split(text, " ")
+    heads = F.transform(groups, lambda g, i: F.array_join(F.slice(groups, F.lit(1), i + 1), " "))
+
+    def checks(head: Column) -> Column:
+        return let(digits_of(head), lambda d: F.length(d).between(13, 19) & (luhn_digit(F.left(d, F.length(d) - 1)) == F.right(d, F.lit(1))))
+
+    digits = digits_of(text)
+    usual = F.when(digits.rlike("^3[47]"), 15).when(digits.rlike("^3(?:0[0-5]|[689])"), 14).when(digits.rlike("^(?:4|5[1-5]|2[2-7])"), 16)
+    end = let(F.filter(heads, checks), lambda found: F.length(F.coalesce(
+        F.get(F.filter(found, lambda h: F.length(digits_of(h)) == usual), F.lit(0)), F.get(F.reverse(found), F.lit(0)), text)))
+    card = text.contains(" ") & text.rlike(f"^{CARD}$")
+    return F.when(card, end).otherwise(F.length(text))
+
+
+def marked(text: Column) -> Column:
+    """The text with a mark after every card that ends before its match does, so that what follows is looked at afresh."""
+
+    def turn(state: Column, _: Column) -> Column:
+        def woven(new: Column) -> Column:
+            between = F.split(state["text"], FOUND, -1)
+            return F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.get(new, i), F.lit("")))), "")
+
+        cut = lambda m: let(card_end(m), lambda n: F.when(n < F.length(m), F.concat(F.left(m, n), F.lit(MARK), F.substr(m, n + 1))).otherwise(m))
+        new = F.transform(F.regexp_extract_all(state["text"], F.lit(f"({FOUND})"), F.lit(1)), cut)
+        after = let(let(new, woven), lambda t: F.struct(t.alias("text"), (t != state["text"]).alias("more")))
+        return F.when(state["more"], after).otherwise(state)
+
+    # Every turn but the last ends a card of at least 13 digits.
+    turns = F.sequence(F.lit(0), F.floor(F.length(digits_of(text)) / 13).cast("int"))
+    start = F.struct(F.replace(text, F.lit(FIRST), F.lit(OWN)).alias("text"), F.lit(True).alias("more"))
+    return F.aggregate(turns, start, turn, lambda s: s["text"])
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """Per input row: doc_id, clean_text, n_found, and the number of each kind (n_email, n_date, ...)."""
     rows = pick(docs, "doc_id", "text")
     # Most texts hold neither a digit nor an at sign.
     matches = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(f"({FOUND})"), F.lit(1)))
     rows = rows.select("doc_id", "text", matches.alias("matches"))
+    # Few texts hold a card with more digits behind it.
+    rows = rows.withColumn("marked", F.when(F.exists("matches", lambda m: card_end(m) < F.length(m)), marked(F.col("text"))))
+    rows = rows.withColumn("matches", F.when(F.col("marked").isNull(), F.col("matches")).otherwise(F.regexp_extract_all("marked", F.lit(f"({FOUND})"), F.lit(1))))
+    rows = rows.withColumn("text", F.coalesce("marked", "text"))
     # Match by match, in order; what the matches leave is the text between them.
     known = F.transform("matches", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     rows = rows.withColumn("known", F.when(F.size("matches") > 0, known)).drop("matches")
@@ -270,6 +324,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     between = F.when(F.col("known").isNotNull(), F.split("text", FOUND, -1))
     rows = rows.withColumn("between", between)
     woven = F.array_join(F.transform("between", lambda t, i: F.concat(t, F.coalesce(F.get("new", i), F.lit("")))), "")
+    woven = F.when(F.col("marked").isNull(), woven).otherwise(F.replace(F.replace(woven, F.lit(MARK), F.lit("")), F.lit(OWN), F.lit(FIRST)))
     count = lambda kind: F.coalesce(F.size(F.filter("known", lambda k: k["kind"] == kind)), F.lit(0)).cast("long")
     counts = {k: F.when(F.col("known").isNotNull(), count(k)).otherwise(0).cast("long") for k in KINDS}
     out = rows.select("doc_id", F.when(F.col("known").isNotNull(), woven).otherwise(F.col("text")).alias("clean_text"),

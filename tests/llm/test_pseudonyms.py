@@ -124,3 +124,35 @@ def test_addresses_never_collide_and_can_be_undone(spark):
     assert len(set(got.values())) == len(addresses)
     assert all(shape(x) == shape(a) and undone(x) == a for a, x in got.items())
     assert got["A.b+c@X-y.org"].lower() == got["a.b+c@x-y.org"]  # one mailbox in either spelling stays linked
+
+
+IBANS = ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466",
+         "HU42 1177 3016 1111 1018 0000 0000", "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"]
+LONG = next(n for n in (f"6200 0000 0000 0001 23{d}" for d in range(10)) if luhn(n.replace(" ", "")))
+CARDS = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "378282246310005"]
+
+
+def test_values_before_capitals_and_digits(spark):
+    after = [".", " BIC CAIXESBB", " EUR 50", " EUR", " 2024", " 12", " A1"]
+    texts = [f"to {v}{a}" for v in IBANS for a in after]
+    rows = clean(spark, texts)
+    for i, v in enumerate(IBANS):
+        own = rows[i * len(after):(i + 1) * len(after)]
+        new = own[0].clean_text[3:-1]
+        assert iban_ok(new) and new != v
+        assert [(r.clean_text, r.n_iban, r.n_found) for r in own] == [(f"to {new}{a}", 1, 1) for a in after]
+    after = [".", " 123", " 1234", " EUR 50", " 12 27", " 7"]
+    rows = clean(spark, [f"card {v}{a}" for v in CARDS + [LONG] for a in after])
+    for i, v in enumerate(CARDS + [LONG]):
+        own = rows[i * len(after):(i + 1) * len(after)]
+        new = own[0].clean_text[5:-1]
+        assert luhn(re.sub(r"\D", "", new)) and new != v
+        assert [(r.clean_text, r.n_card, r.n_found) for r in own] == [(f"card {new}{a}", 1, 1) for a in after], v
+
+
+def test_values_one_after_another(spark):
+    text = f"\ufdd0 {CARDS[3]} {CARDS[0]} 123 \ufdd0\ufdd2{CARDS[3]} {CARDS[3]} {CARDS[3]} {CARDS[0]} 7 {IBANS[2]} {CARDS[0]} 1.2.3.4"
+    alone = [r.clean_text for r in clean(spark, [CARDS[0], CARDS[3], IBANS[2], "1.2.3.4"])]
+    row, = clean(spark, [text])
+    want = text.replace(CARDS[0], alone[0]).replace(CARDS[3], alone[1]).replace(IBANS[2], alone[2]).replace("1.2.3.4", alone[3])
+    assert (row.clean_text, row.n_card, row.n_iban, row.n_ip) == (want, 7, 1, 1)
