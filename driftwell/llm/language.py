@@ -7,8 +7,9 @@ escapes weigh as many as there are different successors). The statistics are fro
 length is exact and does not depend on order or partitioning. The language with the shortest code wins.
 
 Texts are lower-cased, and ASCII characters other than letters count as spaces. Counting covers all training rows.
-The model is bounded: four-byte nodes below a relative frequency of `floor` are dropped, so a language keeps at most
-1/floor of them, and at most `MOST_LANGUAGES` languages are learned.
+Four-byte nodes below a relative frequency of `floor` are dropped, so a language keeps at most 1/floor of them. Any
+number of languages is learned: a tree holds the nodes its language has and no others, and a text meets them group by
+group.
 
 Defined cases: a null or empty text and one without a letter is `und` with score 0; so is every text if no training
 row has a language; equal code lengths go to the language that sorts first; a repeated row is counted as often as it
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from driftwell.llm.common import join_small, kept_once, pick
 
 FLOOR = 1e-5
-MOST_LANGUAGES = 64
 BLOCK = 1 << 20  # bytes counted or scored at a time
+WAITING = 16 * BLOCK  # bytes of all languages that wait to be counted
+GROUP = 16  # languages whose code lengths are held at a time
 CERTAIN = 64  # bytes after which more text adds no further certainty to the score
 UNKNOWN = "und"
 
@@ -64,6 +66,7 @@ def gram_counter(table: bytes):
         held: dict[str, list] = {}
         waiting: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
+        total = 0
 
         def settle(lang: str) -> None:
             # Texts are three spaces apart, so that each begins in the same context.
@@ -78,8 +81,14 @@ def gram_counter(table: bytes):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 waiting.setdefault(lang, []).append(text.translate(table))
                 size[lang] = size.get(lang, 0) + len(text)
+                total += len(text)
                 if size[lang] >= BLOCK:
+                    total -= size[lang]
                     settle(lang)
+                if total >= WAITING:
+                    total = 0
+                    for each in list(waiting):
+                        settle(each)
         for lang in list(waiting):
             settle(lang)
         for lang, parts in held.items():
@@ -97,84 +106,102 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Trees:
-    """Frozen code lengths of all languages, laid out for lookup by context.
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted keys stand among the sorted ones, and which of them do."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Tree:
+    """Frozen code lengths of one language: sorted keys of its nodes and contexts, from three bytes of context to one."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.orders = []
+        for mask in (0xFFFFFFFF, 0xFFFFFF, 0xFFFF):
+            keys, n = _merged([(grams.astype(np.uint32) & np.uint32(mask), counts.astype(np.int64))]) if len(grams) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            contexts, own, kinds = np.unique(keys >> np.uint32(8), return_inverse=True, return_counts=True)
+            whole = np.bincount(own, n, len(contexts)) + kinds
+            self.orders.append((np.uint32(mask), keys, -np.log2(n / whole[own]), contexts, -np.log2(kinds / whole)))
+        n = np.bincount((grams & 255).astype(np.int64), counts, 256)
+        kinds = (n > 0).sum()
+        whole = max(n.sum() + kinds, 1)
+        # Without any context: one of 256 bytes.
+        self.single = np.where(n > 0, -np.log2(np.maximum(n, 1e-300) / whole), 8.0 - (np.log2(kinds / whole) if kinds else 0.0))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each gram after the three before it."""
+        out, todo = np.zeros(len(grams)), np.arange(len(grams))
+        for mask, keys, bits, contexts, escapes in self.orders:
+            left = grams[todo] & mask
+            at, hit = _found(keys, left)
+            out[todo[hit]] += bits[at[hit]]
+            todo, left = todo[~hit], left[~hit]
+            at, known = _found(contexts, left >> np.uint32(8))
+            out[todo[known]] += escapes[at[known]]
+        out[todo] += self.single[grams[todo] & np.uint32(255)]
+        return out
 
-    classes: byte to symbol, 0 for bytes that training never saw. context: three symbols to a row, 0 if no language
-    knows them. long: bits of each symbol after such a context; short: bits of each symbol after two symbols.
-    """
+
+class Trees:
+    """The trees of all languages, in order."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
-        seen = np.zeros(256, bool)
-        for keys, _ in counts.values():
-            seen[(keys & 255).astype(np.int64)] = True
-        known = np.flatnonzero(seen)
-        self.classes = np.zeros(256, np.int64)
-        self.classes[known] = np.arange(1, len(known) + 1)
-        c = self.size = len(known) + 1
-        symbols = {lang: [self.classes[((keys >> s) & 255).astype(np.int64)] for s in (24, 16, 8, 0)] for lang, (keys, _) in counts.items()}
-        inside = [((a * c + b) * c + d) for a, b, d, _ in symbols.values()]
-        contexts = np.unique(np.concatenate(inside)) if inside else np.zeros(0, np.int64)
-        self.context = np.zeros(c**3, np.int32)
-        self.context[contexts] = np.arange(1, len(contexts) + 1)
-        self.long = np.zeros(((len(contexts) + 1) * c, len(counts)), np.float32)
-        self.short = np.zeros((c**3, len(counts)), np.float32)
-        for at, lang in enumerate(self.languages):
-            n = counts[lang][1].astype(np.float64)
-            a, b, d, e = symbols[lang]
-            flat = np.full(c, 8.0)  # without any context: one of 256 bytes
-            bits = self._coded(np.bincount(e, n, c)[None, :], flat[None, :])[0]
-            bits = self._coded(np.bincount(d * c + e, n, c * c).reshape(c, c), bits[None, :])
-            bits = self._coded(np.bincount((b * c + d) * c + e, n, c**3).reshape(c, c, c), bits[None, :, :])
-            self.short[:, at] = bits.reshape(-1)
-            rows = self.context[(a * c + b) * c + d].astype(np.int64)
-            table = np.bincount(rows * c + e, n, len(self.long)).reshape(-1, c)
-            lower = np.zeros_like(table)
-            lower[1:] = bits.reshape(c, c, c)[(contexts // c) % c, contexts % c]
-            self.long[:, at] = self._coded(table, lower).reshape(-1)
-
-    @staticmethod
-    def _coded(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Bits of every symbol in every context (rows), given its bits in the next shorter context."""
-        total, kinds = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-        whole = np.maximum(total + kinds, 1)
-        escape = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / whole), 0.0)
-        return np.where(counts > 0, -np.log2(np.maximum(counts, 1e-300) / whole), escape + lower)
+        self.trees = [Tree(*counts[lang]) for lang in self.languages]
+
+    def groups(self, texts: list[bytes], group: int = GROUP) -> Iterator[tuple[int, np.ndarray]]:
+        """First language of a group, code length of every (folded) text under each of the group."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(lengths + 3) - 3
+        grams = _grams(np.frombuffer(b"".join(b"   " + t for t in texts), np.uint8))
+        # Every different gram is looked up once. Gram and place in one number sort together.
+        packed = np.sort((grams.astype(np.uint64) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64))
+        ordered, place = (packed >> np.uint64(32)).astype(np.uint32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.r_[True, ordered[1:] != ordered[:-1]] if len(grams) else np.zeros(0, bool)
+        own = np.full(len(grams) + 1, new.sum(), np.int64)
+        own[place] = np.cumsum(new) - 1
+        # Each text's three leading spaces are not coded, so between two texts three places are left out.
+        spans = np.stack([ends - lengths, ends], axis=1).reshape(-1)
+        for at in range(0, len(self.trees), group):
+            out = np.zeros((len(texts), min(group, len(self.trees) - at)))
+            for k, tree in enumerate(self.trees[at:at + group]):
+                cost = np.r_[tree.bits(ordered[new]), 0.0][own]
+                out[:, k] = np.where(lengths > 0, np.add.reduceat(cost, spans)[::2], 0.0)
+            yield at, out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of every (folded) text under every language."""
-        out = np.zeros((len(texts), len(self.languages)))
-        starts = np.cumsum([0, *(len(t) + 3 for t in texts)])
-        symbols = self.classes[np.frombuffer(b"".join(b"   " + t for t in texts), np.uint8)]
-        c = self.size
-        pair = symbols[:-1] * c + symbols[1:]
-        triple = pair[:-1] * c + symbols[2:]  # symbols i, i+1, i+2
-        row = self.context[triple[:-1]]
-        cost = self.long[row * np.int64(c) + symbols[3:]]
-        unknown = np.flatnonzero(row == 0)
-        cost[unknown] = self.short[triple[unknown + 1]]
-        # The byte at i is coded by cost[i - 3]; each text's three leading spaces are not coded.
-        for i in range(len(texts)):
-            out[i] = cost[starts[i]:starts[i + 1] - 3].sum(axis=0, dtype=np.float64)
-        return out
+        return np.concatenate([np.zeros((len(texts), 0)), *(bits for _, bits in self.groups(texts))], axis=1)
+
+    def best(self, texts: list[bytes], group: int = GROUP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each text's language, its score, and its bits per byte."""
+        length = np.array([max(1, len(t)) for t in texts])
+        # Neighbouring bytes are not independent: beyond CERTAIN bytes the mean is what counts.
+        share = np.minimum(length, CERTAIN) / length
+        chosen, least, odds = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.zeros(len(texts))
+        for at, bits in self.groups(texts, group):
+            own = bits.min(axis=1)
+            chosen = np.where(own < least, at + bits.argmin(axis=1), chosen)
+            lower = np.minimum(own, least)
+            odds = odds * np.exp2((lower - least) * share) + np.exp2((lower[:, None] - bits) * share[:, None]).sum(axis=1)
+            least = lower
+        return chosen, 1 / odds, least / length
 
 
 def learned(training: DataFrame, floor: float = FLOOR) -> Trees:
     """The trees of all languages of (lang, text). Only the bounded node table comes to the driver."""
     counts = gram_counts(training.filter("lang is not null and text is not null"))
     counts = kept_once(counts)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    if totals.count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    rows = join_small(counts, totals, ["lang"], "inner").filter(F.col("n") >= floor * F.col("total")).select("lang", "gram", "n").toArrow()
-    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    langs, grams, n = rows.column("lang").to_pylist(), rows.column("gram").to_numpy(), rows.column("n").to_numpy()
-    names = np.array(langs, dtype=object)
-    for lang in sorted(set(langs)):
-        own = names == lang
-        found[lang] = (grams[own], n[own])
-    return Trees(found)
+    totals = sorted(counts.groupBy("lang").agg(F.sum("n").alias("total")).collect())
+    codes = training.sparkSession.createDataFrame([(r.lang, i, r.total) for i, r in enumerate(totals)], "lang string, code int, total long")
+    rows = join_small(counts, codes, ["lang"], "inner").filter(F.col("n") >= floor * F.col("total")).select("code", "gram", "n").toArrow()
+    code, grams, n = (rows.column(c).to_numpy() for c in ("code", "gram", "n"))
+    order = np.argsort(code, kind="stable")
+    cuts = np.searchsorted(code[order], np.arange(len(totals) + 1))
+    parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return Trees({r.lang: (grams[own], n[own]) for r, own in zip(totals, parts, strict=True) if len(own)})
 
 
 def verdict(spark: SparkSession, text: Column, trees: Trees) -> Column:
@@ -193,16 +220,9 @@ def verdict(spark: SparkSession, text: Column, trees: Trees) -> Column:
                 while todo and (not now or size + len(texts[todo[-1]]) <= BLOCK):
                     now.append(todo.pop())
                     size += len(texts[now[-1]])
-                bits = trees.bits([texts[i] for i in now])
-                length = np.array([max(1, len(texts[i])) for i in now])
-                # Neighbouring bytes are not independent: beyond CERTAIN bytes the mean is what counts.
-                scaled = bits * (np.minimum(length, CERTAIN) / length)[:, None]
-                odds = np.exp2(scaled.min(axis=1, keepdims=True) - scaled)
-                chosen = bits.argmin(axis=1)
+                chosen, odds, bits = trees.best([texts[i] for i in now])
                 for j, i in enumerate(now):
-                    best[i] = trees.languages[chosen[j]]
-                    score[i] = odds[j, chosen[j]] / odds[j].sum()
-                    rate[i] = bits[j, chosen[j]] / length[j]
+                    best[i], score[i], rate[i] = trees.languages[chosen[j]], odds[j], bits[j]
             yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score), pa.array(rate)], names=["lang", "score", "bits"])
 
     return judge(F.when(text.rlike(r"\p{L}"), F.lower(text).cast("binary")))

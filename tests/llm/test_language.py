@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,30 @@ def test_odd_texts_and_tables(spark):
     left = language.stage(spark, frame(spark, corpus() + odd), "")
     assert left.columns == frame(spark, []).columns and left.filter("text = '123 %%%' or text = '' or text = '日本語'").count() == 0
     assert left.count() >= 240
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    stray = [(1000 + i, f"stray text number {chr(97 + i % 26)}{chr(97 + i // 26)}", f"x-{i}", "s") for i in range(150)]
+    monkeypatch.setattr(language, "WAITING", 500)
+    trees = language.learned(frame(spark, corpus() + stray).select("lang", "text"))
+    assert len(trees.languages) == 153 and trees.languages == sorted(trees.languages)
+    out = language.identified(frame(spark, corpus()), trees).collect()
+    truth = {r[0]: r[2] for r in corpus()}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in out) >= 0.98 * len(out)
+    # Groups of any size come to what all languages at once come to.
+    texts = [t.encode().translate(language.folded()) for _, t, _, _ in corpus()[:20] + stray[::9]] + [b"", b"x"]
+    bits = trees.bits(texts)
+    length = np.array([max(1, len(t)) for t in texts])
+    scaled = bits * (np.minimum(length, language.CERTAIN) / length)[:, None]
+    for group in (1, 7, 200):
+        chosen, score, rate = trees.best(texts, group)
+        assert (chosen == bits.argmin(axis=1)).all() and rate == pytest.approx(bits.min(axis=1) / length)
+        assert score == pytest.approx(1 / np.exp2(scaled.min(axis=1, keepdims=True) - scaled).sum(axis=1))
+
+
+def test_trees_hold_only_what_their_language_has():
+    rng = np.random.default_rng(4)
+    counts = {f"l{i}": (np.unique(rng.integers(0, 1 << 32, 300)), np.arange(1, 301)) for i in range(200)}
+    trees = language.Trees({k: (g, n[:len(g)]) for k, (g, n) in counts.items()})
+    held = sum(a.nbytes for t in trees.trees for order in t.orders for a in order if a.ndim) + sum(t.single.nbytes for t in trees.trees)
+    assert held < 200 * (300 * 3 * 24 + 256 * 8)
