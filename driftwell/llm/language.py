@@ -7,8 +7,8 @@ escapes weigh as many as there are different successors). The statistics are fro
 length is exact and does not depend on order or partitioning. The language with the shortest code wins.
 
 Texts are lower-cased, and ASCII characters other than letters count as spaces. Counting covers all training rows.
-Four-byte nodes below a relative frequency of `floor` are dropped, so a language keeps at most 1/floor of them. Any
-number of languages is learned: a tree holds the nodes its language has and no others, and a text meets them group by
+Four-byte nodes below a relative frequency of `floor` are dropped, so a language keeps at most 1/floor of them; shorter
+contexts are counted before that and keep all they saw. Any number of languages is learned: a tree holds the nodes its language has and no others, and a text meets them group by
 group.
 
 Defined cases: a null or empty text and one without a letter is `und` with score 0; so is every text if no training
@@ -115,11 +115,16 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Tree:
-    """Frozen code lengths of one language: sorted keys of its nodes and contexts, from three bytes of context to one."""
+    """Frozen code lengths of one language: sorted keys of its nodes and contexts, from three bytes of context to one.
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    The shorter contexts are taken from three-byte nodes if these are given apart.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, shorter: tuple[np.ndarray, np.ndarray] | None = None):
         self.orders = []
         for mask in (0xFFFFFFFF, 0xFFFFFF, 0xFFFF):
+            if mask == 0xFFFFFF and shorter is not None:
+                grams, counts = shorter
             keys, n = _merged([(grams.astype(np.uint32) & np.uint32(mask), counts.astype(np.int64))]) if len(grams) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
             contexts, own, kinds = np.unique(keys >> np.uint32(8), return_inverse=True, return_counts=True)
             whole = np.bincount(own, n, len(contexts)) + kinds
@@ -147,7 +152,7 @@ class Tree:
 class Trees:
     """The trees of all languages, in order."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: dict[str, tuple]):
         self.languages = sorted(counts)
         self.trees = [Tree(*counts[lang]) for lang in self.languages]
 
@@ -191,17 +196,23 @@ class Trees:
 
 
 def learned(training: DataFrame, floor: float = FLOOR) -> Trees:
-    """The trees of all languages of (lang, text). Only the bounded node table comes to the driver."""
+    """The trees of all languages of (lang, text). Only their nodes come to the driver."""
     counts = gram_counts(training.filter("lang is not null and text is not null"))
     counts = kept_once(counts)
     totals = sorted(counts.groupBy("lang").agg(F.sum("n").alias("total")).collect())
     codes = training.sparkSession.createDataFrame([(r.lang, i, r.total) for i, r in enumerate(totals)], "lang string, code int, total long")
-    rows = join_small(counts, codes, ["lang"], "inner").filter(F.col("n") >= floor * F.col("total")).select("code", "gram", "n").toArrow()
-    code, grams, n = (rows.column(c).to_numpy() for c in ("code", "gram", "n"))
-    order = np.argsort(code, kind="stable")
-    cuts = np.searchsorted(code[order], np.arange(len(totals) + 1))
-    parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return Trees({r.lang: (grams[own], n[own]) for r, own in zip(totals, parts, strict=True) if len(own)})
+    coded = join_small(counts, codes, ["lang"], "inner")
+
+    def by_language(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        table = rows.select("code", "gram", "n").toArrow()
+        code, grams, n = (table.column(c).to_numpy() for c in ("code", "gram", "n"))
+        order = np.argsort(code, kind="stable")
+        cuts = np.searchsorted(code[order], np.arange(len(totals) + 1))
+        return [(grams[order[a:b]], n[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    long = by_language(coded.filter(F.col("n") >= floor * F.col("total")))
+    short = by_language(coded.groupBy("code", F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n")))
+    return Trees({r.lang: (*a, b) for r, a, b in zip(totals, long, short, strict=True)})
 
 
 def verdict(spark: SparkSession, text: Column, trees: Trees) -> Column:

@@ -130,3 +130,17 @@ def test_trees_hold_only_what_their_language_has():
     trees = language.Trees({k: (g, n[:len(g)]) for k, (g, n) in counts.items()})
     held = sum(a.nbytes for t in trees.trees for order in t.orders for a in order if a.ndim) + sum(t.single.nbytes for t in trees.trees)
     assert held < 200 * (300 * 3 * 24 + 256 * 8)
+
+
+@pytest.mark.parametrize("floor", [0.004, 0.9])
+def test_shorter_contexts_keep_all_counts(spark, floor):
+    rng = random.Random(8)
+    texts = {"en": " ".join(rng.choices(WORDS["en"].split(), k=90)), "zh": "".join(chr(0x4E00 + int(rng.paretovariate(0.5)) % 9000) for _ in range(400))}
+    trees = language.learned(frame(spark, [(i, t, lang, "s") for i, (lang, t) in enumerate(texts.items())]).select("lang", "text"), floor)
+    probes = [t[:200].encode() for t in texts.values()] + [b"the thing", "日本語の文".encode()]
+    got = trees.bits(probes)
+    for at, lang in enumerate(trees.languages):
+        slow, pruned = Slow([texts[lang].encode()], 0), Slow([texts[lang].encode()], floor)
+        slow.next = {c: after for c, after in slow.next.items() if len(c) < 3} | {c: after for c, after in pruned.next.items() if len(c) == 3}
+        assert [got[i, at] for i in range(len(probes))] == pytest.approx([slow.bits(p) for p in probes], rel=1e-6)
+    assert trees.languages == ["en", "zh"]
