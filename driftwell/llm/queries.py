@@ -1,6 +1,6 @@
 """The registered queries of this folder and the SQL that must agree with them."""
 
-from driftwell.llm import exact_dedup, language, mixing, pseudonyms, quality, simhash, token_files, toxicity, url_filter, word_bpe
+from driftwell.llm import exact_dedup, language, line_dedup, mixing, pseudonyms, quality, simhash, token_files, toxicity, url_filter, word_bpe
 
 QUERIES = {
     "op2_pseudonyms": pseudonyms.op2_pseudonyms,
@@ -13,10 +13,12 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 
 ORACLES = {
     "op6_url_filter": url_filter.SQL,
     "op7_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_line_dedup": line_dedup.SQL,
 }
