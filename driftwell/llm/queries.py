@@ -1,6 +1,6 @@
 """The registered queries of this folder and the SQL that must agree with them."""
 
-from driftwell.llm import exact_dedup, language, line_dedup, mixing, pseudonyms, quality, simhash, token_files, toxicity, url_filter, word_bpe
+from driftwell.llm import exact_dedup, hard_negatives, language, line_dedup, mixing, prefix_trie, pseudonyms, quality, simhash, token_files, toxicity, url_filter, word_bpe
 
 QUERIES = {
     "op2_pseudonyms": pseudonyms.op2_pseudonyms,
@@ -14,6 +14,8 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -21,4 +23,6 @@ ORACLES = {
     "op7_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op11_line_dedup": line_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
