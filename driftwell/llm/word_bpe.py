@@ -4,17 +4,22 @@ A word is first cut greedily into the longest tokens that fit. Byte-pair merging
 adjacent tokens are compatible: if merging the two on their own would leave the boundary between them alone. That is
 settled for all distinct pairs of a batch at once, by undoing the merges on both sides of the boundary, latest first,
 and looking for a merge across it that would have come earlier. Only words with an incompatible pair are merged
-exactly, step by step. Words repeat, so each worker keeps a bounded memory of the pieces it has met.
+exactly: short ones side by side, a merge of every word at a time; long ones with a heap of the pairs, so that the work
+for a word of n characters grows as n log n. Words repeat, so each worker keeps a bounded memory of the words it has
+met, as packed ids.
 
 The tokenizer is read from its definition file: normal form C, white space collapsed, lower case; words by the file's
 pattern; bytes as characters; a mark at the end of every word. Special tokens in a text are found before all that.
 
-Defined cases: a null or empty text and one of white space alone has no tokens and decodes to the empty text.
+Defined cases: a null or empty text and one of white space alone has no tokens and decodes to the empty text. Every
+row is encoded on its own, so repeated rows and rows that share a doc_id or have none give a row each; an empty table
+gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -27,11 +32,10 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.common import pick, worker_store
 
-CACHED = 100_000  # text pieces of a generation of the cache
+WORDS = 250_000  # words of a generation of the cache
+SHORT = 64  # characters of words that are merged side by side
 CHARS = 1 << 20  # characters of text whose pieces are resolved together
 NEVER = int(np.iinfo(np.int64).max)
-# The code points that count as white space.
-SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 END = 0x1000  # added to a word's last character: the form that carries the end-of-word mark
 
 
@@ -58,6 +62,9 @@ class WordBpe:
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        steps = [s["type"] for s in spec["normalizer"].get("normalizers", [spec["normalizer"]])]
+        if steps != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError(f"the file normalises by {steps}; this encoder knows normal form C, white space and lower case")
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.shown = dict(enumerate(byte_characters()))
@@ -80,7 +87,8 @@ class WordBpe:
                 self.born[made], self.left[made], self.right[made] = rank, x, y
         keys = np.array([x * size + y for x, y in self.merges], np.int64)
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        ranked = np.array(list(self.merges.values()), np.int64).reshape(-1, 2)[order]
+        self.pair_keys, self.pair_ranks, self.pair_made = keys[order], ranked[:, 0], ranked[:, 1]
         self.size = size
         self.ranks = {x * size + y: r for (x, y), (r, _) in self.merges.items()}
         self.made = {x * size + y: m for (x, y), (_, m) in self.merges.items()}
@@ -91,15 +99,26 @@ class WordBpe:
             if self.exact(token) == [i]:
                 self.proposed.add_word(token, i)
         self.proposed.make_automaton()
-        self.new: dict[str, tuple[str, str, int]] = {}
-        self.old: dict[str, tuple[str, str, int]] = {}
+        # The id of a character by its code point, -1 for characters without one.
+        self.single = np.full(max((ord(c) for c in self.ids if len(c) == 1), default=0) + 2, -1, np.int64)
+        for c, i in self.ids.items():
+            if len(c) == 1:
+                self.single[ord(c)] = i
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # Packed ids of words, in a present and a former generation.
+        self.known: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
         self.tried = self.merged = 0
 
-    def across(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank of the merge of every pair, NEVER if there is none."""
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = a * self.size + b
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+        return at, self.pair_keys[at] == keys
+
+    def across(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of every pair, NEVER if there is none."""
+        at, known = self._pair(a, b)
+        return np.where(known, self.pair_ranks[at], NEVER)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For every pair of tokens: does merging their characters leave the boundary between them alone?
@@ -130,22 +149,79 @@ class WordBpe:
         return found[:, 1], found[:, 0] + 1
 
     def exact(self, text: str) -> list[int]:
-        """Merging as defined: of all adjacent pairs the one of lowest rank, the leftmost first."""
+        """Merging as defined: of all adjacent pairs the one of lowest rank, the leftmost first.
+
+        The pairs wait in a heap by (rank, place). A merged piece stays at its left place; what waits for a place that
+        has changed since is passed over.
+        """
         pieces = [self.ids[c] for c in text if c in self.ids]
-        size, rank, made = self.size, self.ranks.get, self.made
-        ranks = [rank(x * size + y, NEVER) for x, y in zip(pieces, pieces[1:], strict=False)]
-        while ranks and (best := min(ranks)) < NEVER:
-            i = ranks.index(best)
-            pieces[i:i + 2] = [made[pieces[i] * size + pieces[i + 1]]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(pieces[i - 1] * size + pieces[i], NEVER)
-            if i < len(ranks):
-                ranks[i] = rank(pieces[i] * size + pieces[i + 1], NEVER)
-        return pieces
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of ended words."""
+        n, size, ranks, made = len(pieces), self.size, self.ranks, self.made
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(r << 40) | i for i, (x, y) in enumerate(zip(pieces, pieces[1:], strict=False)) if (r := ranks.get(x * size + y)) is not None]
+        heapq.heapify(waiting)
+        place = (1 << 40) - 1
+        while waiting:
+            entry = heapq.heappop(waiting)
+            i = entry & place
+            j = after[i]
+            if pieces[i] < 0 or j >= n:
+                continue
+            key = pieces[i] * size + pieces[j]
+            if ranks.get(key) != entry >> 40:
+                continue
+            pieces[i], pieces[j] = made[key], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := ranks.get(pieces[i] * size + pieces[k])) is not None:
+                    heapq.heappush(waiting, (r << 40) | i)
+            h = before[i]
+            if h >= 0 and (r := ranks.get(pieces[h] * size + pieces[i])) is not None:
+                heapq.heappush(waiting, (r << 40) | h)
+        return [p for p in pieces if p >= 0]
+
+    def exact_many(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many short words: in every round each word makes its next merge."""
+        out = [b""] * len(words)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        ids = self.single[np.minimum(chars, len(self.single) - 1)]
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])[ids >= 0]
+        ids = ids[ids >= 0]
+        rank = np.full(len(ids), NEVER)  # of the pair that begins here; NEVER at the end of a word
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.across(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            sizes = np.diff(np.r_[starts, len(ids)])
+            least = np.minimum.reduceat(rank, starts)
+            done = least == NEVER
+            if done.any():
+                packed = ids.astype(self.kind)
+                for start, size in zip(starts[done].tolist(), sizes[done].tolist(), strict=True):
+                    out[word[start]] = packed[start:start + size].tobytes()
+                stays = np.repeat(~done, sizes)
+                ids, word, rank = ids[stays], word[stays], rank[stays]
+                sizes, least = sizes[~done], least[~done]
+            if not len(ids):
+                break
+            hits = np.flatnonzero(rank == np.repeat(least, sizes))
+            at = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]
+            ids[at] = self.pair_made[self._pair(ids[at], ids[at + 1])[0]]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            moved = at - np.arange(len(at))  # every word before has lost one piece
+            ids, word, rank = ids[stays], word[stays], rank[stays]
+            for left in (moved - 1, moved):
+                left = left[(left >= 0) & (left + 1 < len(ids))]
+                same = word[left] == word[left + 1]
+                rank[left[same]] = self.across(ids[left[same]], ids[left[same] + 1])
+                rank[left[~same]] = NEVER
+            if len(moved) and moved[-1] == len(ids) - 1:
+                rank[-1] = NEVER
+        return out
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of ended words."""
         if not words:
             return []
         flat, ends = self.greedy(words)
@@ -162,63 +238,64 @@ class WordBpe:
             sure[word_of[inside[~self.compatible(pairs // self.size, pairs % self.size)[which]]]] = False
         self.tried += len(words)
         self.merged += int((~sure).sum())
-        ids = flat.tolist()
-        return [ids[a:b] if ok else self.exact(w) for w, ok, a, b in zip(words, sure.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        width, packed = self.kind.itemsize, flat.astype(self.kind).tobytes()
+        out = [packed[a * width:b * width] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        failed = np.flatnonzero(~sure).tolist()
+        short = [i for i in failed if len(words[i]) <= SHORT]
+        for i, ids in zip(short, self.exact_many([words[i] for i in short]), strict=True):
+            out[i] = ids
+        for i in failed:
+            if len(words[i]) > SHORT:
+                out[i] = self.packed(self.exact(words[i]))
+        return out
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
     def _gaps(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens that do not begin where the one before ended."""
         return np.flatnonzero(ends - self.lengths[flat] != np.r_[0, ends[:-1]])
 
-    def parts(self, piece: str) -> list[str | int]:
-        """Words and special ids of a piece of raw text."""
-        if piece.isascii() and piece.isalpha():
-            return [ended(piece.lower())]
-        if self.specials is None or "<" not in piece:
-            sections = [piece]
-        else:
-            sections = [s for s in self.specials.split(piece) if s]
+    def cut(self, text: str) -> list[str | int]:
+        """The words of a raw text, in their normal form, and the ids of special tokens."""
+        if self.specials is None or self.specials.search(text) is None:
+            return self.words.findall(self.normal(text))
         out: list[str | int] = []
-        for section in sections:
-            if section in self.special:
-                out.append(self.special[section])
-                continue
-            # Lower case character by character: a sigma has one lower form wherever it stands.
-            plain = unicodedata.normalize("NFC", section).replace("Σ", "σ").lower()
-            out += [ended(w.encode().decode("latin-1").translate(self.shown)) for w in self.words.findall(plain)]
-        return out
-
-    def resolve(self, pieces: list[str]) -> dict[str, tuple[str, str, int]]:
-        """(ids as text, tokens as text, number) of every piece."""
-        parts = [self.parts(p) for p in pieces]
-        words = list(dict.fromkeys(w for ps in parts for w in ps if isinstance(w, str)))
-        ids = dict(zip(words, self.encode_words(words), strict=True))
-        out = {}
-        for piece, ps in zip(pieces, parts, strict=True):
-            tokens = [t for p in ps for t in (ids[p] if isinstance(p, str) else (p,))]
-            out[piece] = (" ".join([self.number[t] for t in tokens]), self.decode(tokens), len(tokens))
+        for section in self.specials.split(text):
+            out += [self.special[section]] if section in self.special else self.words.findall(self.normal(section))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The file names no decoder: tokens as they are, a space between them. Unknown ids are left out."""
-        return " ".join(self.text[i] for i in ids if 0 <= i < self.size)
+    def normal(self, text: str) -> str:
+        """Normal form C in lower case. White space needs no collapsing, as no word holds any. Lower case goes character
+        by character: a sigma has one lower form wherever it stands."""
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
-        """(ids joined by spaces, decoded text, number of tokens) of every whole text."""
-        split = [[p for p in SPACES.split(t) if p] for t in texts]
+    def learn(self, words: set[str]) -> None:
+        """Make the packed ids of words known."""
         missing = []
-        for piece in set().union(*split) - self.new.keys():
-            known = self.old.get(piece)
-            if known is None:
-                missing.append(piece)
+        for word in words - self.known.keys():
+            ids = self.old_known.get(word)
+            if ids is None:
+                missing.append(word)
             else:
-                self.new[piece] = known
-        self.new.update(self.resolve(missing))
-        out = []
-        for pieces in split:
-            found = list(map(self.new.__getitem__, pieces))
-            out.append((" ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])))
-        if len(self.new) > CACHED:
-            self.old, self.new = self.new, {}
+                self.known[word] = ids
+        shown = [ended(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.shown)) for w in missing]
+        self.known.update(zip(missing, self.encode_words(shown), strict=True))
+
+    def decode(self, ids: list[int]) -> str:
+        """The file names no decoder: tokens as they are, a space between them. Unknown ids are left out."""
+        return " ".join([self.text[i] for i in ids if 0 <= i < self.size])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every whole text."""
+        cut = [self.cut(t) for t in texts]
+        met = set().union(*cut)
+        special = {p for p in met if not isinstance(p, str)}
+        self.learn(met - special)
+        found = self.known if not special else self.known | {i: self.packed([i]) for i in special}
+        out = [np.frombuffer(b"".join(map(found.__getitem__, words)), self.kind) for words in cut]
+        if len(self.known) > WORDS:
+            self.old_known, self.known = self.known, {}
         return out
 
 
@@ -233,6 +310,7 @@ def coded(spark: SparkSession, text: Column, definition: str, ids: bool = False)
         if store.get("definition") != hash(shared.value):
             store["bpe"], store["definition"] = WordBpe(shared.value), hash(shared.value)
         bpe: WordBpe = store["bpe"]
+        number = bpe.number
         digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
         for batch in batches:
             texts = batch.to_pylist()
@@ -243,12 +321,13 @@ def coded(spark: SparkSession, text: Column, definition: str, ids: bool = False)
                 while upto < len(texts) and (upto == at or held + len(texts[upto]) <= CHARS):
                     held += len(texts[upto])
                     upto += 1
-                for numbers, decoded, n in bpe.encode(texts[at:upto]):
-                    counts.append(n)
-                    first.append(digest(numbers))
-                    second.append(digest(decoded))
+                for found in bpe.encode(texts[at:upto]):
+                    listed = found.tolist()
+                    counts.append(len(listed))
+                    first.append(digest(" ".join([number[i] for i in listed])))
+                    second.append(digest(bpe.decode(listed)))
                     if ids:
-                        lists.append(np.array(numbers.split(), dtype=np.int32))
+                        lists.append(found.astype(np.int32))
                 at = upto
             columns = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -23,8 +24,8 @@ def brute(text):
 
 
 def own(text):
-    ids, decoded, n = BPE.encode([text])[0]
-    return n, ids, decoded
+    ids = BPE.encode([text])[0].tolist()
+    return len(ids), " ".join(map(str, ids)), BPE.decode(ids)
 
 
 @given(st.text(st.sampled_from(list("abcdeths'SÉéß \n\t́\x1c\x85​1.,<|>")) | st.characters(exclude_categories=["Cs", "Cn", "Co"]), max_size=60))
@@ -56,6 +57,31 @@ def test_syllables_and_failing_words():
     assert 0 < merged < tried  # both ways were taken
 
 
+def test_one_long_word_in_seconds():
+    rng = random.Random(4)
+    for text in ("".join(rng.choices("etaoinshrdlu", k=1_000_000)), "ab" * 100_000, "z" * 200_000):
+        start = time.process_time()
+        got = own(text)
+        assert time.process_time() - start < 60
+        assert got == brute(text)
+
+
+def test_side_by_side_merging_is_merging():
+    rng = random.Random(5)
+    words = [word_bpe.ended("".join(rng.choices("aeinorsthdlé日", k=rng.randrange(1, 40)))) for _ in range(3000)] + [word_bpe.ended("x")] * 3
+    assert [np.frombuffer(b, "<u2").tolist() for b in BPE.exact_many(words)] == [BPE.exact(w) for w in words]
+    assert BPE.exact_many([]) == [] and BPE.encode_words([]) == []
+
+
+def test_generations_of_the_caches(monkeypatch):
+    monkeypatch.setattr(word_bpe, "WORDS", 3)
+    bpe, rng = word_bpe.WordBpe(DEFINITION), random.Random(6)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("ab.", k=2)) for _ in range(6))
+        assert bpe.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(bpe.known) <= 12
+
+
 def test_compatible_against_merging():
     rng = np.random.default_rng(2)
     tokens = [i for i in rng.integers(0, BPE.size, 4000).tolist() if i in BPE.inner and ord(BPE.inner[i][-1]) < word_bpe.END and BPE.inner[i] in BPE.proposed]
