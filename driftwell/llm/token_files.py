@@ -22,12 +22,12 @@ doc_id are ordered by a hash of their text; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import join_small, pick, worker_store
+from driftwell.llm.pieces import cut_at_blanks, laid_out
 from driftwell.session import scratch_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
 SAMPLED = 256
-CACHED = 300_000  # text pieces of a generation of the cache
+CHARS = 1 << 23  # characters of text that are encoded together
+PIECES_KEPT = 400_000  # pieces of text of a generation of the cache
+WORDS_KEPT = 300_000  # words of a generation of the cache
 SCHEMA = ("shard long, block long, start long, n_ids long, doc_ids array<long>, width int, ids binary, low_bits int, "
           "low binary, high binary, samples binary")
 
@@ -95,9 +98,11 @@ class EliasFano:
 
 
 # A blank before anything but white space always begins a token, so the pieces between such blanks are encoded alone.
-PIECES = re.compile(r" (?=\S)")
+# Texts with other blanks go through the library as they are.
+OTHER_BLANKS = re.compile(r" (?!\S)")
 # In a piece of letters, ASCII marks and single line ends these runs are the words that the tokenizer cuts first.
 RUNS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n")
+BLANK = "\u0120"  # stands for the byte of a blank
 
 
 def byte_characters() -> dict[int, str]:
@@ -110,8 +115,8 @@ def byte_characters() -> dict[int, str]:
 class Encoder:
     """The tokenizers library over whole texts, with a bounded memory of the pieces and words it has met.
 
-    A plain piece is cut into words here, and the library's model encodes each new word; any other piece goes through
-    the whole library.
+    A plain piece is cut into words here, and the library's model encodes each new word; any other piece, and a text
+    whose blanks are not all between pieces, goes through the whole library.
     """
 
     def __init__(self, definition: str):
@@ -120,72 +125,99 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.width = array(self.code).itemsize
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.width = self.kind.itemsize
         self.shown = byte_characters()
-        self.special = "<|"  # no piece that may hold a special token is plain
-        # Pieces after a blank and words; each has a present and a former generation.
+        # Only with the byte-level cut, and nothing before it, are pieces between blanks independent.
+        spec = json.loads(definition)
+        cut = spec.get("pre_tokenizer") or {}
+        self.by_pieces = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(added)) if added else None  # no text with one of them is cut here
+        # Packed ids of the pieces after a blank and of words; each has a present and a former generation.
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._packed([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def _packed(self, ids: list[int]) -> bytes:
-        found = array(self.code, ids)
-        if sys.byteorder == "big":
-            found.byteswap()
-        return found.tobytes()
+    def _packed(self, lists: list[list[int]]) -> list[bytes]:
+        """Each list as bytes, cut from one array of all."""
+        ends = np.cumsum([0, *map(len, lists)]) * self.width
+        flat = np.fromiter(chain.from_iterable(lists), self.kind).tobytes()
+        cuts = ends.tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
+    def _learn(self, words: set[str]) -> None:
+        """Make the packed ids of words known."""
+        missing = []
+        for word in words - self.words.keys():
             ids = self.old_words.get(word)
             if ids is None:
-                shown = word.encode().decode("latin-1").translate(self.shown)
-                ids = self._packed([t.id for t in self.model.tokenize(shown)])
-            self.words[word] = ids
-        return ids
+                missing.append(word)
+            else:
+                self.words[word] = ids
+        tokenize, shown = self.model.tokenize, self.shown
+        lists = [[t.id for t in tokenize(w.replace(" ", BLANK) if w.isascii() and w != "\n" else w.encode().decode("latin-1").translate(shown))] for w in missing]
+        self.words.update(zip(missing, self._packed(lists), strict=True))
 
     def _resolve(self, missing: list[str]) -> None:
-        hard = []
+        hard, parts = [], {}
         for piece in missing:
             if piece.isalpha():
-                self.pieces[piece] = self._word(" " + piece)
+                parts[piece] = (" " + piece,)
                 continue
             runs = RUNS.findall(piece)
             # Some numbers pass for letters in the pattern; they, and whatever it leaves out, need the library.
-            if sum(map(len, runs)) != len(piece) or "\n\n" in piece or self.special in piece or not all(
-                    r.isalpha() or r.isascii() for r in runs):
+            if not runs or runs[0] == "\n" or sum(map(len, runs)) != len(piece) or "\n\n" in piece or not (
+                    piece.isascii() or all(r.isalpha() or r.isascii() for r in runs)):
                 hard.append(piece)
                 continue
-            if runs[0] != "\n":
-                runs[0] = " " + runs[0]
-                self.pieces[piece] = b"".join(map(self._word, runs))
-            else:
-                hard.append(piece)
+            runs[0] = " " + runs[0]
+            parts[piece] = runs
+        self._learn(set(chain.from_iterable(parts.values())))
+        word = self.words.__getitem__
+        self.pieces.update({piece: word(runs[0]) if len(runs) == 1 else b"".join(map(word, runs)) for piece, runs in parts.items()})
         self.pieces.update(zip(hard, self._whole([" " + p for p in hard]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text, packed."""
-        split = [PIECES.split(t) for t in texts]
-        heads = self._whole([s[0] for s in split])
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        whole = [i for i, t in enumerate(texts) if not self.by_pieces or OTHER_BLANKS.search(t) or (self.added is not None and self.added.search(t))]
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            out[i] = np.frombuffer(ids, self.kind)
+        apart = set(whole)
+        rest = [i for i in range(len(texts)) if i not in apart]
+        if rest:
+            cut = cut_at_blanks([texts[i] for i in rest])
+            # No blank stands before a text's first piece, so it is a piece of its own.
+            firsts = np.r_[0, cut.ends[:-1]]
+            heads = [cut.distinct[k] for k in cut.which[firsts].tolist()]
+            cut.which[firsts] = len(cut.distinct) + np.arange(len(rest))
+            for i, ids in zip(rest, laid_out(cut, self._known(cut.distinct) + self._whole(heads), self.kind), strict=True):
+                out[i] = ids
+        return out
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pieces that stand after a blank."""
+        found = list(map(self.pieces.get, pieces))
         missing = []
-        for piece in set().union(*(s[1:] for s in split)) - self.pieces.keys():
-            known = self.old_pieces.get(piece)
-            if known is None:
-                missing.append(piece)
-            else:
-                self.pieces[piece] = known
-        self._resolve(missing)
-        out = [head + b"".join(map(self.pieces.__getitem__, s[1:])) for head, s in zip(heads, split, strict=True)]
-        if len(self.pieces) > CACHED:
+        for k, (piece, ids) in enumerate(zip(pieces, found, strict=True)):
+            if ids is None:
+                if (ids := self.old_pieces.get(piece)) is None:
+                    missing.append(piece)
+                else:
+                    self.pieces[piece] = found[k] = ids
+        if missing:
+            self._resolve(missing)
+            found = [self.pieces[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        if len(self.pieces) > PIECES_KEPT:
             self.old_pieces, self.pieces = self.pieces, {}
-        if len(self.words) > CACHED:
+        if len(self.words) > WORDS_KEPT:
             self.old_words, self.words = self.words, {}
-        return out
+        return found
 
 
 def write_task(shared, end_id: int):
@@ -196,16 +228,16 @@ def write_task(shared, end_id: int):
         if store.get("definition") != hash(shared.value):
             store["encoder"], store["definition"] = Encoder(shared.value), hash(shared.value)
         encoder: Encoder = store["encoder"]
-        end = np.array([end_id], f"<u{encoder.width}").tobytes()
+        end = np.array([end_id], encoder.kind)
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def settle() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) // encoder.width for p in parts])
+            ends = np.cumsum([len(p) + 1 for p in parts])
             coded = EliasFano.of(ends)
-            row = {"shard": shard, "block": block, "start": start, "n_ids": int(ends[-1]), "doc_ids": docs, "width": encoder.width, "ids": b"".join(parts),
+            row = {"shard": shard, "block": block, "start": start, "n_ids": int(ends[-1]), "doc_ids": docs, "width": encoder.width, "ids": np.concatenate([x for p in parts for x in (p, end)]).tobytes(),
                    "low_bits": coded.low_bits, "low": coded.low, "high": coded.high, "samples": coded.samples}
             return pa.RecordBatch.from_pylist([row], schema=BLOCK)
 
@@ -215,13 +247,13 @@ def write_task(shared, end_id: int):
             while at < len(texts):
                 # A few documents at a time: what is held does not grow with the batch.
                 upto, held = at, 0
-                while upto < len(texts) and (upto == at or held + len(texts[upto]) <= 1 << 22):
+                while upto < len(texts) and (upto == at or held + len(texts[upto]) <= CHARS):
                     held += len(texts[upto])
                     upto += 1
-                for doc, packed in zip(ids[at:upto], encoder.encode(texts[at:upto]), strict=True):
+                for doc, found in zip(ids[at:upto], encoder.encode(texts[at:upto]), strict=True):
                     docs.append(doc)
-                    parts.append(packed + end)
-                    size += len(parts[-1]) // encoder.width
+                    parts.append(found)
+                    size += len(found) + 1
                     if size >= BLOCK_IDS:
                         yield settle()
                         block, start, docs, parts, size = block + 1, start + size, [], [], 0

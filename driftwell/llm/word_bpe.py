@@ -24,6 +24,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import pick, worker_store
+from driftwell.llm.pieces import Cut, cut_at_blanks, laid_out
 
 WORDS = 250_000  # words of a generation of the cache
 SHORT = 64  # characters of words that are merged side by side
-CHARS = 1 << 20  # characters of text whose pieces are resolved together
+CHARS = 1 << 22  # characters of text that are encoded together
 NEVER = int(np.iinfo(np.int64).max)
 END = 0x1000  # added to a word's last character: the form that carries the end-of-word mark
 
@@ -61,6 +63,7 @@ class WordBpe:
         model = spec["model"]
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.blank_special = any(" " in t for t in self.special)
         self.specials = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         steps = [s["type"] for s in spec["normalizer"].get("normalizers", [spec["normalizer"]])]
         if steps != ["NFC", "Replace", "Lowercase"]:
@@ -258,6 +261,8 @@ class WordBpe:
 
     def cut(self, text: str) -> list[str | int]:
         """The words of a raw text, in their normal form, and the ids of special tokens."""
+        if text.isalpha() and text.isascii():
+            return [text.lower()]
         if self.specials is None or self.specials.search(text) is None:
             return self.words.findall(self.normal(text))
         out: list[str | int] = []
@@ -287,13 +292,21 @@ class WordBpe:
         return " ".join([self.text[i] for i in ids if 0 <= i < self.size])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of every whole text."""
-        cut = [self.cut(t) for t in texts]
-        met = set().union(*cut)
+        """The ids of every whole text. White space ends every word, so the pieces between blanks are cut into words
+        on their own, each distinct one once."""
+        if not texts:
+            return []
+        if self.blank_special:
+            cut = Cut(texts, np.arange(len(texts)), np.arange(1, len(texts) + 1))
+        else:
+            cut = cut_at_blanks(texts)
+        words = list(map(self.cut, cut.distinct))
+        met = set(chain.from_iterable(words))
         special = {p for p in met if not isinstance(p, str)}
         self.learn(met - special)
         found = self.known if not special else self.known | {i: self.packed([i]) for i in special}
-        out = [np.frombuffer(b"".join(map(found.__getitem__, words)), self.kind) for words in cut]
+        ids = found.__getitem__
+        out = laid_out(cut, [ids(ws[0]) if len(ws) == 1 else b"".join(map(ids, ws)) for ws in words], self.kind)
         if len(self.known) > WORDS:
             self.old_known, self.known = self.known, {}
         return out
