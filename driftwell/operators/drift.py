@@ -16,6 +16,7 @@ from driftwell.functions.exact_ks import exact_ks_p_udf
 from driftwell.functions.math import chi2_sf, ks_asymptotic_p
 from driftwell.operators.smallside import join_small
 from driftwell.operators.ordered import ecdf, ecdf_percentiles, top_per_key
+from driftwell.operators.relabel import relabelled_p
 
 KEYS = ["model_id", "feature_name"]
 REPORT = ["feature_name", "drift_detected", "p_value", "statistic", "threshold", "method",
@@ -139,10 +140,11 @@ def ks(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0.05,
 
 
 def wasserstein(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0.05,
-                chunks: int | None = None) -> DataFrame:
+                chunks: int | None = None, relabelings: int = 0) -> DataFrame:
     """Area between the two empirical distributions, judged against half the reference spread.
 
-    `threshold` is accepted for a uniform signature; the decision uses the spread.
+    `threshold` is accepted for a uniform signature; the decision uses the spread. The p-value is null unless a number
+    of `relabelings` of all rows is asked for (see `relabel`); it never enters the decision.
     """
     frame = two_sample_ecdf(samples, keys, chunks).filter(_both_sides())
     stats = frame.groupBy(*keys).agg(
@@ -162,6 +164,9 @@ def wasserstein(samples: DataFrame, keys: list[str] = KEYS, threshold: float = 0
             "p_value": F.lit(None).cast("double"),
         }
     )
+    if relabelings:
+        drawn = relabelled_p(samples, keys, relabelings, chunks=chunks)
+        done = join_small(done.drop("p_value"), drawn, keys)
     return _report(done, keys, "wasserstein")
 
 

@@ -26,6 +26,8 @@ SMALL_BYTES = 64 << 20
 CHUNK_BYTES = 32 << 20
 MAX_CHUNKS = 100_000
 MAX_SALTS = 256
+SKETCH = 10_000  # a sketch's ranks are right to a ten-thousandth of the rows
+SORTED = 1 << 20  # distinct values of one key that one task may sort
 _UNKNOWN_BYTES = 1 << 60
 
 
@@ -187,23 +189,111 @@ def _number(value) -> Column:
     return F.when(~F.isnan(column.cast("double")), column)
 
 
+def _between(values: Column, low: Column, high: Column) -> Column:
+    return (values >= low) & (values <= high)
+
+
+def _bracketed(rows: DataFrame, probs: list[float], sketch: int, most: int) -> DataFrame:
+    """(_k, _p, _low, _high): for every key and probability the two values around its rank.
+
+    rows: _k, _v (a double that is not null). A sketch gives bounds around every rank; one pass counts what lies below
+    them and what lies between. The counts are exact, so they prove whether the ranks are there; bounds that missed
+    (a sketch only promises) are widened to all values. What lies between, a few ten-thousandths of the rows and one
+    per distinct value, is cut into ever fewer by its own quantiles until a key's share fits one task.
+    """
+    slack = 2.0 / sketch
+    at = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    held = rows.groupBy("_k").agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", at, sketch).alias("_q")).checkpoint()
+
+    def ranks(p: float) -> tuple[Column, Column]:
+        position = F.lit(float(p)) * (F.col("_n") - 1)
+        return F.floor(position), F.ceil(position)
+
+    bounds = F.array(*[
+        F.struct(F.lit(j).alias("_p"), *(r.alias(f"_{side}_rank") for r, side in zip(ranks(p), ("low", "high"))),
+                 (F.when(F.lit(p <= slack), F.col("_min")).otherwise(F.get("_q", F.lit(2 * j)))).alias("_from"),
+                 (F.when(F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.get("_q", F.lit(2 * j + 1)))).alias("_to"))
+        for j, p in enumerate(probs)])
+    brackets = held.select("_k", "_min", "_max", bounds.alias("_b"))
+
+    def counted(brackets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What lies between the bounds, one row per distinct value; bounds with the rows below and between."""
+        met = join_small(rows, brackets.select("_k", "_b"), ["_k"], "inner")
+        inner = met.select("_k", "_v", F.explode(F.filter("_b", lambda b: _between(F.col("_v"), b["_from"], b["_to"]))).alias("b"))
+        part = inner.groupBy("_k", F.col("b._p").alias("_p"), "_v").agg(F.count("*").alias("_n")).checkpoint()
+        below = met.groupBy(F.col("_k").alias("_k3")).agg(*[F.count_if(F.col("_v") < F.get("_b", F.lit(j))["_from"]).alias(f"_below{j}") for j in range(len(probs))])
+        flat = brackets.select("_k", "_min", "_max", F.inline("_b")).join(below, F.col("_k").eqNullSafe(F.col("_k3")))
+        flat = flat.withColumn("_below", F.element_at(F.array(*[F.col(f"_below{j}") for j in range(len(probs))]), F.col("_p") + 1))
+        sizes = part.groupBy(F.col("_k").alias("_k2"), F.col("_p").alias("_p2")).agg(F.sum("_n").alias("_inside"), F.count("*").alias("_distinct"))
+        done = flat.join(sizes, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_p") == F.col("_p2")), "left")
+        return part, done.select("_k", "_p", "_min", "_max", "_low_rank", "_high_rank", "_from", "_to", "_below",
+                                 F.coalesce("_inside", F.lit(0)).alias("_inside"), F.coalesce("_distinct", F.lit(0)).alias("_distinct")).checkpoint()
+
+    part, found = counted(brackets)
+    if not found.filter("_low_rank < _below OR _high_rank >= _below + _inside").isEmpty():
+        whole = F.transform("_b", lambda b: b.withField("_from", F.col("_min")).withField("_to", F.col("_max")))
+        part, found = counted(brackets.withColumn("_b", whole))
+    places = found.select("_k", "_p", "_low_rank", "_high_rank", "_below")
+    largest = found.agg(F.coalesce(F.max("_distinct"), F.lit(0))).first()[0]
+    while largest > most:
+        part, places, largest = _cut_down(part, places)
+    running = F.sum("_n").over(Window.partitionBy("_k", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    line = join_small(part.withColumn("_to", running), places, ["_k", "_p"], "inner").withColumn("_to", F.col("_to") + F.col("_below"))
+    holds = [(F.col("_to") > F.col(r)) & (F.col("_to") - F.col("_n") <= F.col(r)) for r in ("_low_rank", "_high_rank")]
+    return line.groupBy("_k", "_p").agg(*[F.max(F.when(hit, F.col("_v"))).alias(name) for hit, name in zip(holds, ("_low", "_high"))])
+
+
+CUTS = 256
+
+
+def _cut_down(part: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Keep, per key and probability, the pieces between the quantiles of its distinct values that hold its ranks."""
+    edges = part.groupBy("_k", "_p").agg(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 100 * CUTS).alias("_e"))
+    placed = join_small(part, edges, ["_k", "_p"], "inner").withColumn("_piece", F.size(F.filter("_e", lambda e: e <= F.col("_v")))).drop("_e").checkpoint()
+    pieces = placed.groupBy("_k", "_p", "_piece").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_distinct"))
+    line = Window.partitionBy("_k", "_p").orderBy("_piece")
+    ends = join_small(pieces.withColumn("_end", F.sum("_rows").over(line.rowsBetween(Window.unboundedPreceding, 0))), places, ["_k", "_p"], "inner")
+    ends = ends.withColumn("_end", F.col("_end") + F.col("_below"))
+    # The piece of the low rank, that of the high rank, and the empty stretch between them.
+    wanted = ends.filter((F.col("_end") > F.col("_low_rank")) & (F.col("_end") - F.col("_rows") <= F.col("_high_rank"))).checkpoint()
+    kept = join_small(placed, wanted.select("_k", "_p", "_piece", F.lit(True).alias("_wanted")), ["_k", "_p", "_piece"], "inner").drop("_wanted", "_piece").checkpoint()
+    nearer = wanted.groupBy("_k", "_p").agg(F.first("_low_rank").alias("_low_rank"), F.first("_high_rank").alias("_high_rank"),
+                                            F.min(F.col("_end") - F.col("_rows")).alias("_below")).checkpoint()
+    return kept, nearer, wanted.groupBy("_k", "_p").agg(F.sum("_distinct").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
 def percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], chunks: int | None = None
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], chunks: int | None = None,
+    sketch: int = SKETCH, most: int = SORTED,
 ) -> DataFrame:
     """Exact percentiles per key: one row per key, one column per `{name: probability}`.
 
-    Small inputs use the built-in exact aggregate. It holds a count per distinct
-    value of a group, so larger ones select by rank from the chunked ecdf. Either way
-    null and NaN values are left out, and a key without others has a row of nulls.
+    Small inputs use the built-in exact aggregate. It holds a count per distinct value of a group, so larger ones are
+    selected between the bounds of a sketch: the column is read a few times, and only what lies around the ranks is
+    written or sorted. Either way null and NaN values are left out, and a key without others has a row of nulls.
     """
     n = chunks or planned_chunks(df)
     if n == 1:
         return df.groupBy(*keys).agg(*[F.percentile(_number(value), F.lit(p)).alias(name) for name, p in probs.items()])
-    frame = ecdf(df.select(*keys, value, F.lit(1).cast("bigint").alias("_n")), keys, value, ["_n"], n)
-    found = ecdf_percentiles(frame, keys, value, "_n", probs)
+    ensure_checkpoints(df.sparkSession)
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.select(key.alias("_k"), _number(value).cast("double").alias("_v")).filter("_v is not null")
+    around = _bracketed(rows, list(probs.values()), sketch, most)
+    sizes = rows.groupBy(F.col("_k").alias("_k2")).agg(F.count("*").alias("_size"))
+    found = around.join(sizes, F.col("_k") == F.col("_k2"))
+
+    def value_at(p: float) -> Column:
+        position = F.lit(float(p)) * (F.col("_size") - 1)
+        low, high = F.floor(position), F.ceil(position)
+        return F.when(low == high, F.col("_low")).otherwise((high - position) * F.col("_low") + (position - low) * F.col("_high"))
+
+    picks = found.groupBy("_k").agg(*[F.max(F.when(F.col("_p") == j, value_at(p))).alias(name) for j, (name, p) in enumerate(probs.items())])
     if not keys:
-        return found
-    return join_small(df.select(*keys).distinct(), found, keys)
+        # One row even for an empty column, as an aggregate has.
+        return picks.agg(*[F.max(name).alias(name) for name in probs])
+    return join_small(df.select(*keys).distinct(), picks.select("_k.*", *probs), keys)
 
 
 def column_percentiles(

@@ -131,6 +131,14 @@ def alert_message() -> Column:
     )
 
 
+def alert_columns() -> list[Column | str]:
+    """An alert row, of a breach and its rule."""
+    return [
+        "rule_name", "severity", F.lit("firing").alias("status"), F.col("value").alias("metric_value"),
+        "threshold", alert_message().alias("message"), "model_id", "at", "id",
+    ]
+
+
 def evaluate_alerts(metrics: DataFrame, rules: list[tuple], per_model: bool = False,
                     chunks: int | None = None, last_fired: DataFrame | None = None) -> DataFrame:
     """Alerts that fire. A rule stays silent for its cooldown, counted over all models
@@ -141,10 +149,7 @@ def evaluate_alerts(metrics: DataFrame, rules: list[tuple], per_model: bool = Fa
     fired = spaced(
         hits, keys, "at", ["model_id", "id"], F.col("cooldown_seconds"), "fires", chunks=chunks, entries=last_fired
     ).filter("fires")
-    return fired.select(
-        "rule_name", "severity", F.lit("firing").alias("status"), F.col("value").alias("metric_value"),
-        "threshold", alert_message().alias("message"), "model_id", "at", "id",
-    )
+    return fired.select(*alert_columns())
 
 
 def rollback_decision(health: DataFrame, keys: list[str], max_error_rate: float = config.ROLLBACK_ERROR_RATE,

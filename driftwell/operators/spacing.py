@@ -3,8 +3,12 @@
 Alert cooldowns and prediction-cache expiry share this rule. Whether an event is
 kept depends on the event kept before it, so it cannot be written as a window. The
 scan here needs one number of state per key. Events are cut into chunks (see
-`ordered`); every chunk is summarised as "entered with last = x, left with last =
-y", the summaries are chained per key, and all chunks then replay in parallel.
+`ordered`); every chunk is summarised as runs: "entered so that the first kept event
+is at most `bound`, left with last = `exit`". Every run knows the run of a later chunk
+that follows it, so runs are a forest, and what a key visits is the path from its first
+run. Pointers are doubled until that path is found: as many joins as the path's length
+has bits, each over equal shares of all runs, however many a single key holds. All
+chunks then replay in parallel.
 """
 
 from __future__ import annotations
@@ -14,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from driftwell.operators.ordered import CHUNK, chunked, planned_chunks
+from driftwell.operators.ordered import CHUNK, carry_last, chunked, planned_chunks
 
 KEY = "_key"
 AT = "_at"
@@ -50,14 +54,6 @@ def exit_table(at: np.ndarray, gap: int, strict: bool, start: int = NEVER) -> tu
     return bounds[ends].tolist(), exits[ends].tolist()
 
 
-def follow(entry: int, bounds: np.ndarray, exits: np.ndarray, gap: int, strict: bool) -> int:
-    """Last kept event after a chunk that was entered with `entry`."""
-    if entry == NEVER:
-        return int(exits[0])
-    at = int(np.searchsorted(bounds, entry + gap, side="right" if strict else "left"))
-    return int(exits[at]) if at < len(exits) else entry
-
-
 def keep_spaced(at: np.ndarray, gap: int, strict: bool, last: int) -> tuple[list[int], int]:
     """Positions kept of sorted times, jumping from one kept event to the next."""
     side = "right" if strict else "left"
@@ -130,7 +126,7 @@ def spaced(
         ready = base.withColumns({CHUNK: F.lit(0), "_entry": F.col("_start")}).repartition(KEY)
     else:
         part = chunked(base, [KEY], [AT, *tie], n)
-        state = _entries(part, strict)
+        state = _entries(part, strict, n)
         joined = part.join(state, [KEY, CHUNK], "left").repartition(F.col(KEY), F.col(CHUNK))
         ready = joined.withColumn("_entry", F.coalesce("_entry", "_start"))
     flagged = ready.sortWithinPartitions(KEY, CHUNK, AT, *tie)
@@ -140,34 +136,75 @@ def spaced(
     )
 
 
-def _entries(part: DataFrame, strict: bool) -> DataFrame:
-    """Last kept event before each (key, chunk)."""
+def _runs(wide: DataFrame, strict: bool) -> DataFrame:
+    """(key, chunk, gap, bound, exit): the summary of every chunk, one row per run."""
 
     def summarise(rows: pa.Table) -> pa.Table:
         gap, start = rows[GAP][0].as_py(), rows["_start"][0].as_py()
         bounds, exits = exit_table(np.sort(rows[AT].to_numpy()), gap, strict, start)
+        n = len(bounds)
         return pa.table(
             {
-                KEY: [rows[KEY][0].as_py()], CHUNK: pa.array([rows[CHUNK][0].as_py()], pa.int32()),
-                "_start": [start], GAP: [gap],
-                "bounds": pa.array([bounds], pa.list_(pa.int64())), "exits": pa.array([exits], pa.list_(pa.int64())),
+                KEY: pa.array([rows[KEY][0].as_py()] * n, pa.string()), CHUNK: pa.array([rows[CHUNK][0].as_py()] * n, pa.int32()),
+                GAP: pa.array([gap] * n, pa.int64()), "bound": pa.array(bounds, pa.int64()), "exit": pa.array(exits, pa.int64()),
             }
         )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK)
-        gap = int(pdf[GAP].iloc[0])
-        entries, last = [], int(pdf["_start"].iloc[0])
-        for bounds, exits in zip(pdf["bounds"], pdf["exits"]):
-            entries.append(last)
-            last = follow(last, np.asarray(bounds), np.asarray(exits), gap, strict)
-        return pd.DataFrame({KEY: pdf[KEY], CHUNK: pdf[CHUNK], "_entry": entries})
+    return wide.groupBy(KEY, CHUNK).applyInArrow(summarise, f"{KEY} string, {CHUNK} int, {GAP} bigint, bound bigint, exit bigint")
+
+
+def _followers(runs: DataFrame, starts: DataFrame, strict: bool, chunks: int) -> DataFrame:
+    """(key, chunk, bound, to_chunk, to_bound): the run after every run, and after the start (chunk -1) of every key.
 
+    It is the first run whose bound lies a gap after the exit. Runs and the times they ask for are put in one line,
+    latest first, and the last run passed is carried along it.
+    """
+    here = F.struct(F.col(CHUNK).alias("c"), F.col("bound").alias("b"))
+    place = F.col(CHUNK).alias("_place")
+    asked = runs.select(KEY, place, "bound", (F.col("exit") + F.col(GAP)).alias("_t"))
+    first = starts.select(
+        KEY, F.lit(-1).alias("_place"), F.lit(0).cast("bigint").alias("bound"),
+        F.when(F.col("_start") == NEVER, F.lit(1 - (1 << 63))).otherwise(F.col("_start") + F.col(GAP)).alias("_t"),
+    )
+    asks = asked.unionByName(first).withColumns({"_asks": F.lit(0 if strict else 1), "_run": F.lit(None).cast("struct<c:int,b:bigint>")})
+    passed = runs.select(KEY, place, "bound", F.col("bound").alias("_t"), F.lit(1 if strict else 0).alias("_asks"), here.alias("_run"))
+    line = asks.unionByName(passed).withColumns({"_back": -F.col("_t"), "_order": -F.col("_place"), "_is_run": F.col("_run").isNotNull()})
+    carried = carry_last(line, [KEY], ["_back", "_asks", "_order", "bound"], ["_run"], chunks)
+    return carried.filter("not _is_run and _run is not null").select(
+        KEY, F.col("_place").alias(CHUNK), "bound", F.col("_run.c").alias("to_chunk"), F.col("_run.b").alias("to_bound"))
+
+
+def _visited(steps: DataFrame) -> DataFrame:
+    """(key, chunk, bound) of all runs on the way from the start of a key, by doubled pointers."""
+    steps = steps.checkpoint()
+    reached = steps.filter(F.col(CHUNK) < 0).select(KEY, F.col("to_chunk").alias(CHUNK), F.col("to_bound").alias("bound")).checkpoint()
+    jumps = steps.filter(F.col(CHUNK) >= 0)
+    while True:
+        further = reached.join(jumps, [KEY, CHUNK, "bound"]).select(
+            KEY, F.col("to_chunk").alias(CHUNK), F.col("to_bound").alias("bound")).checkpoint()
+        if further.isEmpty():
+            return reached
+        reached = reached.unionByName(further).distinct().checkpoint()
+        ends = jumps.select(KEY, F.col(CHUNK).alias("to_chunk"), F.col("bound").alias("to_bound"),
+                            F.col("to_chunk").alias("_chunk_after"), F.col("to_bound").alias("_bound_after"))
+        jumps = jumps.join(ends, [KEY, "to_chunk", "to_bound"]).select(
+            KEY, CHUNK, "bound", F.col("_chunk_after").alias("to_chunk"), F.col("_bound_after").alias("to_bound")).checkpoint()
+
+
+def _entries(part: DataFrame, strict: bool, chunks: int) -> DataFrame:
+    """Last kept event before each (key, chunk)."""
     # A key that lives in one chunk needs no entry state; the rest are few: a
     # chunk holds at most one key that began before it and one that ends after it.
+    # Without a gap every event is kept, whatever came before.
     spans = part.groupBy(KEY).agg(F.countDistinct(CHUNK).alias("_spans")).filter("_spans > 1")
-    wide = part.select(KEY, CHUNK, AT, GAP, "_start").join(spans, KEY, "left_semi")
-    summaries = wide.groupBy(KEY, CHUNK).applyInArrow(
-        summarise, f"{KEY} string, {CHUNK} int, _start bigint, {GAP} bigint, bounds array<bigint>, exits array<bigint>"
-    )
-    return summaries.groupBy(KEY).applyInPandas(chain, f"{KEY} string, {CHUNK} int, _entry bigint")
+    spaced_apart = F.col(GAP) >= 0 if strict else F.col(GAP) > 0
+    wide = part.select(KEY, CHUNK, AT, GAP, "_start").filter(spaced_apart).join(spans, KEY, "left_semi").checkpoint()
+    places = wide.select(KEY, CHUNK, GAP, "_start").distinct().checkpoint()
+    runs = _runs(wide, strict).checkpoint()
+    starts = places.groupBy(KEY).agg(F.first(GAP).alias(GAP), F.first("_start").alias("_start"))
+    way = _visited(_followers(runs, starts, strict, chunks))
+    exits = way.join(runs.select(KEY, CHUNK, "bound", "exit"), [KEY, CHUNK, "bound"]).select(KEY, CHUNK, "exit")
+    # One row per chunk of a key, and a chunk is many events.
+    before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.coalesce(F.last("exit", ignorenulls=True).over(before), F.col("_start"))
+    return places.join(exits, [KEY, CHUNK], "left").select(KEY, CHUNK, entry.alias("_entry"))

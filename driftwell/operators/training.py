@@ -23,12 +23,14 @@ from driftwell.operators.textfeatures import MAX_VOCABULARY, sparse_vectors, ter
 
 @dataclass
 class Trained:
-    """A fitted model, its scored test rows and its metrics (one row)."""
+    """A fitted model, its scored test rows, its metrics (one row) and the values it learned from: the reference that
+    drift checks hold later requests against (feature_name, value; a row per feature and training row)."""
 
     model: Model
     scored: DataFrame
     metrics: DataFrame
     parameters: dict = field(default_factory=dict)
+    reference: DataFrame | None = None
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -49,12 +51,31 @@ def assemble(df: DataFrame, features: list[str], label: str, key: str) -> DataFr
     return VectorAssembler(inputCols=features, outputCol="features").transform(rows)
 
 
+def reference_values(train: DataFrame, features: list[str]) -> DataFrame:
+    """(feature_name, value) of the training side."""
+    wide = train.select(*[F.col(c).cast("double").alias(c) for c in features])
+    return wide.unpivot([], features, "feature_name", "value")
+
+
+def training_reference(df: DataFrame, key: str, features: list[str], label: str, stratify: bool = True, seed: int = 42) -> DataFrame:
+    """The reference a training on these rows leaves, without training."""
+    rows = df.select(key, F.col(label).cast("double").alias("label"), *features)
+    return reference_values(_sides(rows, key, stratify, seed)[0], features)
+
+
+def training_sides(df: DataFrame, key: str, label: str, stratify: bool = True, seed: int = 42) -> DataFrame:
+    """(is_test, label, n): what a training on these rows learns from and is measured on; a regression has no label."""
+    rows = df.select(key, F.col(label).cast("double").alias("label"))
+    split = train_test_split(rows, key, "label" if stratify else None, seed=seed)
+    return split.groupBy("is_test", *(["label"] if stratify else [])).agg(F.count("*").alias("n"))
+
+
 def _sides(df: DataFrame, key: str, stratify: bool, seed: int) -> tuple[DataFrame, DataFrame]:
     split = train_test_split(df, key, "label" if stratify else None, seed=seed)
     return split.filter(~F.col("is_test")), split.filter("is_test")
 
 
-def fit_classifier(df: DataFrame, key: str, estimator: Estimator, seed: int = 42) -> Trained:
+def fit_classifier(df: DataFrame, key: str, estimator: Estimator, seed: int = 42, features: list[str] | None = None) -> Trained:
     """Stratified split, fit, and accuracy/precision/recall/F1/AUC of class 1 on the test side."""
     train, test = _sides(df, key, True, seed)
     model = estimator.fit(train)
@@ -64,14 +85,15 @@ def fit_classifier(df: DataFrame, key: str, estimator: Estimator, seed: int = 42
     report = M.classification_metrics(scored, ["one"], "label", "prediction")
     if "score" in scored.columns:
         report = report.join(M.roc_auc(scored, ["one"], "label", "score").select("one", "auc"), "one")
-    return Trained(model, scored, report.drop("one"))
+    return Trained(model, scored, report.drop("one"), reference=reference_values(train, features) if features else None)
 
 
-def fit_regressor(df: DataFrame, key: str, estimator: Estimator, seed: int = 42) -> Trained:
+def fit_regressor(df: DataFrame, key: str, estimator: Estimator, seed: int = 42, features: list[str] | None = None) -> Trained:
     train, test = _sides(df, key, False, seed)
     model = estimator.fit(train)
     scored = model.transform(test).withColumn("one", F.lit(1))
-    return Trained(model, scored, M.regression_metrics(scored, ["one"], "label", "prediction").drop("one"))
+    metrics = M.regression_metrics(scored, ["one"], "label", "prediction").drop("one")
+    return Trained(model, scored, metrics, reference=reference_values(train, features) if features else None)
 
 
 def train_credit(df: DataFrame, key: str, features: list[str], label: str, trees: int = 500,
@@ -79,14 +101,14 @@ def train_credit(df: DataFrame, key: str, features: list[str], label: str, trees
     """Boosted trees: depth 3, step 0.05, leaves of 5 or more, 80 % row samples."""
     gbt = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.05, minInstancesPerNode=5, subsamplingRate=0.8,
                         featureSubsetStrategy="sqrt", seed=seed)
-    return fit_classifier(assemble(df, features, label, key), key, gbt, seed)
+    return fit_classifier(assemble(df, features, label, key), key, gbt, seed, features)
 
 
 def train_house(df: DataFrame, key: str, features: list[str], label: str, trees: int = 200,
                 seed: int = 42) -> Trained:
     """Boosted regression trees: depth 5, step 0.1."""
     gbt = GBTRegressor(maxIter=trees, maxDepth=5, stepSize=0.1, seed=seed)
-    return fit_regressor(assemble(df, features, label, key), key, gbt, seed)
+    return fit_regressor(assemble(df, features, label, key), key, gbt, seed, features)
 
 
 def weighted_rows(df: DataFrame, label: str = "label") -> DataFrame:
@@ -102,7 +124,7 @@ def train_fraud(df: DataFrame, key: str, features: list[str], label: str, trees:
     """Boosted trees for a rare class: depth 6, step 0.1, positives weighted up."""
     rows = weighted_rows(assemble(df, features, label, key))
     gbt = GBTClassifier(maxIter=trees, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, weightCol="weight", seed=seed)
-    return fit_classifier(rows, key, gbt, seed)
+    return fit_classifier(rows, key, gbt, seed, features)
 
 
 def train_sentiment(docs: DataFrame, key: str, text: str, label: str, max_features: int = MAX_VOCABULARY,
@@ -153,7 +175,7 @@ def train_challenger(df: DataFrame, key: str, features: list[str], label: str, i
                      seed: int = 99) -> Trained:
     """Logistic regression on the same features as the champion."""
     return fit_classifier(
-        assemble(df, features, label, key), key, LogisticRegression(maxIter=iterations), seed
+        assemble(df, features, label, key), key, LogisticRegression(maxIter=iterations), seed, features
     )
 
 

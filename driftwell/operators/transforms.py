@@ -1,7 +1,8 @@
 """Feature transforms: fit once on a frame, then apply as plain column expressions.
 
-`fit` runs one small aggregate (one value per column or a bounded category list)
-and keeps the numbers on the driver; `transform` adds projections only.
+`fit` runs one small aggregate (one value per column or a short category list) and
+keeps the numbers on the driver; `transform` adds projections only. Encoders of columns
+with many categories keep a written code table instead, which `transform` joins.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftwell.operators.codes import code_table, unit_vector, with_code
 from driftwell.operators.ordered import column_percentiles
 from driftwell.operators.quality import nan_to_null, numeric_columns
 
-MAX_CATEGORIES = 10_000
+WIDE = 10_000  # categories that become a column each
+INLINE = 1_000  # categories that a plan holds as a list
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -30,12 +33,10 @@ def _replace(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: e for c, e in columns.items() if c in df.columns})
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
-    """Sorted distinct non-null values; refuses, rather than truncates, an unbounded set."""
+def categories(df: DataFrame, column: str, limit: int) -> list | None:
+    """Sorted distinct non-null values; None if there are more than `limit`."""
     rows = df.select(column).dropna().distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return sorted(r[0] for r in rows)
+    return sorted(r[0] for r in rows) if len(rows) <= limit else None
 
 
 class Transform:
@@ -158,15 +159,25 @@ class Imputer(Transform):
 class OneHotEncoder(Transform):
     """0/1 columns per category in sorted order, the first one dropped by default.
 
-    Nulls and categories not seen in `fit` are 0 everywhere; the source column goes.
+    Nulls and categories not seen in `fit` are 0 everywhere; the source column goes. A column of more than `wide`
+    categories becomes one column `<name>_onehot` instead, a 0/1 vector in sparse form (size, indices, values) over the
+    same sorted categories: there is no limit to their number.
     """
 
     columns: list[str] | None = None
     drop_first: bool = True
+    wide: int = WIDE
     seen: dict[str, list] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> "OneHotEncoder":
-        self.seen = {c: categories(df, c) for c in (self.columns or text_columns(df))}
+        self.seen, self.tables = {}, {}
+        for c in self.columns or text_columns(df):
+            values = categories(df, c, self.wide)
+            if values is None:
+                self.tables[c] = code_table(df, c)
+            else:
+                self.seen[c] = values
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -177,27 +188,50 @@ class OneHotEncoder(Transform):
             gone.append(c)
             for v in values[1:] if self.drop_first else values:
                 added[f"{c}_{v}"] = F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
-        return df.withColumns(added).drop(*gone) if added else df.drop(*gone)
+        df = df.withColumns(added).drop(*gone) if added else df.drop(*gone)
+        for c, table in self.tables.items():
+            if c not in df.columns:
+                continue
+            first = int(self.drop_first)
+            size = table.count() - first
+            coded = with_code(df, c, table, "_code")
+            df = coded.withColumn(f"{c}_onehot", unit_vector(F.col("_code") - first, size)).drop("_code", c)
+        return df
 
 
 @dataclass
 class OrdinalEncoder(Transform):
-    """Index in the sorted categories; unknown and null become -1."""
+    """Index in the sorted categories; unknown and null become -1. Any number of categories."""
 
     columns: list[str] | None = None
+    inline: int = INLINE
     seen: dict[str, list] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> "OrdinalEncoder":
-        self.seen = {c: categories(df, c) for c in (self.columns or text_columns(df))}
+        self.seen, self.tables = {}, {}
+        for c in self.columns or text_columns(df):
+            values = categories(df, c, self.inline)
+            if values is None:
+                self.tables[c] = code_table(df, c)
+            else:
+                self.seen[c] = values
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = {}
-        for c, values in self.seen.items():
-            known = F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-            place = F.array_position(known, F.col(c)) - 1
-            out[c] = F.coalesce(place, F.lit(-1)).cast("int")
-        return _replace(df, out)
+        df = _replace(df, {c: F.coalesce(_place(F.col(c), values), F.lit(-1)) for c, values in self.seen.items()})
+        columns = df.columns
+        for c, table in self.tables.items():
+            if c in columns:
+                code = F.coalesce("_code", F.lit(-1)).alias(c)
+                df = with_code(df, c, table, "_code").select(*(code if x == c else F.col(x) for x in columns))
+        return df
+
+
+def _place(value: Column, values: list) -> Column:
+    """Index among sorted values, null if not there."""
+    known = F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return (F.array_position(known, value) - 1).cast("int")
 
 
 @dataclass
@@ -228,11 +262,12 @@ class TransformChain:
         return [{"step": i, "type": type(s).__name__} for i, s in enumerate(self.steps)]
 
 
-def label_encode(df: DataFrame, label: str, out: str = "label_index") -> DataFrame:
-    """Index of each string label among the sorted distinct labels."""
-    values = categories(df, label)
-    known = F.array(*[F.lit(v) for v in values])
-    return df.withColumn(out, (F.array_position(known, F.col(label)) - 1).cast("int"))
+def label_encode(df: DataFrame, label: str, out: str = "label_index", inline: int = INLINE) -> DataFrame:
+    """Index of each string label among the sorted distinct labels, however many there are."""
+    values = categories(df, label, inline)
+    if values is None:
+        return with_code(df, label, code_table(df, label), out)
+    return df.withColumn(out, _place(F.col(label), values))
 
 
 def engineer_credit_features(df: DataFrame, duration: str, credit: str, installment: str, age: str,

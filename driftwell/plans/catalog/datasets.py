@@ -352,6 +352,21 @@ def ordinal_encode(spark, d):
     return T.OrdinalEncoder(["category"]).fit_transform(views.dirty_numbers(spark, d).select("event_id", "category"))
 
 
+@query("ordinal_encode_many", """SELECT l_orderkey, l_linenumber, l_partkey, CAST(dense_rank() OVER (ORDER BY CAST(l_orderkey AS VARCHAR)) - 1 AS INTEGER) AS code FROM lineitem""")
+def ordinal_encode_many(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").cast("string").alias("code"))
+    return T.OrdinalEncoder(["code"], inline=100).fit_transform(rows)
+
+
+@query("one_hot_sparse", """WITH c AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) AS r FROM orders), n AS (SELECT CAST(count(DISTINCT o_custkey) - 1 AS INTEGER) AS size FROM orders)
+SELECT o_orderkey, size, CASE WHEN r > 1 THEN CAST(r - 2 AS INTEGER) END AS place, CASE WHEN r > 1 THEN 1.0e0 END AS value FROM c, n""")
+def one_hot_sparse(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c"))
+    vector = T.OneHotEncoder(["c"], wide=10).fit_transform(rows)
+    return vector.select("o_orderkey", "c_onehot.size", F.try_element_at("c_onehot.indices", F.lit(1)).alias("place"),
+                         F.try_element_at("c_onehot.values", F.lit(1)).alias("value"))
+
+
 @query("feature_transform_chain", f"""WITH {DIRTY}, i AS (SELECT event_id, coalesce(income, (SELECT median(income) FROM dirty)) AS income,
 coalesce(age, (SELECT median(age) FROM dirty)) AS age, category FROM dirty), s AS (SELECT avg(income) AS m1, stddev_samp(income) AS s1, avg(age) AS m2, stddev_samp(age) AS s2 FROM i)
 SELECT event_id, round((income - m1) / s1, 6) + 0 AS income, round((age - m2) / s2, 6) + 0 AS age, {HOT} FROM i, s""")

@@ -103,6 +103,13 @@ def drift_wasserstein(spark, d):
     return D.wasserstein(samples(spark, d)).select(*COLUMNS)
 
 
+@query("drift_wasserstein_relabelled", f"""{BASE}, {wasserstein_sql('samples', 'w')} SELECT {K}, statistic > threshold AS drift_detected,
+round(statistic, 6) AS statistic, round(threshold, 6) AS threshold, true AS p_known, sample_size FROM w JOIN w_t USING ({K})""")
+def drift_wasserstein_relabelled(spark, d):
+    report = D.wasserstein(samples(spark, d), relabelings=200)
+    return report.select(*KEYS, "drift_detected", "statistic", "threshold", F.col("p_value").between(0, 1).alias("p_known"), "sample_size")
+
+
 @query("drift_chi2", f"""{BASE}, {chi2_sql('samples', 'chi2')} SELECT {K}, p < 0.05 AS drift_detected, round(p, 6) AS p_value,
 round(statistic, 6) AS statistic, 0.05e0 AS threshold, 'chi2' AS method, {advice_sql("p < 0.05", "statistic")} AS recommendation, sample_size FROM chi2""")
 def drift_chi2(spark, d):

@@ -10,7 +10,8 @@ from driftwell.operators import scoring as C
 from driftwell.operators import store as S
 from driftwell.operators import training as T
 from driftwell.plans import views
-from driftwell.plans.catalog.base import LOGS, bucket_sql, query
+from driftwell.plans.catalog.base import LOGS, bucket_sql, hash_sql, query
+from driftwell.plans.catalog.drifts import ks_sql
 from driftwell.plans.catalog.logs import registry_of_two
 from driftwell.session import scratch_path
 from driftwell.sources.tables import table
@@ -157,7 +158,7 @@ REGISTRY = """ev AS (SELECT o_orderkey AS seq, o_orderdate AS moment, 'model-' |
 st AS (SELECT *, CASE WHEN action = 'rollback' THEN 'archived' ELSE stage0 END AS stage, row_number() OVER (ORDER BY moment, seq) AS n FROM ev),
 -- stage events of a version before its first save touch nothing
 firsts AS (SELECT model_id, version, min(n) AS born FROM st WHERE action = 'save' GROUP BY ALL),
-own AS (SELECT s.model_id, s.version, arg_max(stage, n) AS stage, max(n) AS n, max(moment) AS moment, arg_max('s3://models/' || seq, n) FILTER (WHERE action = 'save') AS uri,
+own AS (SELECT s.model_id, s.version, arg_max(stage, n) AS stage, max(n) AS n, max(moment) AS moment, arg_max('models/' || seq, n) FILTER (WHERE action = 'save') AS uri,
  arg_max(accuracy, n) FILTER (WHERE action = 'save') AS accuracy FROM st s JOIN firsts f ON s.model_id = f.model_id AND s.version = f.version GROUP BY ALL),
 promo AS (SELECT model_id, version, n FROM st WHERE action = 'stage' AND stage = 'champion'),
 state AS (SELECT o.model_id, o.version, uri, 'onnx' AS framework, accuracy, moment AS changed_at,
@@ -413,6 +414,50 @@ def train_credit(spark, d):
     return T.train_credit(_credit(spark, d), "row_key", CREDIT, "label").metrics
 
 
+SIDES = """SELECT is_test, label, CAST(CASE WHEN is_test THEN round(n * 0.2e0) ELSE n - round(n * 0.2e0) END AS BIGINT) AS n
+FROM classes, (VALUES (true), (false)) s(is_test) WHERE CASE WHEN is_test THEN round(n * 0.2e0) ELSE n - round(n * 0.2e0) END > 0"""
+
+
+@query("train_credit_sides", f"WITH classes AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0e0 ELSE 0.0e0 END AS label, count(*) AS n FROM lineitem GROUP BY ALL) {SIDES}")
+def train_credit_sides(spark, d):
+    return T.training_sides(_credit(spark, d), "row_key", "label")
+
+
+@query("train_fraud_sides", f"WITH classes AS (SELECT CASE WHEN event_type = 'error' THEN 1.0e0 ELSE 0.0e0 END AS label, count(*) AS n FROM events GROUP BY ALL) {SIDES}")
+def train_fraud_sides(spark, d):
+    return T.training_sides(_fraud(spark, d), "event_id", "label")
+
+
+@query("train_house_sides", "SELECT is_test, CAST(CASE WHEN is_test THEN round(n * 0.2e0) ELSE n - round(n * 0.2e0) END AS BIGINT) AS n FROM (SELECT count(*) AS n FROM part), (VALUES (true), (false)) s(is_test)")
+def train_house_sides(spark, d):
+    return T.training_sides(table(spark, d, "part"), "p_partkey", "p_retailprice", False)
+
+
+def _summed(reference):
+    return reference.groupBy("feature_name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+SUMMED = "count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high"
+
+
+@query("train_fraud_reference", f"""WITH r AS (SELECT value, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) AS k, CAST(hour(ts) AS DOUBLE) AS h, CAST(dayofweek(ts) + 1 AS DOUBLE) AS w,
+ row_number() OVER (PARTITION BY event_type = 'error' ORDER BY {hash_sql("event_id", 42)}, event_id) AS place, count(*) OVER (PARTITION BY event_type = 'error') AS n FROM events),
+train AS (SELECT * FROM r WHERE place > round(n * 0.2e0)),
+long AS (SELECT 'value' AS feature_name, value FROM train UNION ALL SELECT 'k', k FROM train UNION ALL SELECT 'hour', h FROM train UNION ALL SELECT 'weekday', w FROM train)
+SELECT feature_name, {SUMMED} FROM long GROUP BY feature_name""")
+def train_fraud_reference(spark, d):
+    return _summed(T.training_reference(_fraud(spark, d), "event_id", ["value", "k", "hour", "weekday"], "label"))
+
+
+@query("train_house_reference", f"""WITH r AS (SELECT p_size, p_partkey, row_number() OVER (ORDER BY {hash_sql("p_partkey", 42)}, p_partkey) AS place, count(*) OVER () AS n FROM part),
+train AS (SELECT * FROM r WHERE place > round(n * 0.2e0)),
+long AS (SELECT 'p_size' AS feature_name, CAST(p_size AS DOUBLE) AS value FROM train UNION ALL SELECT 'key', CAST(p_partkey AS DOUBLE) FROM train)
+SELECT feature_name, {SUMMED} FROM long GROUP BY feature_name""")
+def train_house_reference(spark, d):
+    part = table(spark, d, "part").withColumn("key", F.col("p_partkey").cast("double"))
+    return _summed(T.training_reference(part, "p_partkey", ["p_size", "key"], "p_retailprice", False))
+
+
 @query("train_house")
 def train_house(spark, d):
     part = table(spark, d, "part").withColumn("key", F.col("p_partkey").cast("double"))
@@ -454,16 +499,45 @@ def hpo_cv(spark, d):
     return T.hpo_cv(rows, "event_id", LogisticRegression(), trials)
 
 
-@query("self_healing_job")
-def self_healing_job(spark, d):
+# The stored reference is moved, so that the recent logs have drifted from it.
+HEALING = f"""WITH {LOGS}, {REGISTRY},
+moved AS (SELECT model_id, feature_name, value, is_ref FROM (
+ SELECT model_id, unnest(['feature_0', 'feature_1', 'feature_2']) AS feature_name, unnest([f0 * 3, f1 * 3, f2 * 3]) AS value, true AS is_ref FROM logs WHERE model_id = 'm1' AND is_ref
+ UNION ALL SELECT model_id, unnest(['feature_0', 'feature_1', 'feature_2']), unnest([f0, f1, f2]), false FROM logs WHERE model_id = 'm1')),
+{ks_sql('moved', ['model_id', 'feature_name'], 'ks')},
+worst AS (SELECT max(statistic) AS score FROM ks WHERE p < 0.05 AND sample_size >= 5),
+fired AS (SELECT CAST(count(*) FILTER (WHERE score > threshold) AS BIGINT) AS alerts FROM worst, (VALUES (0.3e0), (0.1e0)) r(threshold)),
+fresh AS (SELECT ground_truth, count(*) AS n FROM logs WHERE model_id = 'm1' AND ground_truth IS NOT NULL GROUP BY ground_truth),
+sizes AS (SELECT CAST(sum(n) AS BIGINT) AS samples, CAST(sum(round(n * 0.2e0)) AS BIGINT) AS tested FROM fresh),
+own_state AS (SELECT * FROM state WHERE model_id = 'model-1'),
+back AS (SELECT version, uri, row_number() OVER (ORDER BY version) AS place FROM own_state WHERE stage = 'challenger'),
+last AS (SELECT max(seq) AS seq FROM ev),
+made AS (SELECT last.seq + place AS seq, 'rollback' AS action, version, CAST(NULL AS VARCHAR) AS stage, uri FROM back, last
+ UNION ALL SELECT last.seq + (SELECT count(*) FROM back) + 1, 'save', 'v1706745600', 'challenger', 'models/m1/v1706745600/model' FROM last)"""
+
+
+def _healed(spark, d):
     from driftwell.plans.catalog.drifts import stored_reference
     from driftwell.plans.checks import ModelConfig
     from driftwell.plans.healing import self_heal
 
-    # The stored reference is moved, so that the recent logs have drifted from it.
     reference = stored_reference(spark, d).withColumn("value", F.col("value") * 3)
-    healed = self_heal(reference, views.prediction_logs(spark, d), ModelConfig("m1"), 3)
-    rows = healed.trained.metrics.select(
-        "n", *[F.col(c) for c in ("accuracy", "f1_score")]
-    ).withColumns({k: F.lit(v).cast("bigint") for k, v in healed.sizes.items()})
-    return rows.withColumn("triggered", F.lit(healed.triggered))
+    registry = views.registry_events(spark, d).withColumn("model_id", F.regexp_replace("model_id", "^model-", "m"))
+    return self_heal(reference, views.prediction_logs(spark, d), ModelConfig("m1"), 3, registry=registry)
+
+
+@query("self_healing_job", f"""{HEALING} SELECT CAST(seq AS BIGINT) AS seq, action, version, stage, uri, alerts, samples AS total_samples, tested AS n, true AS triggered FROM made, fired, sizes""")
+def self_healing_job(spark, d):
+    healed = _healed(spark, d)
+    n = healed.trained.metrics.select(F.col("n").cast("bigint")).scalar()
+    events = healed.rollbacks.unionByName(healed.saved).select("seq", "action", "version", "stage", "uri")
+    return events.withColumns({
+        "alerts": healed.alerts.agg(F.count("*")).scalar(), "total_samples": F.lit(healed.sizes["total_samples"]).cast("bigint"),
+        "n": n, "triggered": F.lit(healed.triggered),
+    })
+
+
+@query("self_healing_state", f"""{HEALING} SELECT version, CASE WHEN stage = 'challenger' THEN 'archived' ELSE stage END AS stage, stage NOT IN ('archived', 'retired', 'challenger') AS is_active FROM own_state
+UNION ALL SELECT version, stage, true FROM made WHERE action = 'save'""")
+def self_healing_state(spark, d):
+    return _healed(spark, d).state.filter("model_id = 'm1'").select("version", "stage", "is_active")

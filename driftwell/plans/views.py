@@ -66,7 +66,7 @@ def registry_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(digit < 4, F.lit("challenger")).when(digit == 4, F.lit("champion"))
         .when(digit < 7, F.lit("champion")).when(digit == 7, F.lit("archived"))
         .when(digit == 8, F.lit("staging")).alias("stage"),
-        F.concat(F.lit("s3://models/"), F.col("o_orderkey").cast("string")).alias("uri"),
+        F.concat(F.lit("models/"), F.col("o_orderkey").cast("string")).alias("uri"),
         F.lit("onnx").alias("framework"),
         F.create_map(F.lit("accuracy"), F.col("o_totalprice") / 1e6).alias("metrics"),
     )

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from driftwell.operators.rules import evaluate_alerts
+from driftwell.operators.rules import alert_columns, breaches
+from driftwell.operators.spacing import NEVER, keep_spaced
 from driftwell.plans.checks import ModelConfig, drift_check
+from driftwell.schemas import ALERT_RULES
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_drift(logs: DataFrame, reference: DataFrame, configs: list[ModelConfig], path: str, checkpoint: str,
@@ -24,30 +32,58 @@ def stream_drift(logs: DataFrame, reference: DataFrame, configs: list[ModelConfi
     return writer.trigger(**trigger).start()
 
 
+def _cooldown(expire_ms: int | None):
+    """Keyed state of one rule: the time of its last alert."""
+
+    class Cooldown(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last_fired", "at_us bigint", expire_ms)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            points = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "model_id", "id"], na_position="first", kind="stable")
+            gap = int(points["gap_us"].iloc[0])
+            start = int(self.last.get()[0]) if self.last.exists() else NEVER
+            kept, last = keep_spaced(points["at_us"].to_numpy(), gap, False, start)
+            if kept:
+                self.last.update((last,))
+                yield points.iloc[kept][["rule_name", "model_id", "at_us", "id", "value"]]
+
+        def close(self) -> None:
+            pass
+
+    return Cooldown()
+
+
 def stream_alerts(metrics: DataFrame, rules: list[tuple], path: str, checkpoint: str,
-                  interval: str = "30 seconds", available_now: bool = False) -> StreamingQuery:
+                  interval: str = "30 seconds", available_now: bool = False, expire_ms: int | None = None) -> StreamingQuery:
     """Alerts of a metric stream (metric, model_id, value, at, id).
 
-    The cooldown carries over micro-batches through one row of state per rule, its latest alert, written per batch
-    next to the alerts (`<path>-state`): a batch reads the state of the batch before it and nothing older. Within a
-    batch the same chunked scan as for tables applies, so one noisy rule is not one task.
+    The cooldown is keyed state: one value per rule, the time of its last alert, kept in the stream's own state store.
+    It survives restarts with the same checkpoint and is never read or written as a whole. A rule's breaches of one
+    micro-batch meet in one task; the source's rate limit bounds them. `expire_ms` lets the state of rules that have
+    been silent that long, by the clock, go; without it a rule's state is one number for good. Texts are put together
+    after the state, from the rule table.
     """
     spark = metrics.sparkSession
-    shape = "rule_name string, last_kept timestamp"
-
-    def evaluate(batch: DataFrame, batch_id: int) -> None:
-        earlier = None
-        if batch_id > 0:
-            earlier = spark.read.schema(shape).parquet(f"{path}-state/batch_id={batch_id - 1}")
-        fired = evaluate_alerts(batch, rules, last_fired=earlier)
-        fired.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        written = spark.read.schema(fired.schema).parquet(f"{path}/batch_id={batch_id}")
-        last = written.select("rule_name", F.col("at").alias("last_kept"))
-        if earlier is not None:
-            last = last.unionByName(earlier)
-        last = last.groupBy("rule_name").agg(F.max("last_kept").alias("last_kept"))
-        last.write.mode("overwrite").parquet(f"{path}-state/batch_id={batch_id}")
-
-    writer = metrics.writeStream.option("checkpointLocation", checkpoint).foreachBatch(evaluate)
+    table = spark.createDataFrame(rules, ALERT_RULES)
+    gap = F.round(F.col("cooldown_seconds") * 1_000_000).cast("bigint")
+    hits = breaches(metrics, table).select(
+        "rule_name", "model_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), "id", F.col("value").cast("double").alias("value"), gap.alias("gap_us"))
+    id_type = hits.schema["id"].dataType.simpleString()
+    fired = hits.groupBy("rule_name").transformWithStateInPandas(
+        _cooldown(expire_ms), f"rule_name string, model_id string, at_us bigint, id {id_type}, value double",
+        outputMode="Append", timeMode="None" if expire_ms is None else "ProcessingTime")
+    alerts = fired.withColumn("at", F.timestamp_micros("at_us")).join(table, "rule_name").select(*alert_columns())
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = alerts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(store)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    # Keyed state of this kind lives in RocksDB; a query takes the setting when it starts.
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        return writer.trigger(**trigger).start()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)

@@ -99,9 +99,37 @@ def test_transforms(spark):
     assert [r[0] for r in flat] == [0.0, 0.0]
 
 
-def test_unbounded_categories_are_refused(spark):
-    with pytest.raises(ValueError, match="more than 3 categories"):
-        T.categories(spark.range(10).selectExpr("cast(id as string) s"), "s", 3)
+def test_many_categories_have_code_tables(spark):
+    values = [None, "b", "a", "ä", "B", "zz", "a", None, "0"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, c string")
+    few, many = T.OrdinalEncoder(["c"]), T.OrdinalEncoder(["c"], inline=3)
+    assert few.fit_transform(df).collect() == many.fit_transform(df).orderBy("id").collect()
+    assert many.tables and not many.seen and many.transform(df).columns == df.columns
+    other = spark.createDataFrame([(1, "new"), (2, "b")], "id int, c string")
+    assert {r.id: r.c for r in many.transform(other).collect()} == {1: -1, 2: sorted(set(filter(None, values))).index("b")}
+    assert T.label_encode(df, "c", inline=2).orderBy("id").collect() == T.label_encode(df, "c").orderBy("id").collect()
+
+
+@pytest.mark.parametrize("drop_first", [True, False])
+def test_wide_one_hot_becomes_a_sparse_vector(spark, drop_first):
+    values = [None, "b", "a", "c", "d", "a"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, c string")
+    columns = T.OneHotEncoder(["c"], drop_first).fit_transform(df).orderBy("id").collect()
+    sparse = T.OneHotEncoder(["c"], drop_first, wide=2).fit_transform(df)
+    assert sparse.columns == ["id", "c_onehot"]
+    for wide, row in zip(columns, sparse.orderBy("id").collect()):
+        dense = [0] * row.c_onehot.size
+        for place, value in zip(row.c_onehot.indices, row.c_onehot["values"]):
+            dense[place] = int(value)
+        assert dense == list(wide[1:])
+
+
+def test_a_million_categories(spark):
+    df = spark.range(1_000_000).selectExpr("id", "lpad(cast(id * 7919 % 1000000 as string), 7, '0') AS c")
+    out = T.OrdinalEncoder(["c"]).fit_transform(df)
+    assert out.filter("c != id * 7919 % 1000000").count() == 0
+    assert T.OneHotEncoder(["c"]).fit_transform(df).filter("get(c_onehot.indices, 0) = id * 7919 % 1000000 - 1").count() == 999_999
+
 
 
 @pytest.mark.parametrize("bits", [4, 12])

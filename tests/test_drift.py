@@ -156,3 +156,44 @@ def test_empty_vectors_and_nan_are_skipped(spark):
     rows = D.feature_samples(logs, F.col("ref"))
     assert rows.count() == 3
     assert [r["feature_name"] for r in D.ks(rows).collect()] == ["feature_0"]
+
+
+def brute_p(reference, current, n, seed):
+    rng = np.random.default_rng(seed)
+    both = np.concatenate([reference, current])
+    k = len(reference)
+
+    def distance(order):
+        values = np.sort(both)
+        a, b = np.sort(both[order[:k]]), np.sort(both[order[k:]])
+        gap = np.searchsorted(a, values[:-1], "right") / len(a) - np.searchsorted(b, values[:-1], "right") / len(b)
+        return float(np.abs(gap) @ np.diff(values))
+
+    seen = distance(np.arange(len(both)))
+    return float(np.mean([distance(rng.permutation(len(both))) >= seen * (1 - 1e-12) for _ in range(n)]))
+
+
+@pytest.mark.parametrize("chunks", [None, 5])
+@pytest.mark.parametrize(
+    "reference, current",
+    [
+        (normal(0, 1, 60, 1), normal(0.25, 1, 40, 2)),
+        (normal(0, 1, 300, 3), normal(0.12, 1, 300, 4)),
+        ([1, 1, 2, 3, 3, 3, 4, 5], [2, 3, 4, 4, 5, 5]),
+        ([1.0, 2.0], [3.0, 4.0, 5.0]),
+        (normal(0, 1, 50, 5), normal(5, 1, 50, 6)),
+    ],
+)
+def test_relabelled_p_is_the_permutation_p(spark, reference, current, chunks):
+    """Within four standard errors of both Monte-Carlo runs."""
+    got = D.wasserstein(frame(spark, reference, current), relabelings=1000, chunks=chunks).first()
+    want = brute_p(np.asarray(reference, float), np.asarray(current, float), 4000, 9)
+    assert abs(got["p_value"] - want) <= 4 * math.sqrt(max(want * (1 - want), 0.001) * (1 / 1000 + 1 / 4000))
+    plain = D.wasserstein(frame(spark, reference, current), chunks=chunks).first()
+    assert plain["p_value"] is None and plain["statistic"] == pytest.approx(got["statistic"]) and plain["drift_detected"] == got["drift_detected"]
+
+
+def test_relabelled_p_reruns_agree_and_skip_one_sided_keys(spark):
+    hot, gone = frame(spark, normal(0, 1, 90, 1), normal(0.3, 1, 80, 2), "hot"), frame(spark, [1, 2], [], "gone")
+    once, again = (sorted(map(tuple, D.wasserstein(hot.unionByName(gone), relabelings=50, chunks=4).collect())) for _ in range(2))
+    assert once == again and [r[0] for r in once] == ["hot"] and 0 <= once[0][3] <= 1

@@ -45,6 +45,29 @@ def test_percentiles_match_numpy(skewed, chunks):
         assert got[k] == pytest.approx(list(np.percentile(values, [0, 25, 50, 99, 100])), abs=1e-12)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 400])
+def test_bracketed_percentiles(spark, most):
+    """Heavy ties, several keys, null keys and values; with `most` small, brackets are cut down again."""
+    rng = np.random.default_rng(2)
+    data = [("even", float(v)) for v in rng.normal(size=6000)] + [("ties", float(v)) for v in rng.integers(0, 3, 5000)]
+    data += [("ties", 1e9)] * 3000 + [(None, 5.0), (None, 7.0), ("none", None), ("none", float("nan")), ("few", -0.0), ("few", 2.0), ("few", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    probs = {"a": 0.0, "b": 0.001, "c": 0.5, "d": 0.9, "e": 0.999, "f": 1.0}
+    want = O.percentiles(df, ["k"], "v", probs, 1)
+    got = O.percentiles(df, ["k"], "v", probs, 4, 20 if most == 400 else 10_000, most)
+    assert got.columns == want.columns
+    assert sorted(got.collect(), key=lambda r: str(r.k)) == sorted(want.collect(), key=lambda r: str(r.k))
+    assert O.percentiles(df, [], "v", probs, 4, 20, most).collect() == O.percentiles(df, [], "v", probs, 1).collect()
+
+
+def test_percentiles_do_not_sort_the_column(skewed, monkeypatch):
+    """No range copy: nothing but brackets is written."""
+    monkeypatch.setattr(O, "chunked", None)
+    O.percentiles(skewed, ["k"], "v", {"m": 0.5}, 4).collect()
+    assert O.percentiles(skewed.filter("false"), [], "v", {"m": 0.5}, 4).collect()[0]["m"] is None
+    assert O.percentiles(skewed.filter("false"), ["k"], "v", {"m": 0.5}, 4).count() == 0
+
+
 @pytest.mark.parametrize("chunks", [1, 4])
 def test_column_percentiles(spark, chunks):
     df = spark.createDataFrame([(1.0, 10), (2.0, None), (None, 30), (4.0, 20)], "a double, b int")

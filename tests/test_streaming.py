@@ -71,6 +71,32 @@ def test_alert_cooldown_carries_over_batches(spark, tiny):
     assert sorted(map(tuple, streamed.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
 
 
+def test_alert_state_survives_a_restart(spark, tiny):
+    """A second query on the same checkpoint goes on from the first one's state: its alerts are those of the whole table."""
+    folder, events = scratch_path(spark, "restart"), spark.read.parquet(f"{tiny}/events.parquet")
+    rules = [r for r in RULES if r[1] == "latency_ms"]
+    ids = events.agg(F.percentile_approx("ts", [0.3, 0.31, 0.7])).first()[0]
+    cuts = [None, *ids, None]
+
+    def points(e):
+        return e.select(
+            F.lit("latency_ms").alias("metric"), F.lit("m").alias("model_id"), F.col("ts").cast("timestamp").alias("at"),
+            F.col("value").alias("value"), F.col("event_id").alias("id"),
+        )
+
+    out = scratch_path(spark, "alerts")
+    for low, high in zip(cuts, cuts[1:]):
+        part = events if low is None else events.filter(F.col("ts") >= F.lit(low))
+        part = part if high is None else part.filter(F.col("ts") < F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        monitor.stream_alerts(points(stream), rules, f"{out}/alerts", f"{out}/state", available_now=True).awaitTermination()
+    streamed = spark.read.parquet(f"{out}/alerts")
+    batch = evaluate_alerts(points(events), rules)
+    assert sorted(map(tuple, streamed.select(batch.columns).collect())) == sorted(map(tuple, batch.collect())) != []
+    assert spark.conf.get(monitor.STORE, None) != monitor.ROCKSDB
+
+
 def test_bucket_quantile(spark):
     sql = W.bucket_quantile(["b0", "b1", "b2"], [1.0, 2.0], 0.5)
     df = spark.createDataFrame([(1, 4, 10), (5, 10, 10), (0, 0, 0), (0, 0, 3), (0, 10, 10)], "b0 int, b1 int, b2 int")
