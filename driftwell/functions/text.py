@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -9,18 +10,52 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+MARK = "\ue000"  # stands for a character that becomes several
+
+
+def _plain(text: str) -> str:
+    """Compatibility decomposition without the combining marks."""
+    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+
+
+@functools.cache
+def accent_table() -> tuple[str, str]:
+    """The characters that change, by rule from the character database, and what they become: those with one character
+    first, then those that become several, then those that go."""
+    one: list[tuple[str, str]] = []
+    several, gone = [MARK], []
+    for code in range(0x80, 0x110000):
+        ch = chr(code)
+        if not unicodedata.decomposition(ch) and not unicodedata.combining(ch) and not 0xAC00 <= code < 0xD7A4:
+            continue
+        plain = _plain(ch)
+        if plain == ch:
+            continue
+        if not plain:
+            gone.append(ch)
+        elif len(plain) == 1:
+            one.append((ch, plain))
+        else:
+            several.append(ch)
+    return "".join(a for a, _ in one) + "".join(several) + "".join(gone), "".join(b for _, b in one) + MARK * len(several)
+
 
 @F.pandas_udf(StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without the combining marks; ASCII rows pass untouched."""
+def _expanded(text: pd.Series) -> pd.Series:
+    return text.map(lambda value: None if value is None else _plain(value))
+
 
-    def plain(value: str | None) -> str | None:
-        if value is None or value.isascii():
-            return value
-        decomposed = unicodedata.normalize("NFKD", value)
-        return "".join(ch for ch in decomposed if not unicodedata.combining(ch))
+def strip_accents(text: Column) -> Column:
+    """Compatibility decomposition without the combining marks.
 
-    return text.map(plain)
+    ASCII texts pass untouched, others character by character in the JVM; only texts with a character that becomes
+    several (ligatures, fractions, Hangul) go through Python.
+    """
+    known, plain = accent_table()
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    mapped = F.translate(text, known, plain)
+    odd = F.contains(mapped, F.lit(MARK))
+    return F.when(ascii_only, text).when(odd, _expanded(F.when(~ascii_only & odd, text))).otherwise(mapped)
 
 
 def tokens(text: Column) -> Column:

@@ -157,8 +157,6 @@ def runs_compare(runs: DataFrame, metric: str = "accuracy") -> DataFrame:
 def best_run(runs: DataFrame, keys: list[str], metric: str = "accuracy") -> DataFrame:
     """Best run per key; of equals the first id."""
     value = F.coalesce(F.try_element_at("metrics", F.lit(metric)), F.lit(0.0))
-    scored = runs.withColumn("_m", value)
-    best = scored.groupBy(*keys).agg(F.max("_m").alias("best_metric"))
-    return scored.join(best, keys).filter("_m = best_metric").groupBy(*keys, "best_metric").agg(
-        F.min("run_id").alias("run_id")
-    )
+    # The first id of every metric value, then the one of the best value: two small aggregates, no join back.
+    firsts = runs.withColumn("_m", value).groupBy(*keys, "_m").agg(F.min("run_id").alias("_id"))
+    return firsts.groupBy(*keys).agg(F.max("_m").alias("best_metric"), F.max_by("_id", "_m").alias("run_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,31 @@ def classification_metrics(df: DataFrame, keys: list[str], truth: str = "ground_
     return scored.select(*keys, "n", "accuracy", "precision", "recall", f1.alias("f1_score"))
 
 
+Measure = Callable[[Column, Column], Column]
+
+
+def custom_metrics(df: DataFrame, measures: Mapping[str, Mapping[str, Measure]], key: str = "model_id",
+                   truth: str = "ground_truth", pred: str = "result") -> DataFrame:
+    """(key, metric, value, n) of the measures registered per model; the entry "*" holds for models without their own.
+
+    A measure gets the truth and the prediction as columns and gives an aggregate. All models are measured in one
+    aggregate: a measure sees the pairs of its own models only, null for all others, which aggregates pass over.
+    """
+    y, p = F.col(truth).cast("double"), F.col(pred).cast("double")
+    present = df.filter(y.isNotNull() & p.isNotNull())
+    own = [m for m in measures if m != "*"]
+    columns, cells = [], []
+    for m, named in measures.items():
+        mine = ~F.col(key).isin(own) if m == "*" else F.col(key) == m
+        for name, measure in named.items():
+            at = f"_m{len(columns)}"
+            columns.append(measure(F.when(mine, y), F.when(mine, p)).cast("double").alias(at))
+            cells.append(F.when(mine, F.struct(F.lit(name).alias("metric"), F.col(at).alias("value"))))
+    wide = present.groupBy(key).agg(F.count("*").alias("n"), *columns)
+    listed = wide.select(key, "n", F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+    return listed.select(key, "cell.metric", "cell.value", "n")
+
+
 def regression_metrics(df: DataFrame, keys: list[str], truth: str, pred: str) -> DataFrame:
     """RMSE, MAE, R2 (0 for a constant truth) and MAPE in percent over non-zero truths."""
     y = F.col(truth).cast("double")

@@ -39,6 +39,29 @@ def _stack(wide: DataFrame, rows: list[list[Column]], names: list[str]) -> DataF
     return wide.select(F.inline(F.array(*structs)))
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    """Text that is equal exactly for equal values."""
+    kind, value = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (value + F.lit(0.0).cast(kind)).cast("string")  # -0 is 0
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.when(value.isNotNull(), F.to_json(F.struct(value)))
+    return value.cast("string")
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, unique_count): non-null distinct values of each column, all columns in one shuffle.
+
+    Values are collapsed on the map side as (column, value), so a column with few values costs a few rows per task, and
+    no row is carried once per column with everything else.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), _as_text(df, c).alias("cell")) for i, c in enumerate(columns)])
+    values = df.select(F.inline(cells)).filter("cell is not null").groupBy("at", "cell").agg(F.lit(1).alias("one"))
+    return values.groupBy("at").agg(F.count("*").alias("unique_count"))
+
+
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Type, counts, null percent, distinct count, mean, std(sample), min and max per column."""
     columns = columns or df.columns
@@ -46,7 +69,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     numeric = set(numeric_columns(clean))
     measures: list[Column] = [F.count("*").alias("_rows")]
     for i, c in enumerate(columns):
-        measures += [F.count(c).alias(f"n_{i}"), F.countDistinct(c).alias(f"u_{i}")]
+        measures.append(F.count(c).alias(f"n_{i}"))
         if c in numeric:
             measures += [
                 F.avg(c).alias(f"m_{i}"), F.stddev_samp(c).alias(f"s_{i}"),
@@ -59,18 +82,20 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         number = c in numeric
         rows.append(
             [
-                F.lit(c), F.lit(df.schema[c].dataType.simpleString()), F.col(f"n_{i}"), nulls,
+                F.lit(i), F.lit(c), F.lit(df.schema[c].dataType.simpleString()), F.col(f"n_{i}"), nulls,
                 F.round(F.coalesce(F.try_divide(nulls * 100.0, F.col("_rows")), F.lit(0.0)), 2),
-                F.col(f"u_{i}"),
                 F.round(f"m_{i}", 4) if number else missing,
                 F.round(f"s_{i}", 4) if number else missing,
                 F.col(f"lo_{i}") if number else missing,
                 F.col(f"hi_{i}") if number else missing,
             ]
         )
-    names = ["column", "dtype", "non_null_count", "null_count", "null_percent", "unique_count",
-             "mean", "std", "min_val", "max_val"]
-    return _stack(clean.agg(*measures), rows, names)
+    names = ["_at", "column", "dtype", "non_null_count", "null_count", "null_percent", "mean", "std", "min_val", "max_val"]
+    measured = _stack(clean.agg(*measures), rows, names)
+    # Both sides have a row per column.
+    joined = measured.join(F.broadcast(distinct_counts(clean, columns)), F.col("_at") == F.col("at"), "left")
+    unique = F.coalesce("unique_count", F.lit(0).cast("bigint")).alias("unique_count")
+    return joined.select(*names[1:6], unique, *names[6:])
 
 
 def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -15,9 +15,10 @@ from driftwell.operators.smallside import join_small
 from driftwell.operators.ordered import scanned_bytes
 
 
-def hash_order(key: str, seed: int) -> Column:
+def hash_order(key: str, seed: int | Column) -> Column:
     """60 bits of the md5 of key and seed, so other engines can reproduce the order."""
-    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    text = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), text))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
@@ -27,7 +28,7 @@ def _cell_bits(df: DataFrame) -> int:
     return cells.bit_length() - 1
 
 
-def _cells(df: DataFrame, key: str, seed: int, bits: int) -> DataFrame:
+def _cells(df: DataFrame, key: str, seed: int | Column, bits: int) -> DataFrame:
     return df.withColumn("_h", hash_order(key, seed)).withColumn("_cell", F.shiftright("_h", 60 - bits))
 
 
@@ -85,27 +86,29 @@ def train_test_split(df: DataFrame, key: str, label: str | None = None, test_siz
     return lowest(df, key, classes, F.round(F.col("_size") * test_size), seed, "is_test")
 
 
-def kfold(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Stratified fold number 0..folds-1; fold sizes per class differ by at most one.
-
-    A row's rank in its class is the rank in its cell plus the rows of earlier cells.
-    """
+def _folds(df: DataFrame, key: str, classes: list[str], folds: int, seed: int | Column) -> DataFrame:
+    """A row's rank in its class is the rank in its cell plus the rows of earlier cells."""
     columns = df.columns
     cells = _cells(df, key, seed, _cell_bits(df))
-    counts = cells.groupBy(label, "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(label, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inner = F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_h", key)) - 1
-    ranked = cells.withColumn("_inner", inner).join(offsets, [label, "_cell"])
+    counts = cells.groupBy(*classes, "_cell").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*classes).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*classes, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inner = F.row_number().over(Window.partitionBy(*classes, "_cell").orderBy("_h", key)) - 1
+    ranked = cells.withColumn("_inner", inner).join(offsets, [*classes, "_cell"])
     return ranked.select(*columns, F.pmod(F.col("_offset") + F.col("_inner"), F.lit(folds)).cast("int").alias("fold"))
 
 
+def kfold(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Stratified fold number 0..folds-1; fold sizes per class differ by at most one."""
+    return _folds(df, key, [label], folds, seed)
+
+
 def repeated_kfold(df: DataFrame, key: str, label: str, folds: int = 5, repeats: int = 3,
                    seed: int = 42) -> DataFrame:
-    """Fold numbers for every repeat: one row per (row, repeat)."""
-    out: DataFrame | None = None
-    for r in range(repeats):
-        part = kfold(df, key, label, folds, seed + r).withColumn("repeat", F.lit(r))
-        out = part if out is None else out.unionByName(part)
-    assert out is not None
-    return out
+    """Fold numbers for every repeat: one row per (row, repeat).
+
+    All repeats are ranked at once, as classes of their own: the table is read as often for ten repeats as for one.
+    """
+    many = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    ranked = _folds(many, key, ["repeat", label], folds, F.lit(seed) + F.col("repeat"))
+    return ranked.select(*df.columns, "fold", "repeat")

@@ -5,18 +5,21 @@ from __future__ import annotations
 import itertools
 import random
 import warnings
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.operators import metrics as M
-from driftwell.operators.splits import kfold, train_test_split
+from driftwell.operators.splits import kfold, repeated_kfold, train_test_split
 from driftwell.session import ensure_checkpoints
 from driftwell.operators.textfeatures import MAX_VOCABULARY, sparse_vectors, terms, vocabulary, weights
 
@@ -179,21 +182,40 @@ def train_challenger(df: DataFrame, key: str, features: list[str], label: str, i
     )
 
 
+def _measured(marked: DataFrame, keys: list[str], tasks: list[tuple[dict, Estimator, tuple[DataFrame, Column]]], workers: int) -> list[dict]:
+    """Fit and measure many times on one kept table; a row of metrics per fit comes back, in the order of the tasks.
+
+    A task is (values of the keys, estimator, (rows, which of them are held out)). Fits are jobs of many small stages, so a few
+    run at a time and fill each other's gaps. The pool is bounded: `workers` fits at once, whatever their number.
+    """
+    spark = marked.sparkSession
+
+    def one(labels: dict, estimator: Estimator, side: tuple[DataFrame, Column]) -> dict:
+        rows, held = side
+        model = estimator.fit(rows.filter(~held))
+        scored = model.transform(rows.filter(held)).withColumns({k: F.lit(v) for k, v in labels.items()})
+        return M.classification_metrics(scored, keys, "label", "prediction").first().asDict()
+
+    def started(task: tuple) -> Callable[[], dict]:
+        return inheritable_thread_target(spark)(lambda: one(*task))
+
+    with ThreadPoolExecutor(workers) as pool:
+        return [f.result() for f in [pool.submit(started(t)) for t in tasks]]
+
+
+def _score_table(spark: SparkSession, rows: list[dict], shape: str) -> DataFrame:
+    return spark.createDataFrame(rows, f"{shape}, n bigint, accuracy double, precision double, recall double, f1_score double")
+
+
 def cv_scores(df: DataFrame, key: str, estimator: Estimator, folds: int = 5, repeats: int = 1,
-              seed: int = 42) -> DataFrame:
-    """Accuracy and F1 of each (repeat, fold); the loop is over fits, not over rows."""
-    out: DataFrame | None = None
-    for repeat in range(repeats):
-        marked = kept(kfold(df, key, "label", folds, seed + repeat))
-        for fold in range(folds):
-            model = estimator.fit(marked.filter(F.col("fold") != fold))
-            held = model.transform(marked.filter(F.col("fold") == fold)).withColumns(
-                {"repeat": F.lit(repeat), "fold": F.lit(fold)}
-            )
-            part = M.classification_metrics(held, ["repeat", "fold"], "label", "prediction")
-            out = part if out is None else out.unionByName(part)
-    assert out is not None
-    return out
+              seed: int = 42, workers: int = 4) -> DataFrame:
+    """Accuracy and F1 of each (repeat, fold), with the number of held-out rows as n.
+
+    The folds of all repeats are assigned in one pass and kept; `workers` fits run at a time.
+    """
+    marked = kept(repeated_kfold(df, key, "label", folds, repeats, seed))
+    tasks = [({"repeat": r, "fold": f}, estimator, (marked.filter(F.col("repeat") == r), F.col("fold") == f)) for r in range(repeats) for f in range(folds)]
+    return _score_table(df.sparkSession, _measured(marked, ["repeat", "fold"], tasks, workers), "repeat int, fold int")
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -228,24 +250,29 @@ def random_trials(space: dict[str, tuple], trials: int, seed: int = 42) -> list[
 
 
 def hpo_cv(df: DataFrame, key: str, estimator: Estimator, trials: list[dict], folds: int = 5,
-           metric: str = "accuracy", seed: int = 42, top: int = 5) -> DataFrame:
-    """Cross-validated score of every trial, best first; the best `top` are reported.
-
-    The folds are assigned once, so every trial sees the same ones.
+           metric: str = "accuracy", seed: int = 42, top: int | None = None, workers: int = 4,
+           halving: int | None = None) -> DataFrame:
+    """Cross-validated score of every trial, best first: trial, params, score, folds, held_out (rows scored so far).
+
+    The folds are assigned once, so every trial sees the same ones. By default every trial is fitted on all folds. With
+    `halving` = h (successive halving) all trials are fitted on one fold, the best of h in every h go on to h times as
+    many, and so on; a trial that stopped early is still reported, with the folds it was scored on, after those that
+    went further. `top` cuts the report, not the search.
     """
+    assert trials, "no trials given"
     marked = kept(kfold(df, key, "label", folds, seed))
-    out: DataFrame | None = None
-    for number, params in enumerate(trials):
-        candidate = estimator.copy({estimator.getParam(k): v for k, v in params.items()})
-        for fold in range(folds):
-            model = candidate.fit(marked.filter(F.col("fold") != fold))
-            held = model.transform(marked.filter(F.col("fold") == fold)).withColumns(
-                {"trial": F.lit(number), "params": F.lit(str(params)), "fold": F.lit(fold)}
-            )
-            part = M.classification_metrics(held, ["trial", "params", "fold"], "label", "prediction")
-            out = part if out is None else out.unionByName(part)
-    assert out is not None, "no trials given"
-    mean: Column = F.round(F.avg(metric), 6)
-    return out.groupBy("trial", "params").agg(mean.alias("score")).orderBy(
-        F.col("score").desc(), "trial"
-    ).limit(top)
+    done: dict[int, list[dict]] = {i: [] for i in range(len(trials))}
+    alive, upto = list(done), 1 if halving else folds
+    while True:
+        tasks = [({"trial": t, "fold": f}, estimator.copy({estimator.getParam(k): v for k, v in trials[t].items()}), (marked, F.col("fold") == f))
+                 for t in alive for f in range(len(done[t]), upto)]
+        for row in _measured(marked, ["trial", "fold"], tasks, workers):
+            done[row["trial"]].append(row)
+        if upto >= folds:
+            break
+        ranked = sorted(alive, key=lambda t: (-sum(r[metric] for r in done[t]) / len(done[t]), t))
+        alive, upto = ranked[: max(1, -(-len(ranked) // halving))], min(folds, upto * halving)
+    rows = [(t, str(trials[t]), round(sum(r[metric] for r in scores) / len(scores), 6), len(scores), sum(r["n"] for r in scores)) for t, scores in done.items()]
+    report = df.sparkSession.createDataFrame(rows, "trial int, params string, score double, folds int, held_out bigint")
+    ordered = report.orderBy(F.col("folds").desc(), F.col("score").desc(), "trial")
+    return ordered if top is None else ordered.limit(top)

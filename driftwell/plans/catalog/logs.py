@@ -213,6 +213,20 @@ def classification_metrics(spark, d):
     return metrics.classification_metrics(views.prediction_logs(spark, d), ["model_id", "model_version"])
 
 
+MEASURES = {
+    "m0": {"cost": lambda y, p: F.sum(F.when(y > p, 5.0).when(y < p, 1.0).otherwise(0.0)), "hits": lambda y, p: F.count_if(y == p)},
+    "*": {"bias": lambda y, p: F.avg(p - y)},
+}
+
+
+@query("custom_metrics", f"""WITH {LOGS}, y AS (SELECT * FROM logs WHERE ground_truth IS NOT NULL AND result IS NOT NULL)
+SELECT model_id, 'cost' AS metric, sum(CASE WHEN ground_truth > result THEN 5.0e0 WHEN ground_truth < result THEN 1.0e0 ELSE 0.0e0 END) AS value, count(*) AS n FROM y WHERE model_id = 'm0' GROUP BY model_id
+UNION ALL SELECT model_id, 'hits', CAST(count(*) FILTER (WHERE ground_truth = result) AS DOUBLE), count(*) FROM y WHERE model_id = 'm0' GROUP BY model_id
+UNION ALL SELECT model_id, 'bias', round(avg(result - ground_truth), 6), count(*) FROM y WHERE model_id <> 'm0' GROUP BY model_id""")
+def custom_metrics(spark, d):
+    return metrics.custom_metrics(views.prediction_logs(spark, d), MEASURES)
+
+
 @query("regression_metrics", """WITH t AS (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 1000 AS p FROM lineitem),
 m AS (SELECT *, avg(y) OVER (PARTITION BY l_returnflag) AS my FROM t)
 SELECT l_returnflag, count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(avg(abs(y - p)), 4) AS mae,

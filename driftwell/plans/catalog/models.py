@@ -486,17 +486,37 @@ def train_challenger(spark, d):
     return T.train_challenger(_credit(spark, d), "row_key", CREDIT, "label").metrics
 
 
+def _logistic_rows(spark, d):
+    return T.assemble(_fraud(spark, d), ["value", "k", "hour"], "label", "event_id")
+
+
 @query("cv_scores")
 def cv_scores(spark, d):
-    rows = T.assemble(_fraud(spark, d), ["value", "k", "hour"], "label", "event_id")
-    return T.cv_summary(T.cv_scores(rows, "event_id", LogisticRegression(), folds=5, repeats=3))
+    return T.cv_summary(T.cv_scores(_logistic_rows(spark, d), "event_id", LogisticRegression(), folds=5, repeats=3))
+
+
+FOLDS = "fold AS (SELECT (row_number() OVER (PARTITION BY event_type = 'error' ORDER BY event_id) - 1) % {n} AS fold FROM events)"
+
+
+@query("cv_held_out", f"WITH {FOLDS.format(n=3)}, r AS (SELECT unnest([0, 1]) AS repeat) SELECT repeat, CAST(fold AS INTEGER) AS fold, count(*) AS n FROM fold, r GROUP BY ALL")
+def cv_held_out(spark, d):
+    return T.cv_scores(_logistic_rows(spark, d), "event_id", LogisticRegression(maxIter=5), folds=3, repeats=2).select("repeat", "fold", "n")
+
+
+GRID = {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
 
 
 @query("hpo_cv")
 def hpo_cv(spark, d):
-    rows = T.assemble(_fraud(spark, d), ["value", "k", "hour"], "label", "event_id")
-    trials = T.grid_trials({"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, 20)
-    return T.hpo_cv(rows, "event_id", LogisticRegression(), trials)
+    return T.hpo_cv(_logistic_rows(spark, d), "event_id", LogisticRegression(), T.grid_trials(GRID, 20))
+
+
+@query("hpo_halving", f"""WITH {FOLDS.format(n=4)}, s AS (SELECT fold, count(*) AS n FROM fold GROUP BY fold), t(folds, trials) AS (VALUES (1, 3), (2, 1), (4, 2))
+SELECT CAST(folds AS INTEGER) AS folds, CAST(trials AS BIGINT) AS trials, CAST(trials * (SELECT sum(n) FROM s WHERE fold < folds) AS BIGINT) AS held_out FROM t""")
+def hpo_halving(spark, d):
+    trials = T.grid_trials(GRID, 20)
+    report = T.hpo_cv(_logistic_rows(spark, d), "event_id", LogisticRegression(maxIter=5), trials, folds=4, halving=2)
+    return report.groupBy("folds").agg(F.count("*").alias("trials"), F.sum("held_out").alias("held_out"))
 
 
 # The stored reference is moved, so that the recent logs have drifted from it.

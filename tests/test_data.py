@@ -186,3 +186,37 @@ def test_manifest_sees_replaced_duplicates(spark):
     new = spark.createDataFrame([("p", 2), ("p", 2), ("r", 5)], "part string, v int")
     changes = I.data_changes(I.manifest(old, F.col("part")), I.manifest(new, F.col("part"))).collect()
     assert {r["part"]: r["change"] for r in changes} == {"p": "changed", "q": "removed", "r": "added"}
+
+
+def test_accents_as_the_character_database_says(spark):
+    import unicodedata
+
+    from driftwell.functions.text import _plain, strip_accents
+
+    codes = [*range(0x20, 0x3000), *range(0xAC00, 0xAC40), *range(0xE000, 0xE003), *range(0xF900, 0xFFFE), *range(0x1D400, 0x1D440), *range(0x1F100, 0x1F200)]
+    texts = [chr(c) for c in codes] + ["", None, "Ünïcödé ﬁn ½ ﷺ x", "plain ascii_9", "e\u0301a\u0323\u0307", "한글 é", "a" * 5000 + "é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.p for r in df.select("id", strip_accents(F.col("t")).alias("p")).collect()}
+    assert unicodedata.unidata_version
+    wrong = [(texts[i], p) for i, p in got.items() if p != (None if texts[i] is None else _plain(texts[i]))]
+    assert wrong == []
+
+
+def test_profile_counts_distinct_values_without_expanding_rows(spark):
+    from driftwell.operators import quality as Q
+
+    rows = [(1, 0.0, "a", [1], b"x"), (2, -0.0, "A", [1], b"y"), (None, float("nan"), None, None, None), (2, 1.5, "a", [2, 1], b"x")]
+    df = spark.createDataFrame(rows, "i int, d double, s string, l array<int>, b binary")
+    profile = Q.column_profile(df)
+    assert "Expand" not in profile._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.column: (r.non_null_count, r.unique_count) for r in profile.collect()} == {"i": (3, 2), "d": (3, 2), "s": (3, 2), "l": (3, 2), "b": (3, 2)}
+    assert [r.unique_count for r in Q.column_profile(df.filter("false")).collect()] == [0] * 5
+
+
+def test_custom_metrics_per_model(spark):
+    from driftwell.operators.metrics import custom_metrics
+
+    df = spark.createDataFrame([("a", 1.0, 0.0), ("a", 1.0, 1.0), ("b", 2.0, 5.0), ("c", 1.0, 3.0), ("c", None, 3.0)], "model_id string, ground_truth double, result double")
+    measures = {"a": {"misses": lambda y, p: F.count_if(y != p)}, "*": {"bias": lambda y, p: F.avg(p - y), "worst": lambda y, p: F.max(F.abs(p - y))}}
+    got = {(r.model_id, r.metric): (r.value, r.n) for r in custom_metrics(df, measures).collect()}
+    assert got == {("a", "misses"): (1.0, 2), ("b", "bias"): (3.0, 1), ("b", "worst"): (3.0, 1), ("c", "bias"): (2.0, 1), ("c", "worst"): (2.0, 1)}

@@ -43,6 +43,48 @@ def test_hpo_orders_trials(spark):
     assert [r["trial"] for r in best.collect()] == [1, 0]
 
 
+def test_all_trials_are_reported_and_halving_agrees_where_it_goes_on(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    rows = T.assemble(blobs(spark), ["a", "b"], "y", "id")
+    trials = [{"regParam": r} for r in (100.0, 0.0, 50.0, 0.01)]
+    full = {r.trial: r for r in T.hpo_cv(rows, "id", LogisticRegression(maxIter=5), trials, folds=4).collect()}
+    assert set(full) == {0, 1, 2, 3} and all(r.folds == 4 and r.held_out == 400 for r in full.values())
+    half = T.hpo_cv(rows, "id", LogisticRegression(maxIter=5), trials, folds=4, halving=2).collect()
+    assert [(r.folds, r.held_out) for r in half] == [(4, 400), (2, 200), (1, 100), (1, 100)]
+    assert half[0].score == full[half[0].trial].score == max(r.score for r in full.values())
+    assert T.hpo_cv(rows, "id", LogisticRegression(maxIter=5), trials, folds=4, top=2, workers=1).count() == 2
+
+
+def test_cross_validation_of_all_repeats(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    rows = T.assemble(blobs(spark), ["a", "b"], "y", "id")
+    scores = T.cv_scores(rows, "id", LogisticRegression(maxIter=5), folds=4, repeats=3).collect()
+    assert [(r.repeat, r.fold) for r in scores] == [(r, f) for r in range(3) for f in range(4)]
+    assert all(r.n == 100 and r.accuracy == 1.0 for r in scores)
+
+
+def test_repeats_are_one_scan(spark, tiny):
+    from driftwell.operators.splits import repeated_kfold
+
+    orders = spark.read.parquet(f"{tiny}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    many = repeated_kfold(orders, "o_orderkey", "o_orderstatus", 5, 3)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("parquet") == repeated_kfold(orders, "o_orderkey", "o_orderstatus", 5, 1)._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    for r in range(3):
+        want = kfold(orders, "o_orderkey", "o_orderstatus", 5, 42 + r).orderBy("o_orderkey").collect()
+        assert [x.fold for x in many.filter(f"repeat = {r}").orderBy("o_orderkey").collect()] == [x.fold for x in want]
+
+
+def test_training_leaves_its_reference(spark):
+    trained = T.train_challenger(blobs(spark), "id", ["a", "b"], "y", iterations=3)
+    kept = {r.feature_name: r.n for r in trained.reference.groupBy("feature_name").count().withColumnRenamed("count", "n").collect()}
+    assert kept == {"a": 320, "b": 320}
+    same = T.training_reference(blobs(spark), "id", ["a", "b"], "y", seed=99)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, trained.reference.collect()))
+    assert {(r.is_test, r.label): r.n for r in T.training_sides(blobs(spark), "id", "y").collect()} == {(s, c): n for s, n in ((True, 40), (False, 160)) for c in (0.0, 1.0)}
+
+
 def test_sentiment_and_image_run(spark, tiny):
     assert queries()["train_sentiment"](spark, tiny).first()["n"] > 0
     assert queries()["train_image"](spark, tiny).first()["n"] > 0
