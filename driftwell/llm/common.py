@@ -8,7 +8,7 @@ import types
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.operators.smallside import join_small  # noqa: F401  used by the operators of this folder
+from driftwell.operators import smallside
 from driftwell.session import ensure_checkpoints
 
 # Fixed value: a word is a run of anything but ASCII white space.
@@ -31,6 +31,11 @@ def kept_once(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """The small side measured whatever the size of the other, so that plans are alike at every size."""
+    return smallside.join_small(big, small, keys, how, plain_below=0)
+
+
 def uniform(key: Column, seed: int) -> Column:
     """A number in (0, 1) from a hash of the key; 52 bits, the same in every engine that has md5."""
     digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))

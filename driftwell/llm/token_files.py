@@ -306,6 +306,29 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return join_small(blocks, bases, ["shard"], "inner").mapInArrow(read_task(), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _span_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with places of documents in them to (doc_id, ids); only the spans asked for are decoded."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ends = EliasFano(len(row["doc_ids"]), row["low_bits"], row["low"], row["high"], row["samples"])
+            ids = np.frombuffer(row["ids"], f"<u{row['width']}")
+            spans = [ids[ends.select(i - 1) if i else 0:ends.select(i)].astype(np.int64) for i in row["places"]]
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][i] for i in row["places"]], pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents that `wanted` names, end id included; ids nobody wrote give no row.
+
+    A document's span lies between two boundaries, which select finds without decoding the others.
+    """
+    blocks = spark.read.schema(SCHEMA).parquet(path)
+    asked = pick(wanted, "doc_id").distinct()
+    listed = blocks.select("shard", "block", F.posexplode("doc_ids").alias("place", "doc_id"))
+    places = listed.join(asked, "doc_id").groupBy(F.col("shard").alias("s"), F.col("block").alias("b")).agg(F.sort_array(F.collect_list("place")).alias("places"))
+    met = blocks.join(places, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    return met.mapInArrow(_span_task, "doc_id long, ids array<long>")
+
+
 def op1_token_files(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 

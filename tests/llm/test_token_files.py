@@ -75,6 +75,15 @@ def test_many_blocks_of_one_shard(spark, tmp_path, monkeypatch):
     assert blocks.count() > 50 and blocks.filter("octet_length(high) + octet_length(low) > size(doc_ids) * 3").count() == 0
 
 
+def test_single_documents_by_select(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 3000)
+    rows = [(i, f"text number {i} " * (i % 9)) for i in range(900)]
+    token_files.write_tokens(frame(spark, rows), DEFINITION, f"{tmp_path}/e")
+    wanted = spark.createDataFrame([(i,) for i in (0, 1, 299, 300, 511, 512, 899, 899, 5000, None)], "doc_id long")
+    got = {r.doc_id: r.ids for r in token_files.read_documents(spark, f"{tmp_path}/e", wanted).collect()}
+    assert got == {i: [*LIBRARY.encode(t, add_special_tokens=False).ids, 2] for i, t in rows if i in (0, 1, 299, 300, 511, 512, 899)}
+
+
 def test_odd_tables(spark, tmp_path):
     assert written(spark, tmp_path, frame(spark, []), "c").count() == 0
     odd = frame(spark, [(None, "x"), (2, "b"), (2, "b"), (2, "a")]).withColumns({c: F.lit("z") for c in ("tie", "shard", "start", "ids")})
