@@ -18,11 +18,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell.operators.smallside import join_small
+from driftwell.operators.smallside import SMALL_BYTES, join_small, scanned_bytes
 from driftwell.session import ensure_checkpoints
 
 CHUNK = "_chunk"
-SMALL_BYTES = 64 << 20
 CHUNK_BYTES = 32 << 20
 MAX_CHUNKS = 100_000
 MAX_SALTS = 256
@@ -31,15 +30,6 @@ SORTED = 1 << 20  # distinct values of one key that one task may sort
 _UNKNOWN_BYTES = 1 << 60
 
 
-def scanned_bytes(df: DataFrame) -> int:
-    """Sum of the planner's sizes of all scanned inputs (file sizes; no job runs)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(leaves.next().stats().sizeInBytes())
-    return total
-
-
 def planned_chunks(df: DataFrame) -> int:
     """1 when the whole input is small enough for one task, else the number of chunks."""
     size = scanned_bytes(df)

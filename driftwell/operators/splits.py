@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell.operators.smallside import join_small
-from driftwell.operators.ordered import scanned_bytes
+from driftwell.operators.smallside import join_small, scanned_bytes
 
 
 def hash_order(key: str, seed: int | Column) -> Column:

@@ -71,8 +71,8 @@ def bucket_quantile(counts: list[str], bounds: list[float], q: float) -> str:
     arms = [f"WHEN {total} = 0 THEN NULL"]
     low, before = 0.0, "0"
     for high, upto in zip(bounds, counts):
-        inside = f"{low!r}D + {high - low!r}D * try_divide({rank} - {before}, double({upto} - {before}))"
-        arms.append(f"WHEN {upto} >= {rank} THEN coalesce({inside}, {high!r}D)")
+        inside = f"{low!r}D + {high - low!r}D * ({rank} - {before}) / ({upto} - {before})"
+        arms.append(f"WHEN {upto} >= {rank} THEN CASE WHEN {upto} = {before} THEN {high!r}D ELSE {inside} END")
         low, before = high, upto
     return f"CASE {' '.join(arms)} ELSE {bounds[-1]!r}D END"
 
