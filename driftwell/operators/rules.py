@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftwell import config
 from driftwell.functions.text import fixed
 from driftwell.operators.smallside import join_small
-from driftwell.operators.ordered import percentiles
+from driftwell.operators.ordered import percentiles, planned_chunks
 from driftwell.operators.spacing import spaced
 from driftwell.schemas import ALERT_RULES
 
@@ -146,8 +146,9 @@ def evaluate_alerts(metrics: DataFrame, rules: list[tuple], per_model: bool = Fa
     table = metrics.sparkSession.createDataFrame(rules, ALERT_RULES)
     keys = ["rule_name", "model_id"] if per_model else ["rule_name"]
     hits = breaches(metrics, table)
+    # The rule table has no known size, so the number of chunks follows the metrics alone.
     fired = spaced(
-        hits, keys, "at", ["model_id", "id"], F.col("cooldown_seconds"), "fires", chunks=chunks, entries=last_fired
+        hits, keys, "at", ["model_id", "id"], F.col("cooldown_seconds"), "fires", chunks=chunks or planned_chunks(metrics), entries=last_fired
     ).filter("fires")
     return fired.select(*alert_columns())
 

@@ -35,10 +35,12 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     The small side is written and measured first. Within the limit (the session's own by default) it is broadcast,
     so the large side is not shuffled; beyond, both are shuffled, and adaptive execution splits hot keys of the
     large side. Where all that the large side reads is known to be less than `plain_below` bytes, measuring would
-    cost more than a shuffle of it can: the join is left to the planner.
+    cost more than a shuffle of it can: then the small side is broadcast if all that it reads is within the limit,
+    and else the join is left to the planner.
     """
-    right = small
-    if limit is not None or scanned_bytes(big) >= plain_below:
+    if limit is None and scanned_bytes(big) < plain_below:
+        right = F.broadcast(small) if scanned_bytes(small) <= broadcast_limit(big.sparkSession) else small
+    else:
         ensure_checkpoints(small.sparkSession)
         small = small.checkpoint()
         width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in small.columns), F.lit(16))
