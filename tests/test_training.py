@@ -22,6 +22,39 @@ def test_house_learns(spark):
     assert T.train_house(df, "id", ["a"], "y", trees=10).metrics.first()["r2"] > 0.9
 
 
+def test_trees_learn_from_cells_whatever_the_rows(spark, monkeypatch):
+    seen, keep = [], T.kept
+    monkeypatch.setattr(T, "kept", lambda df: seen.append(keep(df)) or seen[-1])
+    df = spark.range(4000).selectExpr("id", "double(id % 10) AS a", "double(id % 7) AS b", "double(id % 10) * 3 + id % 7 AS y")
+    row = T.train_house(df, "id", ["a", "b"], "y", trees=5).metrics.first()
+    assert (seen[0].count(), seen[0].agg({"_mass": "sum"}).first()[0]) == (70, 3200.0)
+    assert row["n"] == 800 and row["r2"] > 0.9
+    # Few cells are dealt into shares, so that samples of rows stay samples.
+    T.train_fraud(df.withColumn("y", df.a == 1), "id", ["a", "b"], "y", trees=2)
+    assert seen[1].count() > 2000
+
+
+def test_leaves_count_rows_not_cells(spark):
+    from pyspark.ml.classification import GBTClassifier
+
+    df = spark.range(100).selectExpr("double(id >= 96) AS a", "double(id >= 96) AS label")
+    nodes = [T.fit_trees(df, ["a"], GBTClassifier(maxIter=1, maxDepth=1), least=n).stages[-1].totalNumNodes for n in (4, 5)]
+    assert nodes == [3, 1]
+
+
+def test_edges_are_between_values_or_at_quantiles(spark):
+    rows = spark.range(10000).selectExpr("double(id % 4) AS few", "double(id) AS many", "1.0D AS one")
+    edges = T._edges(rows, ["few", "many", "one"], 4)
+    assert edges["few"] == [0.5, 1.5, 2.5] and edges["one"] == []
+    assert all(abs(a - b) <= 20 for a, b in zip(edges["many"], (2500, 5000, 7500), strict=True))
+
+
+def test_sides_are_split_once(spark):
+    trained = T.train_challenger(blobs(spark), "id", ["a", "b"], "y", iterations=3)
+    plan = trained.reference._jdf.queryExecution().optimizedPlan().toString() + trained.scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and trained.scored.count() == trained.scored.select("id").distinct().count() == 80
+
+
 def test_weights(spark):
     rows = T.weighted_rows(spark.createDataFrame([(0.0,)] * 6 + [(1.0,)] * 2, "label double"))
     assert {tuple(r) for r in rows.collect()} == {(0.0, 1.0), (1.0, 3.0)}
