@@ -110,8 +110,8 @@ def error_rate_anomaly(counts: DataFrame, keys: list[str], limit: float = config
 def breaches(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Metric points (metric, model_id, value, at, id) that break a rule; unknown comparisons mean gt.
 
-    The rule table is a handful of rows; its size is known, so the planner's own
-    size check broadcasts it.
+    The rule table is a handful of rows without a size the planner knows: broadcast, or all points of a metric would
+    meet in one task.
     """
     value, threshold, how = F.col("value"), F.col("threshold"), F.col("comparison")
     broken = (
@@ -120,7 +120,7 @@ def breaches(metrics: DataFrame, rules: DataFrame) -> DataFrame:
         .when(how == "lte", value <= threshold)
         .otherwise(value > threshold)
     )
-    return metrics.join(rules, "metric").filter(broken)
+    return metrics.join(F.broadcast(rules), "metric").filter(broken)
 
 
 def alert_message() -> Column:
@@ -143,14 +143,17 @@ def evaluate_alerts(metrics: DataFrame, rules: list[tuple], per_model: bool = Fa
                     chunks: int | None = None, last_fired: DataFrame | None = None) -> DataFrame:
     """Alerts that fire. A rule stays silent for its cooldown, counted over all models
     (or per model when `per_model`). `last_fired` (keys, last_kept) continues earlier runs."""
-    table = metrics.sparkSession.createDataFrame(rules, ALERT_RULES)
+    spark = metrics.sparkSession
+    numbered = [(*r, i) for i, r in enumerate(rules)]
+    table = spark.createDataFrame(numbered, f"{ALERT_RULES}, _rule int")
     keys = ["rule_name", "model_id"] if per_model else ["rule_name"]
-    hits = breaches(metrics, table)
+    # Breaches are sorted and replayed without the texts of their rule, which only those that fire get back.
+    hits = breaches(metrics, table).select("rule_name", "_rule", "cooldown_seconds", "model_id", "at", "id", "value")
     # The rule table has no known size, so the number of chunks follows the metrics alone.
     fired = spaced(
         hits, keys, "at", ["model_id", "id"], F.col("cooldown_seconds"), "fires", chunks=chunks or planned_chunks(metrics), entries=last_fired
-    ).filter("fires")
-    return fired.select(*alert_columns())
+    ).filter("fires").drop("rule_name", "cooldown_seconds", "fires")
+    return fired.join(F.broadcast(table), "_rule").select(*alert_columns())
 
 
 def rollback_decision(health: DataFrame, keys: list[str], max_error_rate: float = config.ROLLBACK_ERROR_RATE,

@@ -156,3 +156,16 @@ def test_jobs_and_runs(spark):
                                  "run_id string, model_type string, metrics map<string,double>, duration_seconds double")
     assert [r["run_id"] for r in H.runs_compare(runs).collect()] == ["r3", "r1", "r2"]
     assert H.best_run(runs, ["model_type"]).first()["run_id"] == "r3"
+
+
+def test_rules_are_broadcast_and_breaches_carry_no_texts(spark):
+    from driftwell.operators import rules as R
+
+    points = spark.range(100).selectExpr("'m' AS metric", "'a' AS model_id", "double(id) AS value", "timestamp_seconds(id) AS at", "id")
+    rules = [("same", "m", 50.0, "info", "gt", 10.0, "high"), ("same", "m", 10.0, "critical", "lt", 10.0, "low")]
+    found = R.evaluate_alerts(points, rules)
+    table = spark.createDataFrame(rules, R.ALERT_RULES)
+    assert "strategy=broadcast" in R.breaches(points, table)._jdf.queryExecution().optimizedPlan().toString()
+    # Rules of one name share their silence; each alert has the text of its own rule.
+    got = sorted((r.id, r.severity, r.message[-4:].strip()) for r in found.collect())
+    assert got == [(0, "critical", "low"), *[(i, "info", "high") for i in (51, 61, 71, 81, 91)]]
