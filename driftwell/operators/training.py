@@ -219,10 +219,10 @@ def train_fraud(df: DataFrame, key: str, features: list[str], label: str, trees:
 def train_sentiment(docs: DataFrame, key: str, text: str, label: str, max_features: int = MAX_VOCABULARY,
                     iterations: int = 1000, seed: int = 42) -> Trained:
     """Tf-idf fitted on the training side only, then logistic regression."""
-    rows = docs.select(key, text, F.col(label).cast("double").alias("label"))
-    split = train_test_split(rows, key, "label", seed=seed)
-    grams = terms(split, key, text)
-    marks = split.select(key, "label", "is_test")
+    # Split without the texts and written: three joins read the marks.
+    rows = docs.select(key, F.col(label).cast("double").alias("label"))
+    marks = _once(train_test_split(rows, key, "label", seed=seed), "marks")
+    grams = terms(docs, key, text)
     train_keys = marks.filter(~F.col("is_test")).select(key)
     vocab = vocabulary(grams.join(train_keys, key, "left_semi"), max_features=max_features)
     # Every document has a vector; one without a known term is all zeros.

@@ -123,6 +123,14 @@ def test_sentiment_and_image_run(spark, tiny):
     assert queries()["train_image"](spark, tiny).first()["n"] > 0
 
 
+def test_sentiment_splits_without_texts(spark, monkeypatch):
+    written, once = [], T._once
+    monkeypatch.setattr(T, "_once", lambda df, label: written.append(df.columns) or once(df, label))
+    docs = spark.range(60).selectExpr("id", "if(id % 2 = 0, 'good fine text', 'bad poor text') AS text", "id % 2 AS y")
+    row = T.train_sentiment(docs, "id", "text", "y", max_features=20, iterations=3).metrics.first()
+    assert written == [["id", "label", "is_test"]] and (row["n"], row["accuracy"]) == (12, 1.0)
+
+
 def test_task_defaults():
     assert ModelConfig("x", "regression").drift_test == "wasserstein"
     assert ModelConfig("x", "object_detection").monitor_drift is False
