@@ -263,7 +263,9 @@ def train_challenger(df: DataFrame, key: str, features: list[str], label: str, i
     """Logistic regression on the same features as the champion."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     stages = Pipeline(stages=[assembler, LogisticRegression(maxIter=iterations)])
-    return fit_classifier(checked(df, features, label, key), key, stages.fit, seed, features)
+    trained = fit_classifier(checked(df, features, label, key), key, stages.fit, seed, features)
+    trained.model = trained.model.stages[-1]  # the regression itself is what callers save
+    return trained
 
 
 def _measured(marked: DataFrame, keys: list[str], tasks: list[tuple[dict, Estimator, tuple[DataFrame, Column]]], workers: int) -> list[dict]:
