@@ -1,16 +1,18 @@
-"""Text helpers: accent stripping, tokens, n-grams, HTML breaks."""
+"""Text helpers: accent stripping, characters of words, HTML breaks."""
 
 from __future__ import annotations
 
 import functools
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 MARK = "\ue000"  # stands for a character that becomes several
+GONE, SEVERAL = 1, 2
 
 
 def _plain(text: str) -> str:
@@ -58,21 +60,21 @@ def strip_accents(text: Column) -> Column:
     return F.when(ascii_only, text).when(odd, _expanded(F.when(~ascii_only & odd, text))).otherwise(mapped)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of two or more letters, digits or underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-
-
-def uni_and_bigrams(words: Column) -> Column:
-    pairs = F.when(
-        F.size(words) >= 2,
-        F.zip_with(
-            F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-            F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+@functools.cache
+def word_table() -> np.ndarray:
+    """By code point: the lower-case letter, digit or underscore it stands for once accents are stripped; 0 for what
+    parts words, GONE for a combining mark, SEVERAL for what becomes several characters."""
+    table = np.zeros(0x110000, np.uint32)
+    for code in range(0x110000):
+        ch = chr(code)
+        if ch == "_" or ch.isalnum():
+            lower = ch.lower()
+            table[code] = ord(lower) if len(lower) == 1 else code
+    known, plain = accent_table()
+    for ch, to in zip(known, plain, strict=False):
+        table[ord(ch)] = SEVERAL if to == MARK else table[ord(to)]
+    table[[ord(ch) for ch in known[len(plain):]]] = GONE
+    return table
 
 
 def strip_breaks(html: Column) -> Column:

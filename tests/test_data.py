@@ -1,11 +1,16 @@
 import math
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftwell.functions.text import _plain
 from driftwell.operators import quality as Q
 from driftwell.operators import splits as S
+from driftwell.operators import textfeatures
 from driftwell.operators import transforms as T
 from driftwell.operators.textfeatures import terms, vocabulary
 from driftwell.plans import exports
@@ -162,6 +167,65 @@ def test_vocabulary_bounds(spark):
     assert got == {"cafe": 2, "au": 3, "cafe au": 2}
 
 
+def tfidf_cases():
+    rng = random.Random(7)
+    common, rare = [f"w{i}" for i in range(60)], [f"r{i}" for i in range(4000)]
+    rows = [(i, " ".join(rng.choices(common, [1 / (k + 1) for k in range(60)], k=80) + rng.choices(rare, k=40))) for i in range(200)]
+    return rows + [(200, None), (201, ""), (202, "a b c"), (7, "w0 w1 w1"), (7, "w1 w0"), (203, "\ufb01nance ΟΔΟΣ, cafe\u0301 ½x \uac00\uac01 Ｗ0-w1"),
+                   (204, "finance οδοσ caf\u00e9 x_1"), (205, "finance οδοσ cafe \uac00\uac01")]
+
+
+def tfidf_brute(rows, max_features, max_df=0.95):
+    found = []
+    for _, text in rows:
+        words = re.findall(r"\w{2,}", "".join(c.lower() for c in _plain(text or "")))
+        found.append(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)])
+    cf, df = Counter(t for ts in found for t in ts), Counter(t for ts in found for t in set(ts))
+    best = sorted((t for t in cf if 2 <= df[t] <= max_df * len(rows)), key=lambda t: (-cf[t], t.encode()))[:max_features]
+    idf = {t: math.log((1 + len(rows)) / (1 + df[t])) + 1 for t in best}
+    vocab = [(t, df[t], round(idf[t], 9), i) for i, t in enumerate(sorted(best, key=str.encode))]
+    per_id: dict = {}
+    for (i, _), ts in zip(rows, found, strict=True):
+        per_id.setdefault(i, Counter()).update(t for t in ts if t in idf)
+    weighted = []
+    for i, tf in per_id.items():
+        w = {t: (math.log(n) + 1) * idf[t] for t, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        weighted += [(i, t, round(x / norm, 9)) for t, x in w.items()]
+    return vocab, sorted(weighted)
+
+
+@pytest.mark.parametrize("max_features, cells", [(50, 1 << 20), (50, 1 << 10), (50, 120), (50, 7), (100_000, 1 << 20)])
+def test_tfidf_against_brute_force(spark, max_features, cells):
+    rows = tfidf_cases()
+    docs = textfeatures.terms(spark.createDataFrame(rows, "id int, t string"), "id", "t")
+    vocab = textfeatures.vocabulary(docs, max_features=max_features, cells=cells)
+    want, weighted = tfidf_brute(rows, max_features)
+    assert sorted(((r.term, r.df, round(r.idf, 9), r.idx) for r in vocab.collect()), key=lambda r: r[-1]) == want
+    got = textfeatures.weights(docs, vocab, "id").collect()
+    assert sorted((r.id, r.term, round(r.weight, 9)) for r in got) == weighted
+
+
+def test_few_terms_are_counted_as_text(spark, monkeypatch):
+    rows, seen, counted = tfidf_cases(), [], textfeatures.counted
+
+    def watched(docs, chosen):
+        seen.append(counted(docs, chosen).count())
+        return counted(docs, chosen)
+
+    monkeypatch.setattr(textfeatures, "counted", watched)
+    docs = textfeatures.terms(spark.createDataFrame(rows, "id int, t string"), "id", "t")
+    assert textfeatures.vocabulary(docs, max_features=50).count() == 50
+    # More than ten thousand terms in all; a hundred cells hold the frequent ones.
+    assert len(seen) == 1 and seen[0] < 200
+
+
+def test_tfidf_of_no_documents(spark):
+    docs = textfeatures.terms(spark.createDataFrame([], "id int, t string"), "id", "t")
+    vocab = textfeatures.vocabulary(docs)
+    assert vocab.count() == 0 and textfeatures.weights(docs, vocab, "id").count() == 0
+
+
 def test_sources(spark, tmp_path):
     for kind, names in {"cat": ["1.png", "2.JPG"], "dog": ["3.bmp", "note.txt"]}.items():
         (tmp_path / "img" / kind).mkdir(parents=True)
