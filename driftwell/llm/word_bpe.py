@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from driftwell.llm.pieces import Cut, cut_at_blanks, laid_out
 
 WORDS = 250_000  # words of a generation of the cache
 SHORT = 64  # characters of words that are merged side by side
-CHARS = 1 << 22  # characters of text that are encoded together
+TOGETHER = 1 << 20  # bytes of text that are encoded together
 NEVER = int(np.iinfo(np.int64).max)
 END = 0x1000  # added to a word's last character: the form that carries the end-of-word mark
 
@@ -312,6 +313,40 @@ class WordBpe:
         return out
 
 
+def answers(bpe: WordBpe, batches: Iterator[pa.Array], ids: bool = False) -> Iterator[pa.StructArray]:
+    """n_tokens, ids_sha256, decoded_sha256 (and ids) of every text, a piece of a batch at a time: a batch's texts, ids
+    and what is made on the way are never held all at once."""
+    number = bpe.number
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for batch in batches:
+        sizes, at = pc.binary_length(batch).to_pylist(), 0
+        # A batch without rows has an answer without rows.
+        while at < len(sizes) or not sizes:
+            upto, held = at, 0
+            while upto < len(sizes) and (upto == at or held + sizes[upto] <= TOGETHER):
+                held += sizes[upto]
+                upto += 1
+            counts, first, second, lists = [], [], [], []
+            for found in bpe.encode(batch.slice(at, upto - at).to_pylist()):
+                listed = found.tolist()
+                counts.append(len(listed))
+                first.append(digest(" ".join([number[i] for i in listed])))
+                second.append(digest(bpe.decode(listed)))
+                if ids:
+                    lists.append(found.astype(np.int32))
+            at = upto
+            columns = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+            if ids:
+                # Flat numbers and offsets: a Python list of all ids would take ten times the space.
+                flat = np.concatenate([np.zeros(0, np.int32), *lists])
+                offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*names, "ids"]
+            yield pa.StructArray.from_arrays(columns, names=names)
+            if not sizes:
+                break
+
+
 def coded(spark: SparkSession, text: Column, definition: str, ids: bool = False) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256), and the ids as a list if asked for."""
     shared = spark.sparkContext.broadcast(definition)
@@ -322,34 +357,7 @@ def coded(spark: SparkSession, text: Column, definition: str, ids: bool = False)
         store = worker_store("word_bpe")
         if store.get("definition") != hash(shared.value):
             store["bpe"], store["definition"] = WordBpe(shared.value), hash(shared.value)
-        bpe: WordBpe = store["bpe"]
-        number = bpe.number
-        digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
-        for batch in batches:
-            texts = batch.to_pylist()
-            counts, first, second, lists = [], [], [], []
-            at = 0
-            while at < len(texts):
-                upto, held = at, 0
-                while upto < len(texts) and (upto == at or held + len(texts[upto]) <= CHARS):
-                    held += len(texts[upto])
-                    upto += 1
-                for found in bpe.encode(texts[at:upto]):
-                    listed = found.tolist()
-                    counts.append(len(listed))
-                    first.append(digest(" ".join([number[i] for i in listed])))
-                    second.append(digest(bpe.decode(listed)))
-                    if ids:
-                        lists.append(found.astype(np.int32))
-                at = upto
-            columns = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                # Flat numbers and offsets: a Python list of all ids of a batch would take ten times the space.
-                flat = np.concatenate([np.zeros(0, np.int32), *lists])
-                offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*names, "ids"]
-            yield pa.StructArray.from_arrays(columns, names=names)
+        yield from answers(store["bpe"], batches, ids)
 
     return compute(F.coalesce(text, F.lit("")))
 

@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -103,3 +104,23 @@ def test_frames(spark):
     assert word_bpe.encoded(frame(spark, []), DEFINITION).count() == 0
     out = word_bpe.stage(spark, odd, "").filter("doc_id = 3").first()
     assert BPE.decode(out.ids) == brute("The quick BROWN fox.")[2] and out.n_tokens == len(out.ids)
+
+
+def test_answers_leave_in_pieces_of_a_batch():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("aeinorst", k=6)) for _ in range(n)) for n in [20_000, 1, 0, 30_000, 30_000, 200_000, 5]] * 3
+    together = []
+
+    class Watched(word_bpe.WordBpe):
+        def encode(self, texts):
+            together.append((len(texts), sum(len(t) for t in texts)))
+            return super().encode(texts)
+
+    batch = pa.array(["skipped", *texts], pa.string()).slice(1)
+    pieces = word_bpe.answers(Watched(DEFINITION), iter([batch, batch.slice(0, 0)]), ids=True)
+    first = next(pieces)
+    assert len(together) == 1 and len(first) < len(texts)
+    rows = [r for piece in (first, *pieces) for r in piece.to_pylist()]
+    assert all(n == 1 or held <= word_bpe.TOGETHER for n, held in together)
+    assert [r["ids"] for r in rows] == [ids.tolist() for ids in BPE.encode(texts)]
+    assert [r["n_tokens"] for r in rows] == [len(r["ids"]) for r in rows]
