@@ -5,7 +5,8 @@ from __future__ import annotations
 import sys
 import types
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.operators import smallside
@@ -14,6 +15,8 @@ from driftwell.session import ensure_checkpoints
 # Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH = 7 << 17  # bytes of texts that go to a Python worker at once; a longer text goes alone
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found by exact name and position.
@@ -47,7 +50,24 @@ def uniform_sql(key: str, seed: int) -> str:
             f" + 0.5e0) / {1 << 52}.0e0)")
 
 
-def worker_store(name: str) -> dict:
-    """A dict that lives as long as the Python worker, for models and caches that tasks of one worker share."""
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Let Arrow batches end by bytes too: ten thousand texts, the default, have no bound in memory, neither in the JVM
+    nor in the worker. A setting that the session has stands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH))
+
+
+def free_stores(keep: str | None = None) -> None:
+    """Called as a task starts: the models and caches that other operators left in this Python worker go, and the memory
+    that Arrow has kept. Workers outlive jobs, so the stages of a pipeline would pile up in them."""
     home = sys.modules.setdefault("driftwell_worker_store", types.ModuleType("driftwell_worker_store"))
-    return home.__dict__.setdefault(name, {})
+    for name in [n for n in vars(home) if n != keep and not n.startswith("__")]:
+        delattr(home, name)
+    pa.default_memory_pool().release_unused()
+
+
+def worker_store(name: str) -> dict:
+    """A dict for models and caches that tasks of one worker share. It lives until the worker serves another operator."""
+    free_stores(name)
+    return vars(sys.modules["driftwell_worker_store"]).setdefault(name, {})

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import kept_once, pick
+from driftwell.llm.common import batches_by_bytes, free_stores, kept_once, pick
 from driftwell.llm.components import components
 
 RADIUS = 2
@@ -66,6 +66,7 @@ def fingerprint(text: Column, size: int = SIZE) -> Column:
 
     @F.arrow_udf("long")
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        free_stores()
         for batch in batches:
             yield pa.array(fingerprints_of(batch.to_pylist(), size).view(np.int64))
 
@@ -198,6 +199,7 @@ def links(prints: DataFrame, radius: int = RADIUS, per_quarter: int = PER_QUARTE
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, size: int = SIZE) -> DataFrame:
     """Per input row: doc_id, print (signed long), component_id (smallest doc_id of the class)."""
+    batches_by_bytes(docs.sparkSession)
     rows = kept_once(pick(docs, "doc_id", "text").select("doc_id", fingerprint(F.col("text"), size).alias("print")))
     classes = components(links(rows, radius), "a", "b").toDF("node", "root")
     own = rows.groupBy("print").agg(F.min("doc_id").alias("least"))

@@ -32,10 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import pick, worker_store
+from driftwell.llm.common import batches_by_bytes, pick, worker_store
 from driftwell.llm.pieces import Cut, cut_at_blanks, laid_out
 
-WORDS = 250_000  # words of a generation of the cache
+WORDS = 100_000  # words of a generation of the cache
 SHORT = 64  # characters of words that are merged side by side
 TOGETHER = 1 << 20  # bytes of text that are encoded together
 NEVER = int(np.iinfo(np.int64).max)
@@ -83,19 +83,19 @@ class WordBpe:
         # born: the rank of the merge that makes a token, -1 for single characters; left and right: what it merges.
         size = len(self.text)
         self.born, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             x, y, made = vocab[a], vocab[b], vocab[a + b]
-            self.merges[x, y] = (rank, made)
+            merges[x, y] = (rank, made)
             if self.born[made] < 0:
                 self.born[made], self.left[made], self.right[made] = rank, x, y
-        keys = np.array([x * size + y for x, y in self.merges], np.int64)
+        keys = np.array([x * size + y for x, y in merges], np.int64)
         order = np.argsort(keys)
-        ranked = np.array(list(self.merges.values()), np.int64).reshape(-1, 2)[order]
+        ranked = np.array(list(merges.values()), np.int64).reshape(-1, 2)[order]
         self.pair_keys, self.pair_ranks, self.pair_made = keys[order], ranked[:, 0], ranked[:, 1]
         self.size = size
-        self.ranks = {x * size + y: r for (x, y), (r, _) in self.merges.items()}
-        self.made = {x * size + y: m for (x, y), (_, m) in self.merges.items()}
+        self.ranks = {x * size + y: r for (x, y), (r, _) in merges.items()}
+        self.made = {x * size + y: m for (x, y), (_, m) in merges.items()}
         # What may be proposed: tokens that merging their own characters gives. No token goes on after an ended
         # character, so words can follow one another in one string.
         self.proposed = ahocorasick.Automaton()
@@ -349,6 +349,7 @@ def answers(bpe: WordBpe, batches: Iterator[pa.Array], ids: bool = False) -> Ite
 
 def coded(spark: SparkSession, text: Column, definition: str, ids: bool = False) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256), and the ids as a list if asked for."""
+    batches_by_bytes(spark)
     shared = spark.sparkContext.broadcast(definition)
     extra = ", ids array<int>" if ids else ""
 
@@ -358,6 +359,7 @@ def coded(spark: SparkSession, text: Column, definition: str, ids: bool = False)
         if store.get("definition") != hash(shared.value):
             store["bpe"], store["definition"] = WordBpe(shared.value), hash(shared.value)
         yield from answers(store["bpe"], batches, ids)
+        pa.default_memory_pool().release_unused()
 
     return compute(F.coalesce(text, F.lit("")))
 
