@@ -24,27 +24,29 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import join_small, pick, worker_store
-from driftwell.llm.pieces import cut_at_blanks, laid_out
+from driftwell.llm.pieces import Cut, laid_out
 from driftwell.session import scratch_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
 SAMPLED = 256
-CHARS = 1 << 23  # characters of text that are encoded together
-PIECES_KEPT = 400_000  # pieces of text of a generation of the cache
-WORDS_KEPT = 300_000  # words of a generation of the cache
+BYTES = 1 << 23  # of text that are encoded together
+WORDS_KEPT = 500_000  # words of a generation of the cache
+LENGTH_KEPT = 64  # characters of a word that is kept
 SCHEMA = ("shard long, block long, start long, n_ids long, doc_ids array<long>, width int, ids binary, low_bits int, "
           "low binary, high binary, samples binary")
 
@@ -97,14 +99,44 @@ class EliasFano:
         return ((at - i) << self.low_bits) | int(self._low(i, i + 1)[0])
 
 
-# A blank before anything but white space always begins a token, so the pieces between such blanks are encoded alone.
-# Texts with other blanks go through the library as they are.
-OTHER_BLANKS = re.compile(r" (?!\S)")
-# In a piece of letters, ASCII marks and single line ends these runs are the words that the tokenizer cuts first.
-RUNS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n")
+# Kinds of characters; white space is SPACE and what follows it here.
+LETTER, DIGIT, MARK, HARD, SPACE, LINE, BLANK_KIND = range(7)
 BLANK = "\u0120"  # stands for the byte of a blank
 
 
+def kind_of(code: int) -> int:
+    """What the tokenizer takes a character of the first plane for, where every version of Unicode agrees; else HARD.
+
+    HARD, too: an apostrophe, which may begin a word of its own, and a surrogate. SPACE: control and format characters
+    as well, some of which are white space in one version only.
+    """
+    char = chr(code)
+    if char in " \n":
+        return BLANK_KIND if char == " " else LINE
+    now, then = unicodedata.category(char), unicodedata.ucd_3_2_0.category(char)
+    if char.isspace() or now in ("Cc", "Cf") or then[0] == "Z":
+        return SPACE
+    if char == "'" or now[0] != then[0] or now[0] == "C":
+        return HARD
+    if now[0] == "N":
+        return DIGIT if char.isascii() else HARD
+    return LETTER if now[0] == "L" else MARK
+
+
+def kinds_of(data: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    """The kind of every byte of UTF-8, that of its character; characters beyond the first plane are HARD."""
+    ascii_kinds = plane[:128].tobytes() + bytes([HARD]) * 128
+    kinds = np.frombuffer(bytearray(data).translate(ascii_kinds), np.uint8)
+    two = np.flatnonzero((data >= 0xC0) & (data < 0xE0))
+    if len(two):
+        kinds[two] = kinds[two + 1] = plane[((data[two] & 0x1F).astype(np.int64) << 6) | (data[two + 1] & 0x3F)]
+    three = np.flatnonzero((data >= 0xE0) & (data < 0xF0))
+    if len(three):
+        codes = ((data[three] & 0x0F).astype(np.int64) << 12) | ((data[three + 1] & 0x3F).astype(np.int64) << 6) | (data[three + 2] & 0x3F)
+        kinds[three] = kinds[three + 1] = kinds[three + 2] = plane[codes]
+    return kinds
+
+
 def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte: itself where printable, else the next free one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -113,10 +145,12 @@ def byte_characters() -> dict[int, str]:
 
 
 class Encoder:
-    """The tokenizers library over whole texts, with a bounded memory of the pieces and words it has met.
+    """The tokenizers library over whole texts, with a bounded memory of the words it has met.
 
-    A plain piece is cut into words here, and the library's model encodes each new word; any other piece, and a text
-    whose blanks are not all between pieces, goes through the whole library.
+    A blank before anything but white space always begins a token, and within a piece between such blanks so does every
+    change of kind, if the piece has no HARD character, no white space but single line ends. So such a piece is cut into
+    words, and the library's model encodes each new word; any other piece, and a text with other blanks or an added token,
+    goes through the whole library as it is.
     """
 
     def __init__(self, definition: str):
@@ -132,89 +166,98 @@ class Encoder:
         spec = json.loads(definition)
         cut = spec.get("pre_tokenizer") or {}
         self.by_pieces = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.added = re.compile("|".join(added)) if added else None  # no text with one of them is cut here
-        # Packed ids of the pieces after a blank and of words; each has a present and a former generation.
-        self.pieces: dict[str, bytes] = {}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]  # no text with one of them is cut here
+        self.plane = np.fromiter(map(kind_of, range(1 << 16)), np.uint8, 1 << 16)
+        # Packed ids of words, in a present and a former generation.
         self.words: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return self._packed([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-
-    def _packed(self, lists: list[list[int]]) -> list[bytes]:
-        """Each list as bytes, cut from one array of all."""
-        ends = np.cumsum([0, *map(len, lists)]) * self.width
-        flat = np.fromiter(chain.from_iterable(lists), self.kind).tobytes()
-        cuts = ends.tolist()
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        """Make the packed ids of words known."""
-        missing = []
-        for word in words - self.words.keys():
-            ids = self.old_words.get(word)
-            if ids is None:
-                missing.append(word)
-            else:
-                self.words[word] = ids
+        return self._packed(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _modelled(self, words: list[str]) -> list[bytes]:
         tokenize, shown = self.model.tokenize, self.shown
-        lists = [[t.id for t in tokenize(w.replace(" ", BLANK) if w.isascii() and w != "\n" else w.encode().decode("latin-1").translate(shown))] for w in missing]
-        self.words.update(zip(missing, self._packed(lists), strict=True))
-
-    def _resolve(self, missing: list[str]) -> None:
-        hard, parts = [], {}
-        for piece in missing:
-            if piece.isalpha():
-                parts[piece] = (" " + piece,)
-                continue
-            runs = RUNS.findall(piece)
-            # Some numbers pass for letters in the pattern; they, and whatever it leaves out, need the library.
-            if not runs or runs[0] == "\n" or sum(map(len, runs)) != len(piece) or "\n\n" in piece or not (
-                    piece.isascii() or all(r.isalpha() or r.isascii() for r in runs)):
-                hard.append(piece)
-                continue
-            runs[0] = " " + runs[0]
-            parts[piece] = runs
-        self._learn(set(chain.from_iterable(parts.values())))
-        word = self.words.__getitem__
-        self.pieces.update({piece: word(runs[0]) if len(runs) == 1 else b"".join(map(word, runs)) for piece, runs in parts.items()})
-        self.pieces.update(zip(hard, self._whole([" " + p for p in hard]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self._packed([t.id for t in tokenize(w.replace(" ", BLANK) if w.isascii() and w != "\n" else w.encode().decode("latin-1").translate(shown))] for w in words)
+
+    def _packed(self, lists: Iterable[list[int]]) -> list[bytes]:
+        """Each list as bytes. No list is kept, as many of them would set off the garbage collector again and again."""
+        flat, ends = array(self.kind.char), [0]
+        for ids in lists:
+            flat.extend(ids)
+            ends.append(len(flat) * self.width)
+        line = np.frombuffer(flat, flat.typecode).astype(self.kind).tobytes()
+        return [line[a:b] for a, b in pairwise(ends)]
+
+    def _cut(self, texts: pa.LargeStringArray) -> tuple[Cut, list[bool]]:
+        """All texts as words, and for each distinct one whether it needs the whole library."""
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+        bounds = bounds - bounds[0]
+        if not len(data):
+            return Cut([], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)), []
+        kinds = kinds_of(data, self.plane)
+        filled = bounds[:-1] < bounds[1:]
+        begins, lasts = bounds[:-1][filled], bounds[1:][filled] - 1
+        blank = kinds == BLANK_KIND
+        starts = blank.copy()
+        starts[1:] |= (kinds[1:] != kinds[:-1]) & ~blank[:-1]
+        starts[begins] = True
+        at = np.flatnonzero(starts)
+
+        # Pieces that need the library whole: their inner starts go.
+        lines = kinds == LINE
+        hard = (kinds == HARD) | (kinds == SPACE)
+        hard[1:] |= lines[1:] & lines[:-1]
+        heads = blank[at]
+        heads[np.searchsorted(at, begins)] = True
+        piece = np.cumsum(heads) - 1
+        joined = np.zeros(int(piece[-1]) + 1, bool)
+        joined[piece[np.searchsorted(at, np.flatnonzero(hard), "right") - 1]] = True
+        joined = joined[piece]
+        kept = heads | ~joined
+
+        # Texts that do.
+        before_white = np.append(kinds[1:] >= SPACE, True)
+        before_white[lasts] = True
+        apart = np.searchsorted(bounds, np.flatnonzero(blank & before_white), "right") - 1
+        marked = [np.flatnonzero(pc.match_substring(texts, t).to_numpy(zero_copy_only=False)) for t in self.added]
+        for i in np.unique(np.concatenate([apart, *marked])).tolist():
+            first, last = np.searchsorted(at, bounds[i:i + 2]).tolist()
+            kept[first + 1:last] = False
+            joined[first] = True
+
+        at, joined = at[kept], joined[kept]
+        words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)).dictionary_encode()
+        which = words.indices.to_numpy().astype(np.int64)
+        library = np.zeros(len(words.dictionary), bool)
+        library[which[joined]] = True
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each first
+        return Cut(distinct, which, np.searchsorted(at, bounds[1:])), library.tolist()
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of every text."""
-        whole = [i for i, t in enumerate(texts) if not self.by_pieces or OTHER_BLANKS.search(t) or (self.added is not None and self.added.search(t))]
-        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = np.frombuffer(ids, self.kind)
-        apart = set(whole)
-        rest = [i for i in range(len(texts)) if i not in apart]
-        if rest:
-            cut = cut_at_blanks([texts[i] for i in rest])
-            # No blank stands before a text's first piece, so it is a piece of its own.
-            firsts = np.r_[0, cut.ends[:-1]]
-            heads = [cut.distinct[k] for k in cut.which[firsts].tolist()]
-            cut.which[firsts] = len(cut.distinct) + np.arange(len(rest))
-            for i, ids in zip(rest, laid_out(cut, self._known(cut.distinct) + self._whole(heads), self.kind), strict=True):
-                out[i] = ids
-        return out
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of pieces that stand after a blank."""
-        found = list(map(self.pieces.get, pieces))
-        missing = []
-        for k, (piece, ids) in enumerate(zip(pieces, found, strict=True)):
-            if ids is None:
-                if (ids := self.old_pieces.get(piece)) is None:
-                    missing.append(piece)
-                else:
-                    self.pieces[piece] = found[k] = ids
-        if missing:
-            self._resolve(missing)
-            found = [self.pieces[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        if len(self.pieces) > PIECES_KEPT:
-            self.old_pieces, self.pieces = self.pieces, {}
+        if not len(texts):
+            return []
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not self.by_pieces:
+            return [np.frombuffer(ids, self.kind) for ids in self._whole(texts.to_pylist())]
+        cut, library = self._cut(texts)
+        return laid_out(cut, self._known(cut.distinct, library), self.kind)
+
+    def _known(self, words: list[str], library: list[bool]) -> list[bytes]:
+        """Packed ids of words; those marked are for the whole library."""
+        found = list(map(self.words.get, words))
+        fresh: list[list[int]] = [[], []]
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            if (ids := self.old_words.get(words[k])) is None:
+                fresh[library[k]].append(k)
+            else:
+                self.words[words[k]] = found[k] = ids
+        plain = self._modelled([words[k] for k in fresh[0]])
+        for k, ids in chain(zip(fresh[0], plain, strict=True), zip(fresh[1], self._whole([words[k] for k in fresh[1]]), strict=True)):
+            found[k] = ids
+            if len(words[k]) <= LENGTH_KEPT:
+                self.words[words[k]] = ids
         if len(self.words) > WORDS_KEPT:
             self.old_words, self.words = self.words, {}
         return found
@@ -242,15 +285,14 @@ def write_task(shared, end_id: int):
             return pa.RecordBatch.from_pylist([row], schema=BLOCK)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            after = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
             at = 0
             while at < len(texts):
                 # A few documents at a time: what is held does not grow with the batch.
-                upto, held = at, 0
-                while upto < len(texts) and (upto == at or held + len(texts[upto]) <= CHARS):
-                    held += len(texts[upto])
-                    upto += 1
-                for doc, found in zip(ids[at:upto], encoder.encode(texts[at:upto]), strict=True):
+                held = int(after[at - 1]) if at else 0
+                upto = max(at + 1, int(np.searchsorted(after, held + BYTES, "right")))
+                for doc, found in zip(ids[at:upto], encoder.encode(texts.slice(at, upto - at)), strict=True):
                     docs.append(doc)
                     parts.append(found)
                     size += len(found) + 1

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -38,6 +39,43 @@ def test_special_strings():
         assert ENCODER.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_of_the_first_plane():
+    for setting in ("a{}b", "x,{} 1{}\n{}", " {}"):
+        texts = [setting.replace("{}", chr(c)) for c in range(1 << 16) if not 0xD800 <= c < 0xE000]
+        want = LIBRARY.encode_batch(texts, add_special_tokens=False)
+        assert all(g.tolist() == w.ids for g, w in zip(ENCODER.encode(texts), want, strict=True))
+
+
+def test_plain_texts_are_known_by_words(monkeypatch):
+    encoder, whole = token_files.Encoder(DEFINITION), []
+    library = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: whole.extend(texts) or library(texts))
+    texts = ["Red blue, 12 über. „Red“ – blue!\nRed blue; 12,", "", "Red. blue\n 日本, (blue) 12."]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    # Neither a text's first word, a number nor a word with marks around it goes through the library or is kept apart.
+    assert not whole and set(encoder.words) == {"Red", " blue", "blue", ",", " 12", " über", ".", " „", "“", " –", "!", "\n", ";", " 日本", " (", ")"}
+
+
+def test_part_of_a_column_and_mixed_texts():
+    texts = ["cut off", "", "it's  two", "a\n\nb c", " ", "x <|endoftext|>y z", "🙂 x🙂 y", "\tz\r\n 1", "", "long " + "q" * 300, "end "]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string())):
+        for first in range(len(texts)):
+            for last in range(first, len(texts) + 1):
+                got = ENCODER.encode(column.slice(first, last - first))
+                assert [g.tolist() for g in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts[first:last]]
+    assert not any(len(w) > token_files.LENGTH_KEPT for w in ENCODER.words)
+
+
+def test_words_forgotten(monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS_KEPT", 5)
+    encoder = token_files.Encoder(DEFINITION)
+    for i in range(30):
+        text = f"one two three four w{'abc'[i % 3]} x{i} five"
+        assert encoder.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert len(encoder.words) <= 5 and len(encoder.old_words) <= 5 + 20
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, gap in [(1, 1), (1, 10**9), (5, 1), (300, 3), (1000, 5000), (4000, 1), (257, 100000)]:
